@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, mixing, ngram_join
+from . import classifier, decontam, lm, mixing, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log chances of every text under a pair model of the texts not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = lm.train(docs.where(~held_out))
+    out = lm.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document; labels of held-out rows are never read
     into the fit."""
@@ -45,6 +54,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op4_kneser_ney": op4_kneser_ney,
         "op6_nbsvm_quality": op6_nbsvm_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_mix_sources": op9_mix_sources,
