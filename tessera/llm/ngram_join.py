@@ -47,6 +47,7 @@ from .storage import cut, write_table
 
 BLOCK_MEMBERS = 30_000
 _STEP = 1.5
+_SEEK = ("family", "block", "lot", "doc_id", "component", "text")
 
 
 def size_class(n: int, step: float = _STEP) -> int:
@@ -362,6 +363,8 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
             .join(texts, "doc_id")
             .select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", "component", "text")
         )
+        # New names for the columns: both sides come from the same tables.
+        stored, seek_rows = (x.select(*(F.col(c).alias(c) for c in _SEEK)) for x in (stored, seek_rows))
         more = (
             stored.groupBy("family", "block", "lot")
             .cogroup(seek_rows.groupBy("family", "block", "lot"))

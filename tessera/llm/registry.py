@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, lm, mixing, ngram_join
+from . import classifier, decontam, lm, mixing, ngram_join, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the verdict of the divergence rules."""
+    out = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log chances of every text under a pair model of the texts not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +63,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_quality_divergence": op2_quality_divergence,
         "op4_kneser_ney": op4_kneser_ney,
         "op6_nbsvm_quality": op6_nbsvm_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
