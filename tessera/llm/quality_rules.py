@@ -41,10 +41,10 @@ CLASSES = (
 )
 _WORD = r"[^\x20\x09-\x0D]+"
 
-MIN_CHARS = 200
-MIN_WORDS = 50
-MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.80
+MIN_CHARS = 600
+MIN_WORDS = 80
+MAX_CHAR_DISTANCE = 0.20
+MAX_WORD_DISTANCE = 0.32
 
 
 def repeated_words(words: Column) -> Column:
