@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, lm, mixing, ngram_join, quality_rules
+from . import classifier, decontam, line_dedup, lm, mixing, ngram_join, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that every document loses to earlier ones."""
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a Jaccard
     similarity of 0.9 or more."""
@@ -60,14 +65,51 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _draw(x, start: int):
+    """A number from 0 to 4095 from three digits of a digest."""
+    return F.conv(F.substring(F.md5(x.cast("binary")), start, 3), 16, 10).cast("int")
+
+
+def filter_list(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages' hosts and their parent domains, which the tables
+    lack: two fifths of the names are listed, some leave it, some come back."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    names = hosts.select(F.explode(url_filters.domains_of(F.col("host"))).alias("host")).distinct()
+    n = F.col("host")
+    listed = names.where(_draw(n, 1) % 5 < 2).select(
+        F.when(_draw(n, 4) % 2 == 0, "ads").otherwise("malware").alias("list"),
+        "host",
+        (_draw(n, 7) % 200).alias("day"),
+        (_draw(n, 10) % 100 + 1).alias("stays"),
+        (_draw(n, 13) % 4).alias("kind"),
+    )
+    start = F.lit("2024-01-01").cast("date")
+    entry = [F.struct(F.lit("add").alias("action"), F.date_add(start, F.col("day")).alias("date"))]
+    entry.append(F.struct(F.lit("remove").alias("action"), F.date_add(start, F.col("day") + F.col("stays")).alias("date")))
+    entry.append(F.struct(F.lit("add").alias("action"), F.date_add(start, F.col("day") + 2 * F.col("stays")).alias("date")))
+    # Kind 0 stays for good, 1 and 2 leave, 3 leaves and comes back.
+    own = F.when(F.col("kind") == 0, F.array(entry[0])).when(F.col("kind") < 3, F.array(*entry[:2])).otherwise(F.array(*entry))
+    return listed.select("list", "host", F.explode(own).alias("e")).select("list", "host", "e.action", "e.date")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as of its fetch date against the dated list. The table has no
+    dates: a page's is a day of 2024 by its id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    return url_filters.match_captures(pages.withColumn("fetched", day), filter_list(pages))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_divergence": op2_quality_divergence,
         "op4_kneser_ney": op4_kneser_ney,
         "op6_nbsvm_quality": op6_nbsvm_quality,
+        "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_mix_sources": op9_mix_sources,
+        "op10_url_filters": op10_url_filters,
     }
 
 
