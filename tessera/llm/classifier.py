@@ -177,15 +177,20 @@ def _columns_of(texts: pa.Array, bits: int) -> list[np.ndarray]:
     return out
 
 
-def train(labelled: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> Model:
-    """labelled: doc_id, text, label (0 or 1; others are left out)."""
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> Model:
+    """docs: doc_id, text. labels: doc_id, label (0 or 1; others are left out).
+
+    The rows to train on are chosen among the labels alone, so that no text but
+    theirs moves; being at most `max_train_rows`, they are broadcast.
+    """
     some = (
-        labelled.where(F.col("label").isin(0, 1))
-        .select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "label").alias("h"))
-        .orderBy("h", F.xxhash64("text"))
+        labels.where(F.col("label").isin(0, 1))
+        .select("doc_id", F.col("label").cast("int").alias("label"))
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_train_rows)
-        .drop("h")
     )
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +199,7 @@ def train(labelled: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, bits: int =
                 [pa.array([x.tobytes() for x in own], pa.binary()), batch.column(1)], ["columns", "label"]
             )
 
-    rows = some.mapInArrow(featurize, "columns binary, label int").collect()
+    rows = chosen.mapInArrow(featurize, "columns binary, label int").collect()
     return fit([np.frombuffer(r["columns"], np.int32) for r in rows], np.array([r["label"] for r in rows], int), bits)
 
 

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, line_dedup, lm, mixing, ngram_join, quality_rules, url_filters
+from . import (
+    classifier,
+    decontam,
+    line_dedup,
+    lm,
+    mixing,
+    ngram_join,
+    pii,
+    quality_rules,
+    secret_scan,
+    spans,
+    url_filters,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +38,18 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(spans.of_kind(base, i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])),
+        F.sha2(spans.joined(base, pii.KINDS).cast("binary"), 256).alias("base_sha256"),
+        spans.joined(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log chances of every text under a pair model of the texts not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +59,18 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through a ledger that is empty at first."""
+    found = secret_scan.scan_and_report(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < secret_scan.BASE)
+    return found.select(
+        "doc_id",
+        *(spans.of_kind(base, i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[: secret_scan.BASE])),
+        F.sha2(spans.joined(base, secret_scan.KINDS).cast("binary"), 256).alias("base_sha256"),
+        spans.joined(F.col("found"), secret_scan.KINDS).alias("spans"),
+    )
+
+
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document; labels of held-out rows are never read
     into the fit."""
@@ -42,7 +78,7 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     labels = labels.where(~held_out)
-    model = classifier.train(docs.join(labels, "doc_id"))
+    model = classifier.train(docs, labels)
     return classifier.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
@@ -104,7 +140,9 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_divergence": op2_quality_divergence,
+        "op3_pii": op3_pii,
         "op4_kneser_ney": op4_kneser_ney,
+        "op5_secrets": op5_secrets,
         "op6_nbsvm_quality": op6_nbsvm_quality,
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
