@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import graph, search
+from .lineage import cut
 
 # A word and what to add for it, the first that fits.
 SYNONYMS = (
@@ -70,23 +71,25 @@ def run_agent(docs: DataFrame, doc_weights: DataFrame, queries: DataFrame, tripl
     no longer weak or a rewrite brings back a text that was tried.
     """
     current = queries.select("query_id", "text", F.array(F.lower(T.strip(F.col("text")))).alias("tried"))
-    hits = search.search(docs, doc_weights, current, top_k=top_k)
+    doc_weights = cut(doc_weights)
+    hits = cut(search.search(docs, doc_weights, current, top_k=top_k))
     trace = [current.select("query_id", F.lit(1).alias("hop"), F.lit("retrieve").alias("step"), F.col("text").alias("detail"))]
     for hop in range(2, rounds + 1):
         weak = search.recall_mass(hits, current).where("weak").select("query_id")
-        weak = current.join(weak, "query_id", "left_semi")
+        weak = cut(current.join(weak, "query_id", "left_semi"))
         if weak.isEmpty():
             break
         new = weak.select("query_id", "tried").join(rewrite(weak, triples), "query_id")
         own = F.lower(T.strip(F.col("text")))
         moving = new.where(~F.array_contains("tried", own)).withColumn("tried", F.array_append("tried", own))
+        moving = cut(moving.select("query_id", "text", "tried", "method"))
         trace.append(moving.select("query_id", F.lit(hop).alias("hop"), F.col("method").alias("step"), F.col("text").alias("detail")))
-        moving = moving.select("query_id", "text", "tried")
+        moving = moving.drop("method")
         again = search.search(docs, doc_weights, moving, top_k=top_k)
-        hits = hits.join(moving.select("query_id"), "query_id", "left_anti").unionByName(again)
+        hits = cut(hits.join(moving.select("query_id"), "query_id", "left_anti").unionByName(again))
         # Queries that stopped moving keep their hits and are not asked again.
         current = moving
-    facts = graph.neighbours(graph.link_entities(queries, triples), triples)
+    facts = cut(graph.neighbours(cut(graph.link_entities(queries, triples)), triples))
     merged = graph.merge_graph_hits(hits, facts, docs)
     result = search.lexical_rerank(queries, merged, docs, top_n)
     out = trace[0]

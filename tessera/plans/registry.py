@@ -1,11 +1,536 @@
-"""The queries of the retrieval engine and their SQL."""
+"""The queries of the retrieval engine over the test tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import agent, answer, chunk, clean, evaluate, graph, index, search
+from ..sources import files
+from ..streaming import ops
+from . import literals as L
+from .oracle import SQL
+
+Q = {}
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: chunk_id, doc_id, text."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+# -- retrieval -------------------------------------------------------------------
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 10)
+
+
+@query
+def bm25_with_zeros(spark, sf_dir):
+    return search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 50, include_zero=True)
+
+
+@query
+def bm25_okapi(spark, sf_dir):
+    return search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 10, variant="okapi")
+
+
+@query
+def term_stats(spark, sf_dir):
+    return index.term_stats(_chunks(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return index.corpus_stats(index.token_table(_chunks(spark, sf_dir))).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    """Every hundredth vector against all."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return search.dense_topk(e, e.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
+
+
+@query
+def hash_embed(spark, sf_dir):
+    return index.bucket_weights(_chunks(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def hashed_topk(spark, sf_dir):
+    return search.hashed_topk(
+        index.bucket_weights(_chunks(spark, sf_dir)), index.bucket_weights(_questions(spark, sf_dir), "query_id"), 10
+    )
+
+
+def _hybrid(spark, sf_dir, k=20):
+    chunks = _chunks(spark, sf_dir)
+    return search.search(chunks, index.bucket_weights(chunks), _questions(spark, sf_dir), top_k=k)
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+@query
+def branch_report(spark, sf_dir):
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    dense = search.hashed_topk(index.bucket_weights(chunks), index.bucket_weights(questions, "query_id"), 20)
+    out = search.branch_report(dense, search.bm25_topk(chunks, questions, 20))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("dense_top", "sparse_top")})
+
+
+@query
+def recall_mass(spark, sf_dir):
+    out = search.recall_mass(_hybrid(spark, sf_dir), _questions(spark, sf_dir))
+    return out.withColumn("mass", F.round("mass", 5))
+
+
+@query
+def lexical_rerank(spark, sf_dir):
+    return search.lexical_rerank(_questions(spark, sf_dir), _hybrid(spark, sf_dir), _chunks(spark, sf_dir))
+
+
+@query
+def rerank_delta(spark, sf_dir):
+    hits = _hybrid(spark, sf_dir)
+    return search.rerank_delta(search.lexical_rerank(_questions(spark, sf_dir), hits, _chunks(spark, sf_dir)), hits)
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    dense = L.frame(spark, L.DENSE, "query_id int, chunk_id string, score double, rank int")
+    sparse = L.frame(spark, L.SPARSE, "query_id int, chunk_id string, score double, rank int")
+    return search.fuse(dense, sparse)
+
+
+# -- chunking --------------------------------------------------------------------
+
+
+@query
+def sentence_split(spark, sf_dir):
+    rows = _strings(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("seq", "sentence"))
+    return rows.withColumn("tokens", T.estimated_tokens(F.col("sentence")))
+
+
+@query
+def sliding_window(spark, sf_dir):
+    return chunk.sliding_window(_strings(spark, sf_dir), 220, 30).select("chunk_id", "doc_id", "text", "token_est", "seq")
+
+
+@query
+def parent_child(spark, sf_dir):
+    return chunk.parent_child(_strings(spark, sf_dir)).select("chunk_id", "doc_id", "text", "parent_id", "token_est", "seq", "role")
+
+
+@query
+def semantic_chunks(spark, sf_dir):
+    docs = L.frame(spark, L.STRUCTURED, "doc_id string, text string")
+    return chunk.semantic(docs, 40).select("chunk_id", "text", "token_est", "table_flag", "seq")
+
+
+@query
+def chunk_overlap(spark, sf_dir):
+    chunks = chunk.sliding_window(_strings(spark, sf_dir), 220, 30)
+    return chunk.consecutive_overlap(chunks).select("chunk_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query
+def ingest_stats(spark, sf_dir):
+    docs = clean.clean_documents(_strings(spark, sf_dir))
+    return index.ingest_stats(docs, chunk.sliding_window(docs, 220, 30))
+
+
+@query
+def table_annotate(spark, sf_dir):
+    docs = L.frame(spark, L.STRUCTURED, "chunk_id string, text string")
+    return clean.annotate(docs).select("chunk_id", "has_table", F.col("table_rows").cast("int").alias("table_rows"), "has_figure_ref")
+
+
+@query
+def clean_text(spark, sf_dir):
+    docs = _strings(spark, sf_dir).unionByName(L.frame(spark, L.DIRTY, "doc_id string, text string"))
+    return clean.clean_documents(docs).select("doc_id", "text", "report.*")
+
+
+@query
+def leak_watch(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text")
+    return clean.leak_report(chunks, L.PHRASES)
+
+
+@query
+def parent_expand(spark, sf_dir):
+    chunks = L.frame(spark, L.FAMILY, "chunk_id string, doc_id string, text string, parent_id string")
+    hits = L.frame(spark, L.HITS, "query_id int, chunk_id string, rank int")
+    return search.expand_parents(hits, chunks, 3)
+
+
+@query
+def searchable_chunks(spark, sf_dir):
+    rows = chunk.parent_child(_strings(spark, sf_dir))
+    return index.searchable(rows).groupBy("doc_id").agg(F.count("*").alias("children"))
+
+
+# -- guards and scalar functions ---------------------------------------------------
+
+
+@query
+def pii_redact(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("r"))
+    return rows.select("doc_id", F.col("r.text").alias("text"), F.array_join("r.findings", ",").alias("findings"))
+
+
+@query
+def injection_flag(spark, sf_dir):
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    more = L.frame(spark, L.INJECTIONS, "conv_id long, turn long, text string")
+    return own.unionByName(more).select("conv_id", "turn", T.injection_flag(F.col("text")).alias("flagged"))
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    rows = L.frame(spark, L.NAMES, "id int, name string, forwarded string, socket string")
+    name = F.col("name")
+    return rows.select(
+        "id",
+        T.canonical_name(name).alias("canonical"),
+        T.safe_doc_id(name).alias("safe_id"),
+        T.escape_tags(name).alias("escaped"),
+        T.doc_of(name).alias("doc"),
+        T.content_hash(name).alias("hash"),
+        T.client_address(F.col("forwarded"), F.col("socket"), 2).alias("client"),
+        F.array_join(T.word_pieces(name, 2), "/").alias("pieces"),
+        T.answer_key(name, F.lit(5), F.lit("true"), F.lit("false"), F.lit("v1")).alias("key"),
+        T.abstains(name).alias("abstains"),
+    )
+
+
+@query
+def coref_gate(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", T.needs_history(F.col("text")).alias("needs_history"))
+
+
+@query
+def point_ids(spark, sf_dir):
+    return _strings(spark, sf_dir).select("doc_id", index.point_id(F.col("doc_id")).alias("point_id"))
+
+
+# -- incremental index -------------------------------------------------------------
+
+
+def _versions(spark, sf_dir):
+    """A later state of the documents: a tenth edited, a tenth gone, a tenth new."""
+    old = _strings(spark, sf_dir)
+    n = F.col("doc_id").cast("long") % 10
+    new = old.where(n != 0).withColumn("text", F.when(n == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    added = old.where(n == 2).withColumn("doc_id", F.concat(F.lit("new"), "doc_id"))
+    return old, new.unionByName(added)
+
+
+@query
+def incremental_diff(spark, sf_dir):
+    old, new = (
+        x.select("doc_id", T.content_hash(F.col("text")).alias("hash"), F.lit("sliding").alias("strategy")) for x in _versions(spark, sf_dir)
+    )
+    new = new.withColumn("strategy", F.when(F.col("doc_id").endswith("3"), "semantic").otherwise(F.col("strategy")))
+    return index.incremental_diff(new, old)
+
+
+@query
+def vector_reuse(spark, sf_dir):
+    old, new = (x.withColumnRenamed("doc_id", "chunk_id") for x in _versions(spark, sf_dir))
+    stored = old.withColumn("vector", F.array(F.length("text").cast("double")))
+    embed = lambda rows: rows.select("chunk_id", F.array(-F.length("text").cast("double")).alias("vector"))
+    out = index.reuse_vectors(new, stored, embed)
+    return out.select("chunk_id", "reused", F.get("vector", F.lit(0)).alias("first"))
+
+
+@query
+def stale_purge(spark, sf_dir):
+    old, new = (x.withColumnRenamed("doc_id", "chunk_id") for x in _versions(spark, sf_dir))
+    kept = index.purge_stale(old, new).select("chunk_id", F.lit("kept").alias("state"))
+    return kept.unionByName(index.stale_ids(old, new).withColumn("state", F.lit("stale")))
+
+
+@query
+def priority_limit(spark, sf_dir):
+    rows = _strings(spark, sf_dir).select(
+        F.concat(F.when(F.col("doc_id").cast("long") % 3 == 0, "scale_").otherwise(""), "doc_id").alias("doc_id")
+    )
+    return index.limit_by_priority(rows.withColumn("chunk_id", F.concat("doc_id", F.lit("#s0"))), 100)
+
+
+@query
+def upsert_prune(spark, sf_dir):
+    old, new = (x.withColumnRenamed("doc_id", "chunk_id") for x in _versions(spark, sf_dir))
+    stored = files.upsert_points(old, None)
+    return files.prune_points(files.upsert_points(new, stored), new).select("chunk_id", "point_id", F.length("text").alias("n"))
+
+
+@query
+def category_limit(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("category", F.col("source"))
+    return files.limited_categories(docs, 20, 200).select("doc_id", "category", "number")
+
+
+# -- graph -------------------------------------------------------------------------
+
+
+def _facts(spark):
+    return L.frame(spark, L.TRIPLES, "s string, r string, o string, chunk_id string")
+
+
+@query
+def triples(spark, sf_dir):
+    return graph.extract_triples(L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string"))
+
+
+@query
+def alias_merge(spark, sf_dir):
+    return graph.merge_aliases(_facts(spark))
+
+
+@query
+def entity_link(spark, sf_dir):
+    return graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+
+
+@query
+def khop_facts(spark, sf_dir):
+    linked = graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+    return graph.neighbours(linked, _facts(spark), 2)
+
+
+@query
+def khop_tables(spark, sf_dir):
+    """Three hops from every region over region, nation, customer and order keys."""
+    t = lambda name: _table(spark, sf_dir, name)
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = (
+        t("nation").select(name("n", "n_nationkey").alias("s"), F.lit("in").alias("r"), name("r", "n_regionkey").alias("o"))
+        .union(t("customer").select(name("c", "c_custkey"), F.lit("of"), name("n", "c_nationkey")))
+        .union(t("orders").select(name("o", "o_orderkey"), F.lit("by"), name("c", "o_custkey")))
+        .withColumn("chunk_id", F.col("s"))
+    )
+    starts = t("region").select(F.col("r_regionkey").alias("query_id"), name("r", "r_regionkey").alias("name"))
+    return graph.neighbours(starts, edges, 3).select("query_id", "s", "r", "o", "hop")
+
+
+@query
+def model_triples(spark, sf_dir):
+    return graph.parse_model_triples(L.frame(spark, L.REPLIES, "chunk_id string, reply string"))
+
+
+@query
+def query_rewrite(spark, sf_dir):
+    return agent.rewrite(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+
+
+@query
+def agent_search(spark, sf_dir):
+    """Weak queries of a small corpus: rewritten, searched again, joined by the graph."""
+    docs = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string")
+    questions = L.frame(spark, L.QUESTIONS, "query_id int, text string")
+    return agent.run_agent(docs, index.bucket_weights(docs), questions, _facts(spark))[0]
+
+
+@query
+def follow_ups(spark, sf_dir):
+    questions = L.frame(spark, L.FOLLOW_UPS, "query_id int, session_id string, text string")
+    return agent.expand_follow_ups(questions, L.frame(spark, L.TURNS, "session_id string, turn int, q string"), _facts(spark)).select(
+        "query_id", "text", F.array_join("expansion", ",").alias("expansion")
+    )
+
+
+# -- answers and measures ------------------------------------------------------------
+
+
+def _contexts(spark, sf_dir):
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    hits = search.lexical_rerank(questions, search.bm25_topk(chunks, questions, 10), chunks)
+    return questions, hits.join(chunks, "chunk_id")
+
+
+@query
+def extractive_answer(spark, sf_dir):
+    return answer.extractive_answers(*_contexts(spark, sf_dir))
+
+
+@query
+def prompt_context(spark, sf_dir):
+    questions, contexts = _contexts(spark, sf_dir)
+    return answer.build_prompts(questions, contexts.select("query_id", "doc_id", "text", "rank"))
+
+
+@query
+def faithfulness(spark, sf_dir):
+    answers = L.frame(spark, L.ANSWERS, "query_id int, answer string")
+    contexts = L.frame(spark, L.CONTEXTS, "query_id int, doc_id string, text string")
+    return evaluate.faithfulness(answers, contexts).withColumn("faithfulness", F.round("faithfulness", 6))
+
+
+@query
+def answer_relevance(spark, sf_dir):
+    rows = L.frame(spark, L.KEYWORDS, "query_id int, answer string, keywords array<string>")
+    return evaluate.answer_relevance(rows).withColumn("relevance", F.round("relevance", 6))
+
+
+def _run(spark, sf_dir, k=10):
+    hits = search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), k)
+    name = F.concat(F.lit("doc"), F.lpad(F.col("chunk_id").cast("string"), 9, "0"))
+    return hits.select("query_id", F.concat(name, F.lit("#s0")).alias("chunk_id"), name.alias("doc_id"), "rank")
+
+
+def _gold(spark, sf_dir):
+    """Documents that hold an item's whole text."""
+    docs = _table(spark, sf_dir, "documents")
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    pairs = docs.join(items, F.contains("text", "item"))
+    return pairs.select("query_id", F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("doc_id"))
+
+
+_MEASURES = ["precision", "recall", "mrr", "ndcg"]
+
+
+@query
+def ir_metrics(spark, sf_dir):
+    out = evaluate.retrieval_metrics(_run(spark, sf_dir), _gold(spark, sf_dir))
+    return out.select("query_id", *(F.round(c, 4).alias(c) for c in _MEASURES))
+
+
+@query
+def metric_gate(spark, sf_dir):
+    metrics = evaluate.retrieval_metrics(_run(spark, sf_dir), _gold(spark, sf_dir))
+    return evaluate.gate(evaluate.summary(metrics, _MEASURES), {"recall": 0.6, "ndcg": 0.6})
+
+
+@query
+def ndcg_graded(spark, sf_dir):
+    """Gold documents have grade 2, others of their source and quality 1 none."""
+    gold = _gold(spark, sf_dir).withColumn("grade", (F.length("doc_id") % 2 + F.substring("doc_id", -1, 1).cast("int") % 2).cast("int"))
+    out = evaluate.graded_metrics(_run(spark, sf_dir), gold)
+    return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr")))
+
+
+@query
+def drift_gate(spark, sf_dir):
+    return evaluate.drift(L.frame(spark, L.NOW, L.SUMMARY), L.frame(spark, L.BASE, L.SUMMARY), ["faithfulness", "recall", "ndcg"])
+
+
+@query
+def ablation(spark, sf_dir):
+    gold, chunks, questions = _gold(spark, sf_dir), _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    name = F.concat(F.lit("doc"), F.lpad(F.col("chunk_id").cast("string"), 9, "0"))
+    rows = {}
+    weights = index.bucket_weights(chunks)
+    for mode in ("dense", "bm25", "hybrid"):
+        hits = search.search(chunks, weights, questions, mode, 10)
+        run = hits.select("query_id", F.concat(name, F.lit("#s0")).alias("chunk_id"), name.alias("doc_id"), "rank")
+        rows[mode] = evaluate.summary(evaluate.retrieval_metrics(run, gold), _MEASURES)
+    return evaluate.ablation(rows)
+
+
+@query
+def qrels(spark, sf_dir):
+    return files.parse_qrels(L.frame(spark, L.QREL_LINES, "n int, value string"))
+
+
+# -- sessions, logs, admission ---------------------------------------------------------
+
+
+@query
+def last_turns(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id"))
+    return ops.last_per_key(rows, "session_id", "turn", 6).select("session_id", "turn", "role", "recency")
+
+
+@query
+def history_block(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    users = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    turns = users.join(answers, ["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.col("turn").alias("ts"), "q", "a")
+    return ops.history_block(ops.session_memory(turns, sessions_kept=1_000_000_000))
+
+
+@query
+def rate_window(spark, sf_dir):
+    return ops.trailing_counts(_table(spark, sf_dir, "events"), seconds=3600).select("event_id", "user_id", "in_window")
+
+
+@query
+def rate_limit_state(spark, sf_dir):
+    return ops.rate_limit_batch(_table(spark, sf_dir, "events"), limit=2, seconds=86400.0)
+
+
+@query
+def latency_pcts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "ts", "event_id", F.col("value").alias("ms"))
+    return ops.latency_summary(rows)
+
+
+@query
+def event_counts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("/"), "event_type", F.lit("/x")).alias("path"), (F.col("user_id") % 3).alias("status")
+    )
+    return ops.request_counts(rows)
+
+
+@query
+def gauges(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value"), F.struct("ts", "event_id").alias("ts"))
+    return ops.last_values(rows)
+
+
+@query
+def exposition(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("value"))
+    labels = F.create_map(F.lit("type"), F.concat("event_type", F.lit('"\n')), F.lit("app"), F.lit("x"))
+    return ops.exposition(rows.select(F.lit("events_total").alias("name"), labels.alias("labels"), "value"))
+
+
+@query
+def feedback_votes(spark, sf_dir):
+    votes = _table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "up").otherwise("down").alias("vote"))
+    return ops.vote_counts(votes)
+
+
+@query
+def answer_cache(spark, sf_dir):
+    asked = L.frame(spark, L.ASKED, "query_id int, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    stored = L.frame(spark, L.STORED, "key string, ts string, answer string").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ops.cached_answers(asked, stored)
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: SQL[name] for name in Q if name in SQL}
