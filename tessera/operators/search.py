@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,8 +208,6 @@ def lexical_rerank(queries: DataFrame, candidates: DataFrame, chunks: DataFrame,
 
 def rerank_with(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, score, top_n: int = 5, chars: int = 2000) -> DataFrame:
     """As lexical_rerank, by a model: score(question Series, text Series) -> Series."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def own(q: pd.Series, t: pd.Series) -> pd.Series:
         return score(q, t)

@@ -19,7 +19,7 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
     parsed where their libraries are installed, else read as text, as other suffixes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
     inner = F.substring_index(path, root, -1)
     named = files.select(inner.alias("doc_id"), "content").where(~F.concat(F.lit("/"), F.col("doc_id")).contains("/."))
