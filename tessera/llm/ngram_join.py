@@ -15,7 +15,9 @@ order, that of the hash values. Two sets link when
    carries the overlap so far, which all sets below share, and leaves a subtree
    as soon as the members still to come on either side can't raise it to the
    threshold, or when all sets below already are in the seeker's component.
-4. A family above `block_members` members of sets in all is dealt into blocks,
+4. A family above `block_members` members of sets in all first loses the sets
+   that can't link: too few of their members stand in any other set of it. What
+   is left is tied anew. A family still above is dealt into blocks,
    each a tree of its own. The blocks' components are joined through one
    set of each; where a family then still has several components, the
    sets outside its largest component seek links in every block. Blocks and
@@ -264,63 +266,110 @@ def _seek_links(num: int, den: int, width: int):
     return run
 
 
+def _signatures(members: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums of mixed members; equal sets have equal ones."""
+    if not len(members):
+        return np.uint64(0), np.uint64(0)
+    return (
+        np.add.reduce(kernel.mix(members ^ np.uint64(0x1234567))),
+        np.add.reduce(kernel.mix(members + np.uint64(0x7654321))),
+    )
+
+
+def _keyed(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """node, key: the keys of every text's set; its first signature is the node.
+    They are computed anew for each use, which is cheaper than keeping them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, n = [], [], 0
+            for members in _sets_of(batch.column(0), width):
+                own = keys_of(members, num, den)
+                if len(own):
+                    nodes.append(np.full(len(own), _signatures(members)[0]))
+                    keys.append(own)
+                    n += len(own)
+                if n >= 200_000:
+                    yield _key_batch(nodes, keys)
+                    nodes, keys, n = [], [], 0
+            if n:
+                yield _key_batch(nodes, keys)
+
+    return texts.where("doc_id is not null").select("text").mapInArrow(emit, "node long, key long")
+
+
+def _key_batch(nodes: list, keys: list) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (nodes, keys)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "key"])
+
+
+def _families(keyed: DataFrame, classes: DataFrame, block_members: int) -> DataFrame:
+    """doc_id, family, blocks, n_shingles, block of the classes' representatives
+    that share a key with another class. Classes with one first signature are one
+    node, which can only make a family larger."""
+    common = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    ties = keyed.join(common.select("key", "least"), "key").where("node != least").select(
+        F.col("node").alias("u"), F.col("least").alias("v")
+    )
+    families = connected(ties.distinct()).withColumnsRenamed({"vertex": "one", "component": "family"})
+    families = families.join(classes, "one").select("family", F.col("rep").alias("doc_id"), "n_shingles")
+    blocks = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("blocks"))
+    return families.join(blocks, "family").select(
+        "doc_id", "family", "blocks", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    )
+
+
+def _able(large: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """doc_id of the sets of large families that can have a link: a set's share of
+    members that any other set of its family holds must reach the threshold. So
+    sets that only have a passage in common leave."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family = batch.column(0).to_numpy().astype(np.uint64)
+            at = 0
+            for own in _sets_of(batch.column(2), width):
+                keys = kernel.mix(own + kernel.mix(family[at : at + 1]))
+                doc = pa.array(np.full(len(own), batch.column(1)[at].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(keys.view(np.int64))], ["doc_id", "member"])
+                at += 1
+
+    held = large.select("family", "doc_id").join(texts, "doc_id").select("family", "doc_id", "text")
+    rows = write_table(held.mapInArrow(members, "doc_id long, member long"), "members")
+    shared = rows.groupBy("member").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("member")
+    found = rows.join(shared, "member").groupBy("doc_id").agg(F.count("*").alias("n"))
+    # An id in several rows may count a member twice, which lets more through.
+    sizes = large.select("doc_id", "n_shingles")
+    return found.join(sizes, "doc_id").where(F.col("n") * den >= F.col("n_shingles") * num).select("doc_id")
+
+
 def _components(docs: DataFrame, num: int, den: int, width: int, block_members: int) -> tuple[DataFrame, DataFrame]:
     """(row table with n_shingles and class, table of representatives and their components)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, keys = [], [], [], []
+            sizes, signatures = [], []
             for members in _sets_of(batch.column(1), width):
                 sizes.append(len(members))
-                one.append(np.add.reduce(kernel.mix(members ^ np.uint64(0x1234567))) if len(members) else np.uint64(0))
-                two.append(np.add.reduce(kernel.mix(members + np.uint64(0x7654321))) if len(members) else np.uint64(0))
-                keys.append(keys_of(members, num, den))
-            lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-            ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                signatures.append(_signatures(members))
+            pairs = np.array(signatures, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
-                ],
-                ["doc_id", "n_shingles", "one", "two", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
+                ["doc_id", "n_shingles", "one", "two"],
             )
 
-    rows = write_table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            describe, "doc_id long, n_shingles long, one long, two long, keys array<long>"
-        ),
-        "sets",
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = write_table(texts.mapInArrow(describe, "doc_id long, n_shingles long, one long, two long"), "sets")
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = write_table(classes, "classes")
-    # Rows of the representatives; one for each, should an id stand in several rows.
-    reps = filled.join(
-        classes.select(F.col("rep").alias("doc_id"), "one", "two", "n_shingles"),
-        ["doc_id", "one", "two", "n_shingles"],
-        "left_semi",
-    )
-    keyed = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    common = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    ties = keyed.join(common.select("key", "least"), "key").where("doc_id != least").select(
-        F.col("doc_id").alias("u"), F.col("least").alias("v")
-    )
-    families = connected(ties.distinct()).withColumnsRenamed({"vertex": "doc_id", "component": "family"})
-    weights = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    families = families.join(weights, "doc_id")
-    blocks = families.groupBy("family").agg(
-        F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("blocks")
-    )
-    families = cut(
-        families.join(blocks, "family").select(
-            "doc_id", "family", "blocks", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
-        )
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    families = cut(_families(_keyed(texts, num, den, width), classes, block_members))
+    large = families.where("blocks > 1")
+    if not large.isEmpty():
+        able = cut(_able(large, texts, num, den, width))
+        again = _keyed(texts.join(able, "doc_id", "left_semi"), num, den, width)
+        families = cut(families.where("blocks = 1").unionByName(_families(again, classes, block_members)))
+    weights = families.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     # Ids that stand in several rows bring all their texts.
     held = families.join(texts, "doc_id").select("family", "block", "blocks", "doc_id", "text")
     schema = "family long, doc_id long, component long"
@@ -328,7 +377,8 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     found = write_table(found.distinct(), "links")
     split = families.where("blocks > 1").select("family").distinct()
     if split.isEmpty():
-        return rows, _with_classes(found.select("doc_id", "component"), classes)
+        own = found.groupBy("doc_id").agg(F.min("component").alias("component"))
+        return rows, _with_classes(own, classes)
 
     # Families of several blocks. One set of each block's component meets the others'.
     links = [found.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))]
