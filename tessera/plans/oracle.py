@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.answer import PROMPT
 from . import literals as L
 
 SQL: dict[str, str] = {}
@@ -338,3 +339,22 @@ SQL["qrels"] = f"""
 WITH l AS {L.values(L.QREL_LINES, "n, value")}, p AS (SELECT n, string_split_regex(trim(value), '\\s+') AS p FROM l),
 g AS (SELECT p[1] AS query_id, p[2] AS doc_id, try_cast(try_cast(p[3] AS DOUBLE) AS INT) AS grade, n FROM p WHERE len(p) >= 3 AND p[1] <> 'query-id')
 SELECT query_id, doc_id, arg_max(grade, n) AS grade FROM g GROUP BY ALL HAVING arg_max(grade, n) IS NOT NULL"""
+
+_CONTEXTS = f"""{_BM25},
+t10 AS (SELECT * FROM bm WHERE rank <= 10),
+cs AS (SELECT h.query_id, h.chunk_id, h.rank AS prior, d.text, b.text AS question, list_distinct({_plain("b.text")}) AS q, {_plain("d.text")} AS t,
+         regexp_extract_all(upper(b.text), '[A-Z]{{2,}}-\\d+') AS qc, regexp_extract_all(upper(d.text), '[A-Z]{{2,}}-\\d+') AS tc
+       FROM t10 h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+cr AS (SELECT *, round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN list_has_any(qc, tc) THEN 0.5 ELSE 0 END, 4) AS rerank_score FROM cs),
+cx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, prior) AS rank FROM cr QUALIFY rank <= 5)"""
+_PROMPT = [part.replace("'", "''") for part in PROMPT]
+SQL["prompt_context"] = f"""WITH {_CONTEXTS},
+pg AS (SELECT query_id, any_value(question) AS question,
+         string_agg('[' || chunk_id || '] ' || regexp_replace(substr(text, 1, 1200), '(?i)</\\s*(retrieved-context|context|system|instruction)\\s*>', '[escaped-tag]', 'g'),
+                    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body, string_agg('[' || chunk_id || ']', ', ' ORDER BY rank) AS cited
+       FROM cx GROUP BY query_id)
+SELECT query_id, '{_PROMPT[0]}' || body || '{_PROMPT[1]}' || question || chr(10) || '(You may cite ONLY these files: ' || cited || '.)' || '{_PROMPT[2]}' AS prompt FROM pg"""
+SQL["model_triples"] = f"""
+WITH r AS {L.values(L.REPLIES, "chunk_id, reply")}, j AS (SELECT chunk_id, regexp_extract(reply, '(?s)(\\[.*\\])', 1) AS js FROM r),
+u AS (SELECT chunk_id, unnest(from_json(js, '[{{"s":"VARCHAR","r":"VARCHAR","o":"VARCHAR"}}]')) AS t FROM j WHERE json_valid(js))
+SELECT t.s AS s, t.r AS r, t.o AS o, chunk_id FROM u WHERE t.s IS NOT NULL AND t.r IS NOT NULL AND t.o IS NOT NULL"""
