@@ -12,6 +12,7 @@ from . import (
     lm,
     mixing,
     ngram_join,
+    oracle,
     pii,
     quality_rules,
     secret_scan,
@@ -98,7 +99,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of 150 % takes from every document."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def _draw(x, start: int):
@@ -152,4 +153,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
