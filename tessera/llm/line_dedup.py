@@ -148,18 +148,25 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
         F.struct("doc_id", "digest", F.col("x.line").alias("line")).alias("place"),
         F.regexp_extract_all("x.content", F.lit(_WORD), F.lit(0)).alias("words"),
     )
+    # Numbers that rise with the place stand for it: a range sort, then a count within each part.
+    own = own.dropDuplicates(["place"]).orderBy("place").withColumn("n", F.monotonically_increasing_id())
     own = write_table(own, "near-lines")
-    variants = own.select("place", F.explode(_variants(F.col("words"))).alias("v")).select("place", "v.at", "v.key")
-    deleted, whole = variants.where("at >= 0"), variants.where("at < 0").select("place", "key")
-    exchanges = deleted.groupBy("key", "at").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
-    shorter = whole.groupBy("key").agg(F.min("place").alias("first"))
-    met = [deleted.join(exchanges.drop("last"), ["key", "at"]), deleted.join(shorter, "key")]
-    meetings = met[0].select("place", "first").union(met[1].select("place", "first"))
+    variants = own.select("n", F.explode(_variants(F.col("words"))).alias("v")).select("n", "v.at", "v.key")
+    variants = write_table(variants, "variants")
+    deleted, whole = variants.where("at >= 0"), variants.where("at < 0").select("n", "key")
+    exchanges = deleted.groupBy("key", "at").agg(F.min("n").alias("first"), F.max("n").alias("last")).where("first != last")
+    shorter = whole.groupBy("key").agg(F.min("n").alias("first"))
     # The whole lines against the earliest line that has them as a variant.
-    longer = deleted.groupBy("key").agg(F.min("place").alias("first"))
-    meetings = meetings.union(whole.join(longer, "key").select("place", "first")).where("first < place").distinct()
-    texts_of_first = own.select(F.col("place").alias("first"), F.col("words").alias("first_words"))
-    verified = meetings.join(own, "place").join(texts_of_first, "first").where(within_one(F.col("words"), F.col("first_words")))
+    longer = deleted.groupBy("key").agg(F.min("n").alias("first")).join(whole.select("key").distinct(), "key", "left_semi")
+    met = [
+        deleted.join(exchanges.drop("last"), ["key", "at"]),
+        deleted.join(shorter, "key"),
+        whole.join(longer, "key"),
+    ]
+    meetings = met[0].select("n", "first").union(met[1].select("n", "first")).union(met[2].select("n", "first"))
+    meetings = meetings.where("first < n").distinct()
+    texts_of_first = own.select(F.col("n").alias("first"), F.col("words").alias("first_words"))
+    verified = meetings.join(own, "n").join(texts_of_first, "first").where(within_one(F.col("words"), F.col("first_words")))
     every = exact.union(verified.select("place.*"))
     return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
