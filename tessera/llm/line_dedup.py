@@ -131,11 +131,12 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     repeated = groups.where("first != last").select("h1", "h2", "first")
     exact = lines.select(*_PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(place != F.col("first")).select(*_PLACE)
 
-    # Distinct lines that share a half, by their first places.
-    firsts = lines.where(F.size("halves") > 0).groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min("halves").alias("halves"))
-    halves = firsts.select("place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a != b").select("half")
-    near = cut(halves.join(shared, "half").select("place").distinct().select("place.*"))
+    # Lines that share a half with another, told by one hash: a collision lets more through.
+    halves = lines.select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
+    likely = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    firsts = lines.select(*_PLACE, "h1", "h2").join(likely, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"))
+    near = cut(firsts.select("place.*"))
     of_document = near.groupBy(*_DOC).agg(F.collect_list("line").alias("wanted"))
     wanted = of_document.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "wanted")
     keyed = docs.select("doc_id", _digest().alias("digest"), "text")
