@@ -48,6 +48,9 @@ from .components import connected
 from .storage import cut, write_table
 
 BLOCK_MEMBERS = 30_000
+#: Bytes of text to a shard of keys, and keys that a task holds before it sends them on.
+TIE_SHARD_BYTES = 4 << 20
+TIE_BUFFER = 1_000_000
 _STEP = 1.5
 _SEEK = ("family", "block", "lot", "doc_id", "component", "text")
 
@@ -276,42 +279,75 @@ def _signatures(members: np.ndarray) -> tuple[np.uint64, np.uint64]:
     )
 
 
-def _keyed(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """node, key: the keys of every text's set; its first signature is the node.
-    They are computed anew for each use, which is cheaper than keeping them."""
+def _tie(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key with its least node, and pairs that tie a key's other nodes to it."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    least = nodes[first][np.cumsum(first) - 1]
+    other = nodes != least
+    return keys[first], nodes[first], np.unique(np.stack([nodes[other], least[other]], 1), axis=0)
+
+
+def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """u, v: pairs of nodes that connect all nodes with a common key; a node is the
+    first signature of a text's set.
+
+    Keys travel packed, by shard: a task sorts what it holds, ties the nodes of
+    equal keys, and sends each key once, with its least node. So a key that very
+    many sets have comes to its shard once from each task's buffer. Shards follow
+    the texts' size.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / TIE_SHARD_BYTES))
+
+    def send(held: list) -> pa.RecordBatch:
+        keys, nodes, pairs = _tie(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        # Ties ride with the shards in turn.
+        lots = np.array_split(pairs, shards)
+        used = [i for i in range(shards) if cuts[i + 1] > cuts[i] or len(lots[i])]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(used, pa.int32()),
+                pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()),
+                pa.array([nodes[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()),
+                pa.array([lots[i].tobytes() for i in used], pa.binary()),
+            ],
+            ["shard", "keys", "nodes", "ties"],
+        )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            nodes, keys, n = [], [], 0
             for members in _sets_of(batch.column(0), width):
                 own = keys_of(members, num, den)
                 if len(own):
-                    nodes.append(np.full(len(own), _signatures(members)[0]))
-                    keys.append(own)
+                    held.append((own, np.full(len(own), _signatures(members)[0])))
                     n += len(own)
-                if n >= 200_000:
-                    yield _key_batch(nodes, keys)
-                    nodes, keys, n = [], [], 0
-            if n:
-                yield _key_batch(nodes, keys)
-
-    return texts.where("doc_id is not null").select("text").mapInArrow(emit, "node long, key long")
-
+                if n >= TIE_BUFFER:
+                    yield send(held)
+                    held, n = [], 0
+        if n:
+            yield send(held)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        keys, nodes, ties = (
+            np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column(c)]) for c in ("keys", "nodes", "ties")
+        )
+        pairs = np.unique(np.concatenate([_tie(keys, nodes)[2], ties.reshape(-1, 2)]), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0].copy().view(np.int64)), "v": pa.array(pairs[:, 1].copy().view(np.int64))})
 
-def _key_batch(nodes: list, keys: list) -> pa.RecordBatch:
-    columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (nodes, keys)]
-    return pa.RecordBatch.from_arrays(columns, ["node", "key"])
+    packed = texts.where("doc_id is not null").select("text").mapInArrow(emit, "shard int, keys binary, nodes binary, ties binary")
+    return packed.groupBy("shard").applyInArrow(merge, "u long, v long")
 
 
-def _families(keyed: DataFrame, classes: DataFrame, block_members: int) -> DataFrame:
+def _families(ties: DataFrame, classes: DataFrame, block_members: int) -> DataFrame:
     """doc_id, family, blocks, n_shingles, block of the classes' representatives
     that share a key with another class. Classes with one first signature are one
     node, which can only make a family larger."""
-    common = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    ties = keyed.join(common.select("key", "least"), "key").where("node != least").select(
-        F.col("node").alias("u"), F.col("least").alias("v")
-    )
-    families = connected(ties.distinct()).withColumnsRenamed({"vertex": "one", "component": "family"})
+    families = connected(ties).withColumnsRenamed({"vertex": "one", "component": "family"})
     families = families.join(classes, "one").select("family", F.col("rep").alias("doc_id"), "n_shingles")
     blocks = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("blocks"))
     return families.join(blocks, "family").select(
@@ -363,11 +399,11 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = write_table(classes, "classes")
-    families = cut(_families(_keyed(texts, num, den, width), classes, block_members))
+    families = cut(_families(_ties(texts, num, den, width), classes, block_members))
     large = families.where("blocks > 1")
     if not large.isEmpty():
         able = cut(_able(large, texts, num, den, width))
-        again = _keyed(texts.join(able, "doc_id", "left_semi"), num, den, width)
+        again = _ties(texts.join(able, "doc_id", "left_semi"), num, den, width)
         families = cut(families.where("blocks = 1").unionByName(_families(again, classes, block_members)))
     weights = families.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     # Ids that stand in several rows bring all their texts.
