@@ -2,8 +2,10 @@
 functions alone.
 
 Lines part at `\\n`; a line is its sequence of words, and the edit bound is one
-word put in, left out or exchanged. Lines with fewer than `min_words` words are
-never dropped, those with fewer than `near_words` only as exact repeats. Of equal
+word put in, left out or exchanged. With `words_per_edit` it grows with the line:
+one word for each so many of the shorter line's, at least one. Lines with fewer
+than `min_words` words are never dropped, those with fewer than `near_words` only
+as exact repeats. Of equal
 or near lines the earliest stays, by document id, digest of the text, and number
 of the line; a line is dropped if an earlier one is within the bound of it.
 
@@ -17,6 +19,11 @@ of the line; a line is dropped if an earlier one is within the bound of it.
    group is an aggregate, so a variant that very many lines share is no task of
    its own, and no pairs within a group are made.
 4. Each line and the earliest line it meets are compared word for word.
+5. Bounds of d > 1 edits: cut into d + 1 runs, the shorter line has one that no
+   edit touches. Lines emit the least hash of the short runs in every window of
+   such a length, so lines within the bound have one in common. A line is first
+   compared to the earliest line of each of its hashes; what that leaves, to all
+   earlier ones, by the edit distance over words.
 
 A variant's hash takes time in proportion to its line's words, from sums of
 hashes of words and their places (40 bits each, so that no sum overflows).
@@ -116,15 +123,114 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _chars(words: Column, code) -> Column:
+    """A string with the character of code(word), below 2**20, for each word."""
+    point = lambda w: F.lpad(F.hex(code(w) + F.lit(1 << 16)), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, point), "")), "UTF-32")
+
+
+def _hashed(words: Column) -> Column:
+    return _chars(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 20)))
+
+
+def within(a: Column, b: Column, edits: Column | int) -> Column:
+    """Whether at most so many words put in, left out or exchanged make the arrays equal."""
+    vocabulary = F.array_distinct(F.concat(a, b))
+    exact = F.element_at(
+        F.transform(
+            F.array(F.struct(vocabulary.alias("v"), a.alias("a"), b.alias("b"))),
+            lambda p: F.levenshtein(
+                _chars(p["a"], lambda w: F.array_position(p["v"], w)), _chars(p["b"], lambda w: F.array_position(p["v"], w))
+            ),
+        ),
+        1,
+    )
+    return exact <= edits
+
+
+def _least(k: int):
+    """The least of each k neighbours in an array."""
+
+    def least(h: Column) -> Column:
+        parts = h
+        for j in range(1, k):
+            size = F.size(h) - j
+            parts = F.zip_with(F.slice(parts, F.lit(1), size), F.slice(h, F.lit(j + 1), size), lambda x, y: F.least(x, y))
+        return parts
+
+    return least
+
+
+def _runs(words: Column, n: Column, words_per_edit: int) -> Column:
+    """Distinct keys of a line of at least 2 * words_per_edit words: any two lines
+    within the bound, as the shorter one's length gives it, have one in common."""
+    e = words_per_edit
+    # Shortest untouched run of lines of up to 4e - 1 words, and of longer ones.
+    classes = [(2 * e, 4 * e, min(2 * e // 3, 3 * e // 4)), (4 * e, None, 4 * e // 5)]
+    out = []
+    for low, high, run in classes:
+        gram = max(1, run - 2)
+        apart = run - gram + 1
+        # A partner is at most 1 / e longer than the shorter line.
+        has = (n >= low) if high is None else (n >= low) & (n * e <= (high - 1) * (e + 1))
+        grams = F.transform(F.sequence(F.lit(1), n - gram + 1), lambda i: F.xxhash64(F.lit(run), F.slice(words, i, F.lit(gram))))
+
+        # Any run has the same grams in both lines, so the same least one.
+        keys = F.array_distinct(F.element_at(F.transform(F.array(grams), _least(run - gram + 1)), 1))
+        out.append(F.when(has, keys).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*out)
+
+
+def _far(own: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
+    """Numbers of lines that an earlier one is within a bound of several edits of.
+    own: n, words. gone: numbers that need not be looked at."""
+    size = F.size("words")
+    texts = own.where(size >= 2 * words_per_edit).select("n", "words", _hashed(F.col("words")).alias("chars"))
+    firsts_of = texts.select(F.col("n").alias("first"), F.col("words").alias("first_words"), F.col("chars").alias("first_chars"))
+    runs = texts.select("n", size.alias("size"), F.explode(_runs(F.col("words"), size, words_per_edit)).alias("key"))
+    runs = write_table(runs, "runs")
+
+    def bound(x: Column, y: Column) -> Column:
+        return F.floor(F.least(x, y) / words_per_edit).cast("int")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        edits = bound(F.size("words"), F.size("first_words"))
+        # Characters by hash may agree where words differ, so they only rule out.
+        rough = F.call_function("levenshtein", F.col("chars"), F.col("first_chars"), edits) >= 0
+        both = pairs.join(texts, "n").join(firsts_of, "first").where(rough)
+        return both.where(within(F.col("words"), F.col("first_words"), edits)).select("n").distinct()
+
+    close = (F.col("first") < F.col("n")) & (F.abs(F.col("size") - F.col("first_size")) <= bound(F.col("size"), F.col("first_size")))
+    groups = runs.groupBy("key").agg(F.min(F.struct("n", "size")).alias("f"), F.count("*").alias("held")).where("held > 1")
+    groups = groups.select("key", F.col("f.n").alias("first"), F.col("f.size").alias("first_size"))
+    asked = runs.join(gone, "n", "left_anti")
+    found = cut(confirmed(asked.join(groups, "key").where(close).select("n", "first").distinct()))
+    rest = asked.join(found, "n", "left_anti")
+    earlier = runs.select("key", F.col("n").alias("first"), F.col("size").alias("first_size"))
+    more = confirmed(rest.join(earlier, "key").where(close).select("n", "first").distinct())
+    return found.union(more)
+
+
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """h1 of the lines that have a key another line has. keyed: h1, key."""
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
+    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
+
+
+def dropped_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, words_per_edit: int | None = None
+) -> DataFrame:
     """doc_id, digest and the sorted numbers of the lines to drop, of documents that
-    have any. docs: doc_id, text."""
+    have any. docs: doc_id, text. Without words_per_edit the bound is one word."""
+    if words_per_edit is not None and (words_per_edit < 3 or min_words > 2 * words_per_edit or near_words > 2 * words_per_edit):
+        raise ValueError("words_per_edit needs 3 at least, and half of min_words and near_words")
     docs = docs.select("doc_id", "text")
     n = F.size("words")
     near_enough = F.when(n >= near_words, _halves(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
-    lines = _lines(docs).where(n >= min_words).select(
-        *_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("halves")
-    )
+    columns = [*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("halves")]
+    if words_per_edit is not None:
+        columns.append(_runs(F.col("words"), n, words_per_edit).alias("runs"))
+    lines = _lines(docs).where(n >= min_words).select(*columns)
     lines = write_table(lines, "lines")
     place = F.struct(*_PLACE)
     groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -132,9 +238,12 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     exact = lines.select(*_PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(place != F.col("first")).select(*_PLACE)
 
     # Lines that share a half with another, told by one hash: a collision lets more through.
-    halves = lines.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
-    likely = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    likely = _sharing(lines.select("h1", F.explode("halves").alias("key")))
+    if words_per_edit is not None:
+        far = _sharing(lines.select("h1", F.explode("runs").alias("key")))
+        likely = cut(likely.withColumn("near", F.lit(True)).union(far.withColumn("near", F.lit(False))))
+        one_edit = likely.where("near").select("h1")
+        likely = likely.select("h1").distinct()
     firsts = lines.select(*_PLACE, "h1", "h2").join(likely, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"))
     near = cut(firsts.select("place.*"))
     of_document = near.groupBy(*_DOC).agg(F.collect_list("line").alias("wanted"))
@@ -152,7 +261,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     # Numbers that rise with the place stand for it: a range sort, then a count within each part.
     own = own.dropDuplicates(["place"]).orderBy("place").withColumn("n", F.monotonically_increasing_id())
     own = write_table(own, "near-lines")
-    variants = own.select("n", F.explode(_variants(F.col("words"))).alias("v")).select("n", "v.at", "v.key")
+    changed = own
+    if words_per_edit is not None:
+        changed = own.withColumn("h1", F.xxhash64("words")).join(one_edit, "h1", "left_semi")
+    variants = changed.select("n", F.explode(_variants(F.col("words"))).alias("v")).select("n", "v.at", "v.key")
     variants = write_table(variants, "variants")
     deleted, whole = variants.where("at >= 0"), variants.where("at < 0").select("n", "key")
     exchanges = deleted.groupBy("key", "at").agg(F.min("n").alias("first"), F.max("n").alias("last")).where("first != last")
@@ -168,6 +280,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     meetings = meetings.where("first < n").distinct()
     texts_of_first = own.select(F.col("n").alias("first"), F.col("words").alias("first_words"))
     verified = meetings.join(own, "n").join(texts_of_first, "first").where(within_one(F.col("words"), F.col("first_words")))
+    if words_per_edit is not None:
+        numbers = cut(verified.select("n").distinct())
+        numbers = numbers.union(_far(own, numbers, words_per_edit))
+        verified = own.join(numbers, "n", "left_semi")
     every = exact.union(verified.select("place.*"))
     return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import line_dedup
 
 
@@ -89,3 +91,39 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.report(df).collect())
     assert got == [(1, 0), (1, 0), (2, 1)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_bound_grows_with_the_line(spark):
+    """Against brute force: one edit for each ten words of the shorter line."""
+    rng = random.Random(8)
+    vocabulary = ["the", "of", "a"] + [f"w{i}" for i in range(60)]
+    sizes = [3, 5, 9, 10, 18, 19, 20, 21, 29, 30, 38, 39, 40, 41, 42, 55, 80, 130]
+    pool = [[rng.choice(vocabulary) for _ in range(n)] for n in sizes for _ in range(2)]
+    docs, seen, want = [], [], {}
+    for doc in range(150):
+        lines = []
+        for i in range(rng.randint(1, 4)):
+            line = list(rng.choice(pool))
+            for _ in range(rng.randint(0, len(line) // 10 + 1)):
+                at, what = rng.randrange(len(line)), rng.randrange(3)
+                line[at : at + (what > 0)] = [rng.choice(vocabulary)] * (what < 2)
+            least = [min(len(line), len(x)) for x in seen]
+            if any(line == x or m >= 5 and distance(line, x) <= max(1, m // 10) for x, m in zip(seen, least, strict=True)):
+                want.setdefault(doc, []).append(i)
+            seen.append(line)
+            lines.append(" ".join(line))
+        docs.append((doc, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = line_dedup.dropped_lines(df, min_words=1, near_words=5, words_per_edit=10)
+    assert {r["doc_id"]: r["dropped"] for r in got.collect()} == want
+    one = line_dedup.dropped_lines(df, min_words=1, near_words=5)
+    assert one.select(F.sum(F.size("dropped"))).first()[0] < sum(map(len, want.values()))
