@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has, give or take a word in ten."""
-    return line_dedup.drop_repeated_lines(docs, words_per_edit=10)
+    return line_dedup.drop_repeated_lines(docs, min_words=1, near_words=5, words_per_edit=10)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,12 @@ def test_bound_grows_with_the_line(spark):
     assert {r["doc_id"]: r["dropped"] for r in got.collect()} == want
     one = line_dedup.dropped_lines(df, min_words=1, near_words=5)
     assert one.select(F.sum(F.size("dropped"))).first()[0] < sum(map(len, want.values()))
+
+
+def test_pipeline_takes_short_lines(spark):
+    import corpus_pipeline
+
+    long = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    docs = [(1, f"one line\nfive words are too few\n{long[0]}"), (2, f"{long[1]}\none line\n\nfive words were too few"), (3, f"one  line\n{long[2]}\nother line")]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: docs[0][1], 2: f"{long[1]}\n", 3: f"{long[2]}\nother line"}
