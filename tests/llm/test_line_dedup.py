@@ -136,3 +136,12 @@ def test_pipeline_takes_short_lines(spark):
     docs = [(1, f"one line\nfive words are too few\n{long[0]}"), (2, f"{long[1]}\none line\n\nfive words were too few"), (3, f"one  line\n{long[2]}\nother line")]
     got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: docs[0][1], 2: f"{long[1]}\n", 3: f"{long[2]}\nother line"}
+
+
+def test_pipeline_keeps_a_documents_own_words(spark):
+    import corpus_pipeline
+
+    shared, later = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 60), ("t", 8)))
+    docs = [(1, shared), (2, f"{shared}\n{later}"), (3, f"{later}\nnothing else is here"), (4, shared)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: shared, 2: later, 3: "nothing else is here"}
