@@ -7,7 +7,12 @@ item and a document are hits. Around each hit the item is laid over the document
 on the hit's diagonal, and words are compared one by one. A document is
 contaminated by an item if at least `min_overlap` of the item's words agree.
 
-Items shorter than a mask are sought whole, by one hash of all their words.
+The masks follow from an item's length, so that no such overlap lacks a hit: if k
+of n words agree, the k - q + 1 rows of q agreeing words in succession span at most
+(q - 1) (n - 1) words together, and the shortest at most their mean. All masks of
+weight q up to that span are used.
+
+Items under `whole_below` words are sought whole, by one hash of all their words.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words matches nothing; null ids are kept as ids; repeated rows give repeated
@@ -16,6 +21,9 @@ results; other columns are ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +34,15 @@ from pyspark.sql import types as T
 
 from . import kernel
 
-#: 1: the word counts; 0: it may differ. Any one or two substitutions in a row of
-#: sixteen words leave some window of some mask untouched.
-MASKS = ("11101001100101111", "111011010011011", "1111111")
+#: Items with fewer words are sought whole: half of a few words is no sign of a copy.
+WHOLE_BELOW = 7
+#: Masks of greater weight have fewer chance hits, but there are more; up to so many are taken.
+MOST_MASKS = 12
+#: Hits, and words to compare, that are held at once.
+HITS = 1 << 20
 #: Items up to this many characters altogether are broadcast; more are joined by shuffle.
-BROADCAST_CHARS = 32_000_000
+#: At ten masks or so, each of their words takes some 160 bytes of every worker.
+BROADCAST_CHARS = 12_000_000
 
 RESULT = T.StructType(
     [
@@ -45,16 +57,39 @@ RESULT = T.StructType(
 )
 
 
+def least_agreeing(n: int, min_overlap: float) -> int:
+    """The least number of words, of an item's n, that makes an overlap."""
+    return max(1, next(k for k in range(n + 1) if k >= min_overlap * n or k == n))
+
+
+@functools.cache
+def masks_of(n: int, min_overlap: float, whole_below: int = WHOLE_BELOW) -> tuple[str, ...]:
+    """Masks (1: the word counts) of which one hits, whichever of an item's n words agree."""
+    if n < whole_below:
+        return ("1" * n,) if n else ()
+    k = least_agreeing(n, min_overlap)
+    best: tuple[str, ...] = ()
+    for q in range(1, min(k, 8) + 1):
+        span = min(n - 1, (q - 1) * (n - 1) // (k - q + 1))
+        count = 1 if q == 1 else sum(math.comb(s - 1, q - 2) for s in range(q - 1, span + 1))
+        if q > 3 and count > MOST_MASKS:
+            break
+        inner = ((s, c) for s in range(q - 1, span + 1) for c in itertools.combinations(range(1, s), q - 2)) if q > 1 else ()
+        best = tuple("".join("1" if i in (0, s, *c) else "0" for i in range(s + 1)) for s, c in inner) if q > 1 else ("1",)
+    return best
+
+
 def _picks(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def seed_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
+def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window of len(mask) words."""
+    number = int(mask, 2)
     m = len(words) - len(mask) + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, np.uint64(number + 1), np.uint64)
+    out = np.full(m, np.uint64(number % (1 << 64)), np.uint64)
     for k in _picks(mask):
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += words[k : k + m]
@@ -64,44 +99,62 @@ def seed_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
 class Items:
     """Test items: their words, and a sorted array of seed hashes with places."""
 
-    def __init__(self, ids: list, texts: pa.Array, masks: tuple[str, ...]):
-        self.masks, self.ids, self.words = masks, ids, []
+    def __init__(self, ids: list, texts: pa.Array, min_overlap: float, whole_below: int = WHOLE_BELOW):
+        self.ids, self.min_overlap = ids, min_overlap
+        own: list[np.ndarray] = []
         for _, _, data, offsets in kernel.chunks(texts):
             words, first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)
-            self.words += [words[a:b].copy() for a, b in zip(first[:-1], first[1:], strict=True)]
-        shortest = min(map(len, masks))
-        self.whole_lengths = sorted({len(w) for w in self.words if 0 < len(w) < shortest})
-        hashes, places = [], []
-        for item, words in enumerate(self.words):
-            for number, mask in enumerate(masks):
-                h = seed_hashes(words, mask, number)
+            own += [words[a:b].copy() for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.words = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        self.sizes = np.array([len(w) for w in own], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        of_item = [masks_of(len(w), min_overlap, whole_below) for w in own]
+        self.least = np.array([len(w) if len(w) < whole_below else least_agreeing(len(w), min_overlap) for w in own], np.int64)
+        self.masks = sorted({m for masks in of_item for m in masks})
+        hashes, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for item, (words, masks) in enumerate(zip(own, of_item, strict=True)):
+            for mask in masks:
+                h = seed_hashes(words, mask)
                 hashes.append(h)
-                places.append(np.stack([np.full(len(h), item), np.arange(len(h))], 1))
-            if 0 < len(words) < shortest:
-                hashes.append(seed_hashes(words, "1" * len(words), 100 + len(words)))
-                places.append(np.array([[item, 0]]))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.places = np.concatenate(places) if places else np.zeros((0, 2), np.int64)
+                items.append(np.full(len(h), item, np.int32))
+                places.append(np.arange(len(h), dtype=np.int32))
+        self.hashes = np.concatenate(hashes)
         order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.places = self.hashes[order], self.places[order]
+        self.hashes, self.items, self.places = self.hashes[order], np.concatenate(items)[order], np.concatenate(places)[order]
         bits = max(16, int(len(self.hashes)).bit_length() + 5)
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
         self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, position in the item) of equal seed hashes."""
-        if not len(self.hashes):
-            return
-        every = [seed_hashes(words, mask, n) for n, mask in enumerate(self.masks)]
-        every += [seed_hashes(words, "1" * n, 100 + n) for n in self.whole_lengths]
-        for hashes in every:
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions, items and positions in the items of equal seed hashes, in lots."""
+        for mask in self.masks:
+            hashes = seed_hashes(words, mask)
             maybe = np.flatnonzero(self.filter[(hashes >> self.shift).astype(np.int64)])
             low = np.searchsorted(self.hashes, hashes[maybe], "left")
-            high = np.searchsorted(self.hashes, hashes[maybe], "right")
-            for i in np.flatnonzero(high > low).tolist():
-                for item, at in self.places[low[i] : high[i]].tolist():
-                    yield int(maybe[i]), item, at
+            count = np.searchsorted(self.hashes, hashes[maybe], "right") - low
+            maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
+            ends = np.cumsum(count)
+            lot = (ends - count) // HITS
+            for i in np.unique(lot).tolist():
+                n, own = count[lot == i], low[lot == i]
+                k = np.repeat(own - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield np.repeat(maybe[lot == i], n), self.items[k].astype(np.int64), self.places[k].astype(np.int64)
+
+    def agreeing(self, words: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Words of each item, laid from `begin`, that agree with those of words[low:high]."""
+        out, at = np.zeros(len(item), np.int64), 0
+        while at < len(item):
+            # As many as have HITS words together, one at least.
+            upto = at + max(1, int(np.searchsorted(np.cumsum(self.sizes[item[at : at + HITS]]), HITS, "right")))
+            own, n = item[at:upto], self.sizes[item[at:upto]]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            where = np.repeat(begin[at:upto], n) + inner
+            inside = (where >= np.repeat(low[at:upto], n)) & (where < np.repeat(high[at:upto], n))
+            same = inside & (words[np.where(inside, where, 0)] == self.words[np.repeat(self.starts[own], n) + inner])
+            out[at:upto] = np.bincount(np.repeat(np.arange(upto - at), n)[same], minlength=upto - at)
+            at = upto
+        return out
 
 
 def agreeing(document: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -110,37 +163,41 @@ def agreeing(document: np.ndarray, item: np.ndarray, shift: int) -> int:
     return int(np.count_nonzero(item[low:high] == document[low + shift : high + shift])) if high > low else 0
 
 
-def overlaps(words: np.ndarray, first: np.ndarray, items: Items, min_overlap: float) -> Iterator[tuple]:
+def overlaps(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple]:
     """(text, item, hits, agreeing words, item's words, first word) of verified overlaps."""
-    found: dict[tuple[int, int, int], int] = {}
+    found = np.zeros((0, 4), np.int64)
     for at, item, inner in items.hits(words):
-        text = int(np.searchsorted(first, at, "right")) - 1
-        key = (text, item, at - inner - int(first[text]))
-        found[key] = found.get(key, 0) + 1
+        text = np.searchsorted(first, at, "right") - 1
+        lot, n = np.unique(np.stack([text, item, at - inner - first[text]], 1), axis=0, return_counts=True)
+        same = items.agreeing(words, first[lot[:, 0]] + lot[:, 2], first[lot[:, 0]], first[lot[:, 0] + 1], lot[:, 1])
+        good = same >= items.least[lot[:, 1]]
+        found = np.concatenate([found, np.column_stack([lot, n])[good]]) if good.any() else found
+    if not len(found):
+        return
+    diagonals, of = np.unique(found[:, :3], axis=0, return_inverse=True)
+    hits = np.bincount(of.reshape(-1), found[:, 3], len(diagonals)).astype(np.int64)
+    text, item, shift = diagonals.T
+    same = items.agreeing(words, first[text] + shift, first[text], first[text + 1], item)
     best: dict[tuple[int, int], list[int]] = {}
-    for (text, item, shift), n in sorted(found.items()):
-        document = words[first[text] : first[text + 1]]
-        same = agreeing(document, items.words[item], shift)
-        if same < min_overlap * len(items.words[item]):
-            continue
-        old = best.get((text, item))
-        hits = n + (old[0] if old else 0)
-        best[text, item] = [hits, same, shift] if old is None or same > old[1] else [hits, *old[1:]]
-    for (text, item), (hits, same, shift) in best.items():
-        yield text, item, hits, same, len(items.words[item]), max(0, shift)
-
-
-def _by_broadcast(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float) -> DataFrame:
+    for t, i, d, n, x in zip(text.tolist(), item.tolist(), shift.tolist(), hits.tolist(), same.tolist(), strict=True):
+        old = best.get((t, i))
+        total = n + (old[0] if old else 0)
+        best[t, i] = [total, x, d] if old is None or x > old[1] else [total, *old[1:]]
+    for (t, i), (n, x, d) in best.items():
+        yield t, i, n, x, int(items.sizes[i]), max(0, d)
+
+
+def _by_broadcast(docs: DataFrame, benchmark: DataFrame, min_overlap: float, whole_below: int) -> DataFrame:
     rows = benchmark.select("item_id", "text").collect()
     shared = docs.sparkSession.sparkContext.broadcast(
-        ([r["item_id"] for r in rows], [r["text"] for r in rows], masks)
+        ([r["item_id"] for r in rows], [r["text"] for r in rows])
     )
     built: list[Items] = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
-            ids, texts, own = shared.value
-            built.append(Items(ids, pa.array(texts, pa.string()), own))
+            ids, texts = shared.value
+            built.append(Items(ids, pa.array(texts, pa.string()), min_overlap, whole_below))
         items = built[0]
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
@@ -148,7 +205,7 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: flo
                 words, first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)
                 out += [
                     (ids[low + text], items.ids[item], hits, same, size, at, same / size)
-                    for text, item, hits, same, size, at in overlaps(words, first, items, min_overlap)
+                    for text, item, hits, same, size, at in overlaps(words, first, items)
                 ]
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(RESULT.names, r, strict=True)) for r in out], _arrow_schema()
@@ -161,16 +218,21 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(f.name, pa.float64() if f.name == "overlap" else pa.int64()) for f in RESULT])
 
 
-def _by_shuffle(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float) -> DataFrame:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, data, offsets in kernel.chunks(batch.column(0)):
+            first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.diff(first)).astype(np.int64))], ["size"])
+
+
+def _by_shuffle(docs: DataFrame, benchmark: DataFrame, min_overlap: float, whole_below: int) -> DataFrame:
     """Both sides' seed hashes meet in an equi-join, then both texts' words."""
     spark = docs.sparkSession
-    shortest = min(map(len, masks))
-    lengths = tuple(range(1, shortest))
-    whole = [("1" * n, 100 + n) for n in lengths]
-    kinds = [*((m, i) for i, m in enumerate(masks))]
     seeds = "row long, id long, hash long, at long"
 
-    def emit(is_item: bool):
+    def emit(sought: list[str] | None):
+        """Seeds by the masks sought, or by each item's own."""
+
         def run(batches):
             for batch in batches:
                 rows, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
@@ -178,12 +240,9 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float
                     words, first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)
                     for i in range(high - low):
                         own = words[first[i] : first[i + 1]]
-                        if is_item and 0 < len(own) < shortest:
-                            used = [("1" * len(own), 100 + len(own))]
-                        else:
-                            used = kinds if is_item else kinds + whole
-                        for mask, number in used:
-                            h = seed_hashes(own, mask, number)
+                        used = masks_of(len(own), min_overlap, whole_below) if sought is None else sought
+                        for mask in used:
+                            h = seed_hashes(own, mask)
                             if len(h):
                                 yield pa.RecordBatch.from_arrays(
                                     [
@@ -204,8 +263,10 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float
         "items",
     )
     numbered = write_table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "docs")
-    left = numbered.select("row", "doc_id", "text").mapInArrow(emit(False), seeds)
-    right = items.select("item_row", "item_id", "item_text").mapInArrow(emit(True), seeds).select(
+    sizes = items.select("item_text").mapInArrow(_sizes, "size long").distinct().collect()
+    sought = sorted({m for r in sizes for m in masks_of(r["size"], min_overlap, whole_below)})
+    left = numbered.select("row", "doc_id", "text").mapInArrow(emit(sought), seeds)
+    right = items.select("item_row", "item_id", "item_text").mapInArrow(emit(None), seeds).select(
         F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at")
     )
     hits = left.join(right, "hash").groupBy("row", "item_row", (F.col("at") - F.col("item_at")).alias("shift")).agg(
@@ -223,7 +284,8 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float
                     [(_, _, data, offsets)] = kernel.chunks(pa.array([text or ""]))
                     two.append(kernel.word_hashes(data, offsets, kernel.PUNCTUATION)[0])
                 same = agreeing(two[0], two[1], r["shift"][i])
-                if same >= min_overlap * len(two[1]):
+                least = len(two[1]) if len(two[1]) < whole_below else least_agreeing(len(two[1]), min_overlap)
+                if same >= least:
                     out.append((r["row"][i], r["item_row"][i], r["doc_id"][i], r["item_id"][i], r["n_hits"][i], same, len(two[1]), max(0, r["shift"][i]), same / len(two[1])))
             names = ["row", "item_row", *RESULT.names]
             yield pa.RecordBatch.from_pylist(
@@ -252,8 +314,8 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, masks, min_overlap: float
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
-    masks: tuple[str, ...] = MASKS,
     min_overlap: float = 0.5,
+    whole_below: int = WHOLE_BELOW,
     broadcast_chars: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """A row for each contaminated document row and item that it holds.
@@ -266,7 +328,7 @@ def decontaminate(
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = benchmark.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     way = _by_broadcast if chars <= broadcast_chars else _by_shuffle
-    return way(docs, benchmark, tuple(masks), min_overlap)
+    return way(docs, benchmark, min_overlap, whole_below)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -106,6 +107,35 @@ def test_seeds_tolerate_substitutions(spark):
     assert sorted(map(tuple, by_shuffle.select(keys).collect())) == sorted(map(tuple, got.select(keys).collect()))
 
 
+def test_no_overlap_lacks_a_seed():
+    for n in (*range(1, 15), 16):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.masks_of(n, 0.5, 1)]
+        for agree in itertools.combinations(range(n), -(-n // 2)):
+            assert any(all(a + k in agree for k in m) for a in agree for m in masks), (n, agree)
+
+
+def test_half_of_an_item_is_found(spark):
+    """Items of 7 words and more, with any half of the words exchanged."""
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (7, 8, 11, 13, 15, 16, 20, 27, 38, 59) for _ in range(3)]
+    rows, want = [], set()
+    for i in range(300):
+        copy = list(items[i % len(items)])
+        for k in rng.sample(range(len(copy)), len(copy) // 2 + (i % 4 == 3 and len(copy) % 2 + 1)):
+            copy[k] = "zzz"
+        around = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(0, 30))] for _ in range(2)]
+        rows.append((i, " ".join(around[0] + copy + around[1])))
+        if i % 4 < 3:
+            want.add((i, i % len(items)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontam.decontaminate(docs, table)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    by_shuffle = decontam.decontaminate(docs, table, broadcast_chars=0)
+    keys = ["doc_id", "item_id", "n_hits", "matched_words", "item_words", "first_word"]
+    assert sorted(map(tuple, by_shuffle.select(keys).collect())) == sorted(map(tuple, got.select(keys).collect()))
+
+
 def test_decontamination_finds_whole_items(spark):
     """Every document that holds an item's text is found, and no other."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
