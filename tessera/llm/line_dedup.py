@@ -181,14 +181,14 @@ def _runs(words: Column, n: Column, words_per_edit: int) -> Column:
     return F.concat(*out)
 
 
-def _far(own: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
+def _far(own: DataFrame, keyed: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
     """Numbers of lines that an earlier one is within a bound of several edits of.
-    own: n, words. gone: numbers that need not be looked at."""
+    own: n, words. keyed: the keys that several lines have, h1, key. gone: numbers that need not be looked at."""
     size = F.size("words")
     texts = own.where(size >= 2 * words_per_edit).select("n", "words", _hashed(F.col("words")).alias("chars"))
     firsts_of = texts.select(F.col("n").alias("first"), F.col("words").alias("first_words"), F.col("chars").alias("first_chars"))
-    runs = texts.select("n", size.alias("size"), F.explode(_runs(F.col("words"), size, words_per_edit)).alias("key"))
-    runs = write_table(runs, "runs")
+    numbered = own.where(size >= 2 * words_per_edit).select("n", size.alias("size"), F.xxhash64("words").alias("h1"))
+    runs = write_table(keyed.join(numbered, "h1").select("n", "size", "key"), "runs")
 
     def bound(x: Column, y: Column) -> Column:
         return F.floor(F.least(x, y) / words_per_edit).cast("int")
@@ -211,10 +211,10 @@ def _far(own: DataFrame, gone: DataFrame, words_per_edit: int) -> DataFrame:
     return found.union(more)
 
 
-def _sharing(keyed: DataFrame) -> DataFrame:
-    """h1 of the lines that have a key another line has. keyed: h1, key."""
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows with a key that another line has too. keyed: h1, key."""
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
+    return keyed.join(shared, "key", "left_semi")
 
 
 def dropped_lines(
@@ -227,10 +227,9 @@ def dropped_lines(
     docs = docs.select("doc_id", "text")
     n = F.size("words")
     near_enough = F.when(n >= near_words, _halves(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
-    columns = [*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("halves")]
-    if words_per_edit is not None:
-        columns.append(_runs(F.col("words"), n, words_per_edit).alias("runs"))
-    lines = _lines(docs).where(n >= min_words).select(*columns)
+    lines = _lines(docs).where(n >= min_words).select(
+        *_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("halves")
+    )
     lines = write_table(lines, "lines")
     place = F.struct(*_PLACE)
     groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -238,12 +237,14 @@ def dropped_lines(
     exact = lines.select(*_PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(place != F.col("first")).select(*_PLACE)
 
     # Lines that share a half with another, told by one hash: a collision lets more through.
-    likely = _sharing(lines.select("h1", F.explode("halves").alias("key")))
+    likely = _shared(lines.select("h1", F.explode("halves").alias("key"))).select("h1").distinct()
     if words_per_edit is not None:
-        far = _sharing(lines.select("h1", F.explode("runs").alias("key")))
-        likely = cut(likely.withColumn("near", F.lit(True)).union(far.withColumn("near", F.lit(False))))
-        one_edit = likely.where("near").select("h1")
-        likely = likely.select("h1").distinct()
+        runs = F.explode(_runs(F.col("words"), n, words_per_edit)).alias("key")
+        far = _lines(docs).where(n >= 2 * words_per_edit).select(F.xxhash64("words").alias("h1"), runs)
+        # Dealt once, for the count and for the join.
+        far = cut(_shared(far.repartition("key")).distinct())
+        one_edit = likely = cut(likely)
+        likely = likely.union(far.select("h1")).distinct()
     firsts = lines.select(*_PLACE, "h1", "h2").join(likely, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"))
     near = cut(firsts.select("place.*"))
     of_document = near.groupBy(*_DOC).agg(F.collect_list("line").alias("wanted"))
@@ -282,7 +283,7 @@ def dropped_lines(
     verified = meetings.join(own, "n").join(texts_of_first, "first").where(within_one(F.col("words"), F.col("first_words")))
     if words_per_edit is not None:
         numbers = cut(verified.select("n").distinct())
-        numbers = numbers.union(_far(own, numbers, words_per_edit))
+        numbers = numbers.union(_far(own, far, numbers, words_per_edit))
         verified = own.join(numbers, "n", "left_semi")
     every = exact.union(verified.select("place.*"))
     return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
