@@ -64,8 +64,8 @@ def size_class(n: int, step: float = _STEP) -> int:
 
 
 def keys_of(members: np.ndarray, num: int, den: int, step: float = _STEP) -> np.ndarray:
-    """The keys of one sorted set in its own size class, and in the next where a
-    larger set may link with it.
+    """The keys of one sorted set in its own size class, and in each further one
+    where a larger set may link with it.
 
     There are a few parts more than H + 1. A part without members is no key:
     linked sets still are equal in a part that has some, as long as either has no
@@ -77,9 +77,11 @@ def keys_of(members: np.ndarray, num: int, den: int, step: float = _STEP) -> np.
     if not n:
         return np.zeros(0, np.uint64)
     own = size_class(n, step)
+    if num <= 0:
+        raise ValueError("the threshold must be above zero")
     classes = [own]
-    if (int(step**own) + 1) * num <= n * den:
-        classes.append(own + 1)
+    while (int(step ** classes[-1]) + 1) * num <= n * den:
+        classes.append(classes[-1] + 1)
     prefix = False
     for k in classes:
         largest = int(step**k)

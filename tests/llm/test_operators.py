@@ -357,6 +357,17 @@ def test_trie_and_keys_lose_no_link():
             assert ngram_join.join_block(sets, num, 100) == root
 
 
+def test_keys_reach_over_size_classes():
+    """A set and a larger one that holds it, at thresholds below 2 / 3."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    for num in (60, 50, 30):
+        for n in (1, 2, 5, 11, 40, 300):
+            large = np.sort(rng.integers(0, 1 << 63, n * 100 // num, dtype=np.uint64))
+            small = np.sort(rng.permutation(large)[:n])
+            keys = [set(ngram_join.keys_of(x, num, 100).tolist()) for x in (small, large)]
+            assert len(small) == len(large) or keys[0] & keys[1], (num, n)
+
+
 @pytest.mark.parametrize("one_task_edges", [0, 1000])
 def test_components(spark, one_task_edges):
     rng = random.Random(9)
