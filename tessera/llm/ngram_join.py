@@ -5,17 +5,21 @@ order, that of the hash values. Two sets link when
 `den * intersection >= num * union`.
 
 1. Equal sets form one class, stood for by its least id.
-2. Dealing. Sets whose sizes can link fall into common size classes. Linked sets
+2. Filter. A set with a link holds some of its partner's least members: with o
+   members in common, the first n - o + k of either in the global order hold k of
+   them. So sets of whose first members too few stand among another's leave.
+   Only these members are counted, and each task sends a member once.
+3. Dealing. Sets whose sizes can link fall into common size classes. Linked sets
    of a size class with largest size r differ in at most
    `H = floor((den - num) * 2 r / (den + num))` members. Dealing the hash values
    into H + 1 parts leaves one part in which linked sets are equal. The hash of
    each part is a key; sets with a common key are tied, and the components of
    the ties are families. No link leaves a family.
-3. A family's sets are stored in a prefix tree and joined there: a traversal
+4. A family's sets are stored in a prefix tree and joined there: a traversal
    carries the overlap so far, which all sets below share, and leaves a subtree
    as soon as the members still to come on either side can't raise it to the
    threshold, or when all sets below already are in the seeker's component.
-4. A family above `block_members` members of sets in all first loses the sets
+5. A family above `block_members` members of sets in all first loses the sets
    that can't link: too few of their members stand in any other set of it. What
    is left is tied anew. A family still above is dealt into blocks,
    each a tree of its own. The blocks' components are joined through one
@@ -48,10 +52,15 @@ from .components import connected
 from .storage import cut, write_table
 
 BLOCK_MEMBERS = 30_000
-#: Bytes of text to a shard of keys, and keys that a task holds before it sends them on.
-TIE_SHARD_BYTES = 4 << 20
+#: Bytes of text to a shard of keys at most, and those from which on small inputs are
+#: cut for the cores' sake; keys that a task holds before it sends them on.
+SHARD_BYTES = 64 << 20
+SMALL_SHARD_BYTES = 2 << 20
 TIE_BUFFER = 1_000_000
+#: One of so many members is looked for beyond the first that sets without a link may lack.
+SPARE = 10
 _STEP = 1.5
+_PARTS = 64
 _SEEK = ("family", "block", "lot", "doc_id", "component", "text")
 
 
@@ -291,6 +300,109 @@ def _tie(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[first], nodes[first], np.unique(np.stack([nodes[other], least[other]], 1), axis=0)
 
 
+def _shards(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(size / SHARD_BYTES), min(64, math.ceil(size / SMALL_SHARD_BYTES)))
+
+
+def spare(n: int, num: int, den: int) -> int:
+    """Members that a set's prefix has beyond the shortest."""
+    return min(max(1, n // SPARE), -(-num * n // den))
+
+
+def prefix_of(members: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first members of a sorted set. Of two linked sets' prefixes, as many are
+    common as the lesser spare of both."""
+    n = len(members)
+    return members[: n + (-num * n // den) + spare(n, num, den)]
+
+
+def _held_twice(hashes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashes and nodes, sorted and without repeats, and whether another node has the hash."""
+    order = np.lexsort((nodes, hashes))
+    hashes, nodes = hashes[order], nodes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (nodes[1:] != nodes[:-1])
+    hashes, nodes = hashes[new], nodes[new]
+    twice = np.zeros(len(hashes), bool)
+    same = hashes[1:] == hashes[:-1]
+    twice[1:] |= same
+    twice[:-1] |= same
+    return hashes, nodes, twice
+
+
+def _candidates(texts: DataFrame, classes: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """doc_id of the classes' representatives that may have a link, by the filter.
+
+    Members go by shard, as 32 bits beside the shard's own: a collision lets more
+    through. A member that several sets of a task's buffer hold is counted there,
+    and sent once without their names. What copies in several buffers count twice
+    lets more through, too.
+    """
+    shards = _shards(texts)
+    low = np.uint64((1 << 32) - 1)
+
+    def send(held: list) -> pa.RecordBatch:
+        hashes, nodes, twice = _held_twice(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        own, counts = np.unique(nodes[twice], return_counts=True)
+        shard = ((hashes & low) * np.uint64(shards)) >> np.uint64(32)
+        order = np.argsort(shard, kind="stable")
+        shard, hashes, nodes, twice = shard[order], (hashes[order] >> np.uint64(32)).astype(np.uint32), nodes[order], twice[order]
+        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        # Counts ride with the shards in turn.
+        lots = np.array_split(np.stack([own, counts.astype(np.uint64)], 1), shards)
+        out = []
+        for i in range(shards):
+            h, n, t = (x[cuts[i] : cuts[i + 1]] for x in (hashes, nodes, twice))
+            if len(h) or len(lots[i]):
+                out.append((i, h[~t].tobytes(), n[~t].tobytes(), np.unique(h[t]).tobytes(), lots[i].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        arrays = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["shard", "hashes", "nodes", "several", "counts"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for members in _sets_of(batch.column(0), width):
+                if len(members):
+                    own = prefix_of(members, num, den)
+                    held.append((own, np.full(len(own), _signatures(members)[0])))
+                    n += len(own)
+                if n >= TIE_BUFFER:
+                    yield send(held)
+                    held, n = [], 0
+        if n:
+            yield send(held)
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        def of(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+
+        hashes, nodes, twice = _held_twice(of("hashes", np.uint32), of("nodes", np.uint64))
+        several = np.unique(of("several", np.uint32))
+        spot = np.searchsorted(several, hashes)
+        inside = spot < len(several)
+        twice[inside] |= several[spot[inside]] == hashes[inside]
+        met, n = np.unique(nodes[twice], return_counts=True)
+        own = of("counts", np.uint64).reshape(-1, 2)
+        zeros = np.zeros
+        return pa.table(
+            {
+                "one": pa.array(np.concatenate([met, own[:, 0]]).view(np.int64)),
+                "met": pa.array(np.concatenate([n, zeros(len(own), n.dtype)]).astype(np.int64)),
+                "own": pa.array(np.concatenate([zeros(len(met), np.int64), own[:, 1].astype(np.int64)])),
+            }
+        )
+
+    packed = texts.where("doc_id is not null").select("text")
+    packed = packed.mapInArrow(emit, "shard int, hashes binary, nodes binary, several binary, counts binary")
+    found = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(count, "one long, met long, own long")
+    found = found.groupBy("one").agg((F.sum("met") + F.max("own")).alias("shared"))
+    lesser = F.ceil(F.col("n_shingles") * num / den)  # the smallest partner's size
+    need = F.least(F.greatest(F.lit(1), F.floor(lesser / SPARE)), F.ceil(lesser * num / den))
+    return classes.join(found, "one").where(F.col("shared") >= need).select(F.col("rep").alias("doc_id")).distinct()
+
+
 def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """u, v: pairs of nodes that connect all nodes with a common key; a node is the
     first signature of a text's set.
@@ -300,8 +412,7 @@ def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     many sets have comes to its shard once from each task's buffer. Shards follow
     the texts' size.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(size / TIE_SHARD_BYTES))
+    shards = _shards(texts)
 
     def send(held: list) -> pa.RecordBatch:
         keys, nodes, pairs = _tie(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -342,7 +453,7 @@ def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
         return pa.table({"u": pa.array(pairs[:, 0].copy().view(np.int64)), "v": pa.array(pairs[:, 1].copy().view(np.int64))})
 
     packed = texts.where("doc_id is not null").select("text").mapInArrow(emit, "shard int, keys binary, nodes binary, ties binary")
-    return packed.groupBy("shard").applyInArrow(merge, "u long, v long")
+    return packed.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "u long, v long")
 
 
 def _families(ties: DataFrame, classes: DataFrame, block_members: int) -> DataFrame:
@@ -352,7 +463,10 @@ def _families(ties: DataFrame, classes: DataFrame, block_members: int) -> DataFr
     families = connected(ties).withColumnsRenamed({"vertex": "one", "component": "family"})
     families = families.join(classes, "one").select("family", F.col("rep").alias("doc_id"), "n_shingles")
     blocks = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("blocks"))
-    return families.join(blocks, "family").select(
+    # Only large families are looked up, in parts: the rows of one are no single task's.
+    large = blocks.where("blocks > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    parted = families.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(_PARTS)).cast("int"))
+    return parted.join(large, ["family", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(
         "doc_id", "family", "blocks", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     )
 
@@ -401,6 +515,7 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = write_table(classes, "classes")
+    texts = write_table(texts.join(_candidates(texts, classes, num, den, width), "doc_id", "left_semi"), "candidates")
     families = cut(_families(_ties(texts, num, den, width), classes, block_members))
     large = families.where("blocks > 1")
     if not large.isEmpty():

@@ -352,6 +352,8 @@ def test_trie_and_keys_lose_no_link():
                     if 100 * common >= num * (len(a) + len(b) - common):
                         if len(a) != len(b) or common != len(a):
                             assert set(ngram_join.keys_of(a, num, 100).tolist()) & set(ngram_join.keys_of(b, num, 100).tolist())
+                        met = len(np.intersect1d(*(ngram_join.prefix_of(x, num, 100) for x in (a, b))))
+                        assert all(met >= ngram_join.spare(-(-num * len(x) // 100), num, 100) for x in (a, b))
                         low, high = sorted((root[i], root[j]))
                         root = [low if r == high else r for r in root]
             assert ngram_join.join_block(sets, num, 100) == root
