@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has, give or take a word in ten. Only
-    a document without words left goes."""
-    return line_dedup.drop_repeated_lines(docs, least_left=0, min_words=1, near_words=5, words_per_edit=10)
+    """Documents without lines that an earlier one has, give or take a word. Only a
+    document without words left goes."""
+    return line_dedup.drop_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Line deduplication across documents by deletion neighbourhoods, in DataFrame
 functions alone.
 
-Lines part at `\\n`; a line is its sequence of words, and the edit bound is one
+Lines part at `\n`; a line is its sequence of words, and the edit bound is one
 word put in, left out or exchanged. With `words_per_edit` it grows with the line:
 one word for each so many of the shorter line's, at least one. Lines with fewer
-than `min_words` words are never dropped, those with fewer than `near_words` only
-as exact repeats. Of equal
-or near lines the earliest stays, by document id, digest of the text, and number
-of the line; a line is dropped if an earlier one is within the bound of it.
+than `min_words` words are never dropped. Those with fewer than `near_words` go only
+as exact repeats: an edit is to be a fifth of the words at most. Of equal or near
+lines the earliest stays, by document id, digest of the text, and number of the
+line; a line is dropped if an earlier one is within the bound of it.
 
 1. Lines with equal words (by 128 bits of hash) are grouped; all but the first go.
-2. Two lines within the bound agree in the first half of their words or in the
-   rest. Distinct lines whose halves nobody shares can't have a partner and need
-   no variants.
+2. Two lines within the bound agree in their first words or in their last, as many
+   as nearly half of the shorter. Distinct lines whose beginning and end nobody
+   shares can't have a partner and need no variants.
 3. Each other line emits, hashed, itself and every variant with one word deleted.
    Variants deleted at the same place and equal otherwise are one exchange apart;
    a variant equal to a whole line is one word longer. The least place of each
@@ -25,12 +25,15 @@ of the line; a line is dropped if an earlier one is within the bound of it.
    compared to the earliest line of each of its hashes; what that leaves, to all
    earlier ones, by the edit distance over words.
 
-A variant's hash takes time in proportion to its line's words, from sums of
-hashes of words and their places (40 bits each, so that no sum overflows).
+The hash of a sequence is the exclusive or of 64-bit hashes of its words and their
+places, so that a variant's follows from running totals, and a line's variants take
+time in proportion to its words. Of a variant's lines only the earliest is compared:
+two of them that differ though their 64 bits agree could hide a third.
 
 Defined cases: null and empty texts have no lines to drop; rows with equal id and
-text are one document and treated alike; null ids come first; other columns are
-ignored; an empty table gives no rows.
+text are one document and treated alike; null ids come first; very long texts and
+lines take time near proportional to their length; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +41,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, running
+
 from .storage import cut, write_table
 
-MIN_WORDS = 5
-NEAR_WORDS = 10
+MIN_WORDS = 1
+NEAR_WORDS = 5
 _WORD = r"[^\x20\x09-\x0D]+"
 _DOC = ("doc_id", "digest")
 _PLACE = ("doc_id", "digest", "line")
@@ -58,49 +63,49 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select(*_PLACE, F.regexp_extract_all("content", F.lit(_WORD), F.lit(0)).alias("words"))
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Hashes of the line's beginning and rest, halved as a line of its own length
-    and as one of a word more."""
-    keys = []
-    for length in (n, n + 1):
-        k = F.floor(length / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("begin"), length, F.slice(words, F.lit(1), k)))
-        keys.append(F.xxhash64(F.lit("rest"), length, F.slice(words, n - (length - k) + 1, length - k)))
-    return F.array(*keys)
+def _near_half(n: Column) -> Column:
+    """Half of n, down to three binary digits: few lengths differ from their neighbours."""
+    half = F.floor(n / 2).cast("int")
+    unit = F.pow(F.lit(2), F.greatest(F.floor(F.log2(half)) - 2, F.lit(0))).cast("int")
+    return half - half % unit
 
 
-def _variants(words: Column) -> Column:
-    """[at, key]: the whole line at -1, and each deletion of the word at a place."""
+def _ends(words: Column, n: Column) -> Column:
+    """Hashes of the line's first and of its last words, as many as the shorter of it
+    and a partner gives. The partner may be a word shorter."""
 
-    def value(w: Column, k: Column) -> Column:
-        return F.xxhash64(w, k).bitwiseAND(F.lit((1 << 40) - 1))
+    def keys(k: Column) -> Column:
+        first, last = F.slice(words, F.lit(1), k), F.slice(words, n - k + 1, k)
+        return F.array(F.xxhash64(F.lit("begin"), first), F.xxhash64(F.lit("end"), last))
 
-    def add(a: Column, b: Column) -> Column:
-        return a + b
+    own, shorter = _near_half(n), _near_half(n - 1)
+    return F.when(own == shorter, keys(own)).otherwise(F.concat(keys(own), keys(shorter)))
 
-    zero = F.lit(0).cast("long")
-    own = F.transform(words, value)
-    earlier = F.transform(words, lambda w, k: value(w, k - 1))
-    # Without word i: the words before it at their places, those after it one place earlier.
-    change = F.zip_with(own, earlier, lambda a, b: a - b)
-    sums = F.aggregate(change, F.array(zero), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    parts = F.array(F.struct(own.alias("own"), earlier.alias("earlier"), sums.alias("sums")))
+
+def _variants(words: Column) -> Column:
+    """[at, key]: the whole line at -1, and each deletion of the word at a place."""
     n = F.size(words)
+    pairs = F.transform(words, lambda w, k: F.struct(F.xxhash64(w, k).alias("own"), F.xxhash64(w, k - 1).alias("earlier")))
+
+    def xor(a: Column, b: Column) -> Column:
+        return a.bitwiseXOR(b)
 
     def keys(p: Column) -> Column:
-        total = F.aggregate(p["earlier"], zero, add)
-        pairs = F.arrays_zip(p["earlier"].alias("e"), F.slice(p["sums"], F.lit(1), n).alias("s"))
-        with_total = F.transform(
-            F.array(total),
-            lambda t: F.transform(
-                pairs,
-                lambda x, i: F.struct(i.cast("int").alias("at"), F.xxhash64(n - 1, t - x["e"] + x["s"]).alias("key")),
-            ),
-        )
-        whole = F.struct(F.lit(-1).alias("at"), F.xxhash64(n, F.aggregate(p["own"], zero, add)).alias("key"))
-        return F.concat(F.array(whole), F.element_at(with_total, 1))
+        # Without word i: the words before it at their places, those after it one place earlier.
+        before = running(F.transform(p, lambda x: x["own"]), None, xor)
+        through = running(F.transform(p, lambda x: x["earlier"]), None, xor)
+
+        def each(x: Column) -> Column:
+            def without(b: Column, i: Column) -> Column:
+                after = F.get(x["through"], n).bitwiseXOR(F.get(x["through"], i + 1))
+                return F.struct(i.cast("int").alias("at"), F.xxhash64(n - 1, b.bitwiseXOR(after)).alias("key"))
+
+            whole = F.struct(F.lit(-1).alias("at"), F.xxhash64(n, F.get(x["before"], n)).alias("key"))
+            return F.concat(F.array(whole), F.transform(F.slice(x["before"], F.lit(1), n), without))
 
-    return F.element_at(F.transform(parts, keys), 1)
+        return let(F.struct(before.alias("before"), through.alias("through")), each)
+
+    return let(pairs, keys)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -136,14 +141,11 @@ def _hashed(words: Column) -> Column:
 def within(a: Column, b: Column, edits: Column | int) -> Column:
     """Whether at most so many words put in, left out or exchanged make the arrays equal."""
     vocabulary = F.array_distinct(F.concat(a, b))
-    exact = F.element_at(
-        F.transform(
-            F.array(F.struct(vocabulary.alias("v"), a.alias("a"), b.alias("b"))),
-            lambda p: F.levenshtein(
-                _chars(p["a"], lambda w: F.array_position(p["v"], w)), _chars(p["b"], lambda w: F.array_position(p["v"], w))
-            ),
+    exact = let(
+        F.struct(vocabulary.alias("v"), a.alias("a"), b.alias("b")),
+        lambda p: F.levenshtein(
+            _chars(p["a"], lambda w: F.array_position(p["v"], w)), _chars(p["b"], lambda w: F.array_position(p["v"], w))
         ),
-        1,
     )
     return exact <= edits
 
@@ -176,7 +178,7 @@ def _runs(words: Column, n: Column, words_per_edit: int) -> Column:
         grams = F.transform(F.sequence(F.lit(1), n - gram + 1), lambda i: F.xxhash64(F.lit(run), F.slice(words, i, F.lit(gram))))
 
         # Any run has the same grams in both lines, so the same least one.
-        keys = F.array_distinct(F.element_at(F.transform(F.array(grams), _least(run - gram + 1)), 1))
+        keys = F.array_distinct(let(grams, _least(run - gram + 1)))
         out.append(F.when(has, keys).otherwise(F.array().cast("array<bigint>")))
     return F.concat(*out)
 
@@ -226,8 +228,8 @@ def dropped_lines(
         raise ValueError("words_per_edit needs 3 at least, and half of min_words and near_words")
     docs = docs.select("doc_id", "text")
     n = F.size("words")
-    near_enough = F.when(n >= near_words, _halves(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
-    columns = [*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("halves")]
+    near_enough = F.when(n >= near_words, _ends(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
+    columns = [*_PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), near_enough.alias("ends")]
     if words_per_edit is not None:
         columns.append(_runs(F.col("words"), n, words_per_edit).alias("runs"))
     lines = _lines(docs).where(n >= min_words).select(*columns)
@@ -237,8 +239,8 @@ def dropped_lines(
     repeated = groups.where("first != last").select("h1", "h2", "first")
     exact = lines.select(*_PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(place != F.col("first")).select(*_PLACE)
 
-    # Lines that share a half with another, told by one hash: a collision lets more through.
-    likely = _sharing(lines.select("h1", F.explode("halves").alias("key")))
+    # Lines that share an end with another, told by one hash: a collision lets more through.
+    likely = _sharing(lines.select("h1", F.explode("ends").alias("key")))
     if words_per_edit is not None:
         far = _sharing(lines.select("h1", F.explode("runs").alias("key")))
         likely = cut(likely.withColumn("near", F.lit(True)).union(far.withColumn("near", F.lit(False))))
@@ -250,9 +252,9 @@ def dropped_lines(
     wanted = of_document.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "wanted")
     keyed = docs.select("doc_id", _digest().alias("digest"), "text")
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
-    split = F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("content"))),
-        lambda x: F.array_contains("wanted", x["line"]),
+    split = let(
+        F.split(F.coalesce("text", F.lit("")), "\n", -1),
+        lambda content: F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(content, i).alias("content"))),
     )
     own = texts.select(*_DOC, F.explode(split).alias("x")).select(
         F.struct("doc_id", "digest", F.col("x.line").alias("line")).alias("place"),
@@ -288,49 +290,67 @@ def dropped_lines(
     return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def _joined(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    right = dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(right, docs["doc_id"].eqNullSafe(F.col("_id")) & (_digest_of(docs) == F.col("_digest")), "left")
-    return joined.drop("_id", "_digest")
-
-
-def _digest_of(docs: DataFrame) -> Column:
-    return docs["_own_digest"]
+def _with_dropped(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """row (all columns of docs) and dropped (null where none), so that no name of
+    docs meets one of ours."""
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _digest().alias("own"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))
+    return left.join(dropped.select(*_DOC, "dropped"), same, "left").select("row", "dropped")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and the numbers of the dropped lines, for every
     row of docs."""
     dropped = dropped_lines(docs, **options)
-    small = docs.select(
-        "doc_id",
-        _digest().alias("_own_digest"),
-        F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"),
-    )
-    return _joined(small, dropped).select(
+    n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    small = docs.select("doc_id", _digest().alias("own"), n_lines.alias("n_lines"))
+    right = dropped.select(F.col("doc_id").alias("id"), "digest", "dropped")
+    joined = small.join(right, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")), "left")
+    return joined.select(
         "doc_id",
         "n_lines",
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join(F.col("_dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
     )
 
 
-def drop_repeated_lines(docs: DataFrame, least_left: float = 0.2, **options) -> DataFrame:
+def _without(lines: Column, dropped: Column) -> Column:
+    """lines less those at the sorted places dropped: the stretches between them."""
+    ends = F.concat(dropped, F.array(F.size(lines)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda i: i + 1))
+    return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+
+
+def drop_repeated_lines(docs: DataFrame, least_left: float = 0, **options) -> DataFrame:
     """docs without the lines; n_chars, if there, is counted anew. A document that
-    loses lines, and keeps less than `least_left` of its words, is a copy of
-    earlier ones and goes."""
+    loses lines and has no word left goes.
+
+    With `least_left` documents that would keep less than that share of their words
+    are copies of earlier ones and go first, with all they have; the earliest holders
+    of lines are then chosen among the rest."""
     dropped = cut(dropped_lines(docs, **options))
-    joined = _joined(docs.withColumn("_own_digest", _digest()), dropped)
-    left = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_dropped", i.cast("int"))), "\n"
-    )
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("_left", text)
-    enough = F.regexp_count("_left", F.lit(_WORD)) >= least_left * F.regexp_count("text", F.lit(_WORD))
-    some = F.regexp_count("_left", F.lit(_WORD)) > 0
-    out = out.where(F.col("_dropped").isNull() | (enough & some))
-    columns = {"text": F.col("_left")}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast(kind))
-    return out.withColumns(columns).select(docs.columns)
+    if least_left > 0:
+        copies = _shortened(docs, dropped).where("dropped is not null and words_left < words * %r" % float(least_left))
+        gone = cut(copies.select(F.col("row.doc_id").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("own")).distinct())
+        keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("doc"), _digest().alias("digest"))
+        same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own"))
+        docs = write_table(keyed.join(gone, same, "left_anti").select("row.*"), "first-copies")
+        dropped = cut(dropped_lines(docs, **options))
+    out = _shortened(docs, dropped).where("dropped is null or words_left > 0")
+    changed = F.col("dropped").isNotNull()
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"row.`{c}`")
+        if c == "text":
+            own = F.when(changed, F.col("left")).otherwise(own)
+        elif c == "n_chars":
+            own = F.when(changed, F.length("left").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return out.select(*columns)
+
+
+def _shortened(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """row, dropped, left (the text without its dropped lines), words and words_left."""
+    left = let(F.split("row.text", "\n", -1), lambda lines: F.array_join(_without(lines, F.col("dropped")), "\n"))
+    out = _with_dropped(docs, dropped).withColumn("left", F.when(F.col("dropped").isNotNull(), left))
+    return out.withColumns({"words": F.regexp_count("row.text", F.lit(_WORD)), "words_left": F.regexp_count("left", F.lit(_WORD))})

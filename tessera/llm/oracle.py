@@ -95,9 +95,9 @@ _OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(string_split(text, chr(10))[i], '{_WORD}') AS w
       FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-n AS (SELECT *, (doc_id, line) AS place, array_to_string(w, chr(1)) AS t FROM l WHERE len(w) >= 5),
+n AS (SELECT *, (doc_id, line) AS place, array_to_string(w, chr(1)) AS t FROM l WHERE len(w) >= 1),
 x AS (SELECT *, min(place) OVER (PARTITION BY t) AS first FROM n),
-y AS (SELECT place, w, t FROM x WHERE place = first AND len(w) >= 10),
+y AS (SELECT place, w, t FROM x WHERE place = first AND len(w) >= 5),
 v AS (SELECT place, w, len(w) AS size, i, array_to_string(w[1:i - 1] || w[i + 1:], chr(1)) AS k FROM y, unnest(range(1, len(w) + 1)) AS u(i)),
 e AS (SELECT a.place FROM v a JOIN v b ON a.k = b.k AND a.i = b.i AND a.size = b.size AND b.place < a.place
       UNION SELECT a.place FROM v a JOIN y b ON a.k = b.t WHERE b.place < a.place

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def near(a, b):
     return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def brute(docs, min_words=5, near_words=10):
+def brute(docs, min_words=1, near_words=5):
     """{doc_id: dropped line numbers}, for documents by rising id."""
     seen, out = [], {}
     for doc, text in docs:
@@ -79,7 +80,8 @@ def test_stage(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(df).collect()}
-    assert set(got) == {1, 3, 4, None}
+    assert set(got) == {1, 2, 3, 4, None}
+    assert got[2]["text"] == "own words there too"
     assert got[1]["text"] == rows[0][1] and got[1]["n_chars"] == 5
     assert got[3]["text"] == rows[2][1].split("\n")[1] and got[3]["n_chars"] == len(got[3]["text"])
     empty = df.where("false")
@@ -125,7 +127,7 @@ def test_bound_grows_with_the_line(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = line_dedup.dropped_lines(df, min_words=1, near_words=5, words_per_edit=10)
     assert {r["doc_id"]: r["dropped"] for r in got.collect()} == want
-    one = line_dedup.dropped_lines(df, min_words=1, near_words=5)
+    one = line_dedup.dropped_lines(df)
     assert one.select(F.sum(F.size("dropped"))).first()[0] < sum(map(len, want.values()))
 
 
@@ -145,3 +147,38 @@ def test_pipeline_keeps_a_documents_own_words(spark):
     docs = [(1, shared), (2, f"{shared}\n{later}"), (3, f"{later}\nnothing else is here"), (4, shared)]
     got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: shared, 2: later, 3: "nothing else is here"}
+
+
+def test_names_that_clash(spark):
+    """Columns named as inner ones come through with their own values."""
+    line = " ".join(f"w{i}" for i in range(12))
+    names = ["_id", "_digest", "_dropped", "_left", "_own_digest", "row", "dropped", "digest", "left", "own", "id", "n", "place", "line", "a.b"]
+    fields = ", ".join(f"`{c}` string" for c in names)
+    rows = [(1, line, *names), (2, f"{line}\nanother line", *names), (3, line, *names)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {fields}")
+    got = sorted(line_dedup.drop_repeated_lines(df).collect())
+    assert [tuple(r) for r in got] == [rows[0], (2, "another line", *names)]
+    assert sorted((r["doc_id"], r["dropped"]) for r in line_dedup.report(df).collect()) == [(1, ""), (2, "0"), (3, "0")]
+
+
+def test_copies_go_first(spark):
+    """With least_left a line's last holder doesn't go with a document that is a copy."""
+    shared, kept = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 60), ("t", 8)))
+    docs = [(1, shared), (2, f"{shared}\n{kept}"), (3, f"{kept}\nnothing else is here"), (4, shared)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup.drop_repeated_lines(df, least_left=0.2)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: shared, 3: f"{kept}\nnothing else is here"}
+
+
+def test_long_lines_and_texts(spark):
+    """A line of 20,000 words against one with a word exchanged, and a text of 20,000
+    lines that all stand in an earlier one."""
+    long = [f"w{i}" for i in range(20_000)]
+    other = [*long[:10_000], "x", *long[10_001:]]
+    many = "\n".join(f"line number {i % 10_000} of the text" for i in range(20_000))
+    docs = [(1, " ".join(long)), (2, " ".join(other)), (3, many), (4, f"{many}\nits own words come last here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    start = time.time()
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.report(df).collect()}
+    assert got[1] == 0 and got[2] == 1 and got[4] == 20_000
+    assert time.time() - start < 120
