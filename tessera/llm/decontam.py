@@ -15,8 +15,11 @@ weight q up to that span are used.
 Items under `whole_below` words are sought whole, by one hash of all their words.
 
 Defined cases: a null or empty text has no words and no hits; an item without
-words matches nothing; null ids are kept as ids; repeated rows give repeated
-results; other columns are ignored; an empty table on either side gives no rows.
+words matches nothing; ids may have any type, and null ids are kept as ids; a stage
+judges rows by their text, so null ids and repeated ids are no way past it; repeated
+rows give repeated results; of diagonals that agree alike the first counts; very long
+texts take time proportional to their length, in memory of one text; other columns
+are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from . import kernel
+from .storage import cut, write_table
 
 #: Items with fewer words are sought whole: half of a few words is no sign of a copy.
 WHOLE_BELOW = 7
@@ -44,17 +50,14 @@ HITS = 1 << 20
 #: At ten masks or so, each of their words takes some 160 bytes of every worker.
 BROADCAST_CHARS = 12_000_000
 
-RESULT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("item_id", T.LongType()),
-        T.StructField("n_hits", T.LongType()),
-        T.StructField("matched_words", T.LongType()),
-        T.StructField("item_words", T.LongType()),
-        T.StructField("first_word", T.LongType()),
-        T.StructField("overlap", T.DoubleType()),
-    ]
-)
+_COUNTS = ("n_hits", "matched_words", "item_words", "first_word")
+
+
+def _result(doc_id: T.DataType, item_id: T.DataType) -> T.StructType:
+    out = T.StructType([T.StructField("doc_id", doc_id), T.StructField("item_id", item_id)])
+    for name in _COUNTS:
+        out.add(name, T.LongType())
+    return out.add("overlap", T.DoubleType())
 
 
 def least_agreeing(n: int, min_overlap: float) -> int:
@@ -126,11 +129,13 @@ class Items:
         self.filter = np.zeros(1 << bits, bool)
         self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Positions, items and positions in the items of equal seed hashes, in lots."""
+    def hits(self, words: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions, items and positions in the items of equal seed hashes, in lots.
+        last: where the text of each word ends; no window goes beyond."""
         for mask in self.masks:
             hashes = seed_hashes(words, mask)
             maybe = np.flatnonzero(self.filter[(hashes >> self.shift).astype(np.int64)])
+            maybe = maybe[maybe + len(mask) <= last[maybe]]
             low = np.searchsorted(self.hashes, hashes[maybe], "left")
             count = np.searchsorted(self.hashes, hashes[maybe], "right") - low
             maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
@@ -166,7 +171,7 @@ def agreeing(document: np.ndarray, item: np.ndarray, shift: int) -> int:
 def overlaps(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple]:
     """(text, item, hits, agreeing words, item's words, first word) of verified overlaps."""
     found = np.zeros((0, 4), np.int64)
-    for at, item, inner in items.hits(words):
+    for at, item, inner in items.hits(words, np.repeat(first[1:], np.diff(first))):
         text = np.searchsorted(first, at, "right") - 1
         lot, n = np.unique(np.stack([text, item, at - inner - first[text]], 1), axis=0, return_counts=True)
         same = items.agreeing(words, first[lot[:, 0]] + lot[:, 2], first[lot[:, 0]], first[lot[:, 0] + 1], lot[:, 1])
@@ -193,29 +198,32 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, min_overlap: float, who
         ([r["item_id"] for r in rows], [r["text"] for r in rows])
     )
     built: list[Items] = []
+    schema = _result(docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType)
+    item_type = to_arrow_type(schema["item_id"].dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             ids, texts = shared.value
             built.append(Items(ids, pa.array(texts, pa.string()), min_overlap, whole_below))
         items = built[0]
+        item_ids = pa.array(items.ids, item_type)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
             for low, _, data, offsets in kernel.chunks(batch.column(1)):
                 words, first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)
-                out += [
-                    (ids[low + text], items.ids[item], hits, same, size, at, same / size)
-                    for text, item, hits, same, size, at in overlaps(words, first, items)
-                ]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(RESULT.names, r, strict=True)) for r in out], _arrow_schema()
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(scan, RESULT)
-
-
-def _arrow_schema() -> pa.Schema:
-    return pa.schema([(f.name, pa.float64() if f.name == "overlap" else pa.int64()) for f in RESULT])
+                found = list(overlaps(words, first, items))
+                if not found:
+                    continue
+                text, item, hits, same, size, at = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(low + text)),
+                        item_ids.take(pa.array(item)),
+                        *map(pa.array, (hits, same, size, at, same / size)),
+                    ],
+                    schema.names,
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +235,14 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame, min_overlap: float, whole_below: int) -> DataFrame:
     """Both sides' seed hashes meet in an equi-join, then both texts' words."""
-    spark = docs.sparkSession
-    seeds = "row long, id long, hash long, at long"
 
     def emit(sought: list[str] | None):
         """Seeds by the masks sought, or by each item's own."""
 
         def run(batches):
             for batch in batches:
-                rows, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                for low, high, data, offsets in kernel.chunks(batch.column(2)):
+                rows = batch.column(0).to_numpy()
+                for low, high, data, offsets in kernel.chunks(batch.column(1)):
                     words, first = kernel.word_hashes(data, offsets, kernel.PUNCTUATION)
                     for i in range(high - low):
                         own = words[first[i] : first[i + 1]]
@@ -244,35 +250,30 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, min_overlap: float, whole
                         for mask in used:
                             h = seed_hashes(own, mask)
                             if len(h):
+                                row = pa.array(np.full(len(h), rows[low + i]))
                                 yield pa.RecordBatch.from_arrays(
-                                    [
-                                        pa.array(np.full(len(h), rows[low + i])),
-                                        pa.array([ids[low + i]] * len(h), pa.int64()),
-                                        pa.array(h.view(np.int64)),
-                                        pa.array(np.arange(len(h))),
-                                    ],
-                                    ["row", "id", "hash", "at"],
+                                    [row, pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], ["row", "hash", "at"]
                                 )
 
         return run
 
-    from .storage import write_table
-
     items = write_table(
         benchmark.select(F.monotonically_increasing_id().alias("item_row"), "item_id", F.col("text").alias("item_text")),
         "items",
     )
     numbered = write_table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "docs")
+    # Lengths of items: as many numbers as there are distinct ones.
     sizes = items.select("item_text").mapInArrow(_sizes, "size long").distinct().collect()
     sought = sorted({m for r in sizes for m in masks_of(r["size"], min_overlap, whole_below)})
-    left = numbered.select("row", "doc_id", "text").mapInArrow(emit(sought), seeds)
-    right = items.select("item_row", "item_id", "item_text").mapInArrow(emit(None), seeds).select(
-        F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at")
-    )
+    seeds = "row long, hash long, at long"
+    left = numbered.select("row", "text").mapInArrow(emit(sought), seeds)
+    right = items.select("item_row", "item_text").mapInArrow(emit(None), seeds)
+    right = right.select(F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at"))
     hits = left.join(right, "hash").groupBy("row", "item_row", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_hits")
     )
-    pairs = hits.join(numbered, "row").join(items, "item_row")
+    pairs = hits.join(numbered.select("row", "text"), "row").join(items.select("item_row", "item_text"), "item_row")
+    kept = ("row", "item_row", *_COUNTS)
 
     def verify(batches):
         for batch in batches:
@@ -283,31 +284,25 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, min_overlap: float, whole
                 for text in (r["text"][i], r["item_text"][i]):
                     [(_, _, data, offsets)] = kernel.chunks(pa.array([text or ""]))
                     two.append(kernel.word_hashes(data, offsets, kernel.PUNCTUATION)[0])
+                n = len(two[1])
                 same = agreeing(two[0], two[1], r["shift"][i])
-                least = len(two[1]) if len(two[1]) < whole_below else least_agreeing(len(two[1]), min_overlap)
-                if same >= least:
-                    out.append((r["row"][i], r["item_row"][i], r["doc_id"][i], r["item_id"][i], r["n_hits"][i], same, len(two[1]), max(0, r["shift"][i]), same / len(two[1])))
-            names = ["row", "item_row", *RESULT.names]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(names, x, strict=True)) for x in out],
-                pa.schema([("row", pa.int64()), ("item_row", pa.int64()), *_arrow_schema()]),
-            )
-
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("item_row", T.LongType()), *RESULT])
-    found = pairs.select("row", "item_row", "doc_id", "item_id", "n_hits", "shift", "text", "item_text").mapInArrow(verify, schema)
+                if same >= (n if n < whole_below else least_agreeing(n, min_overlap)):
+                    out.append((r["row"][i], r["item_row"][i], r["n_hits"][i], same, n, max(0, r["shift"][i])))
+            columns = zip(*out, strict=True) if out else [()] * len(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(kept))
+
+    found = pairs.select("row", "item_row", "n_hits", "shift", "text", "item_text").mapInArrow(verify, ", ".join(f"{c} long" for c in kept))
     best = F.max(F.struct("matched_words", (-F.col("first_word")).alias("back")))
-    return (
-        found.groupBy("row", "item_row", "doc_id", "item_id", "item_words")
-        .agg(F.sum("n_hits").alias("n_hits"), best.alias("best"))
-        .select(
-            "doc_id",
-            "item_id",
-            "n_hits",
-            F.col("best.matched_words").alias("matched_words"),
-            "item_words",
-            (-F.col("best.back")).alias("first_word"),
-            (F.col("best.matched_words") / F.col("item_words")).alias("overlap"),
-        )
+    of_pair = found.groupBy("row", "item_row", "item_words").agg(F.sum("n_hits").alias("n_hits"), best.alias("best"))
+    named = of_pair.join(numbered.select("row", "doc_id"), "row").join(items.select("item_row", "item_id"), "item_row")
+    return named.select(
+        "doc_id",
+        "item_id",
+        "n_hits",
+        F.col("best.matched_words").alias("matched_words"),
+        "item_words",
+        (-F.col("best.back")).alias("first_word"),
+        (F.col("best.matched_words") / F.col("item_words")).alias("overlap"),
     )
 
 
@@ -324,17 +319,16 @@ def decontaminate(
     are summed first: up to `broadcast_chars` they go to every worker, beyond
     that seed hashes are joined by shuffle.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     chars = benchmark.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     way = _by_broadcast if chars <= broadcast_chars else _by_shuffle
     return way(docs, benchmark, min_overlap, whole_below)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold an item. Null ids, which can't be
-    told apart, stay."""
-    from .storage import cut
-
-    bad = cut(decontaminate(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds an item, whatever their ids."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    bad = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, **options)
+    bad = cut(bad.select(F.col("doc_id").alias("bad")).distinct())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("digest"))
+    return keyed.join(bad, F.col("digest") == F.col("bad"), "left_anti").select("row.*")
