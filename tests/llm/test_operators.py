@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -245,6 +246,39 @@ def test_base_spans_of_personal_data(spark):
         assert set(rows[i]["b"].split(",")) - {""} <= set(rows[i]["a"].split(","))
 
 
+def test_matches_carry_their_context(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1é😀 ") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["", "1" * 200, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", spans.matches(F.col("text"), "[0-9]b?", None, 5).alias("m")).collect()
+    for r in got:
+        text = texts[r["i"]] or ""
+        want = [(m.start(), m.end(), m[0], text[max(0, m.start() - 5) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer("[0-9]b?", text)]
+        assert [tuple(x) for x in r["m"]] == want
+
+
+def test_spans_apart_from_base_ones(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        own = [(a, a + rng.randint(1, 6), rng.random() < 0.3) for a in (rng.randrange(60) for _ in range(rng.randint(0, 14)))]
+        rows.append((i, own))
+    df = spark.createDataFrame(rows, "i int, s array<struct<start:int,end:int,base:boolean>>")
+    for r in df.select("i", spans.apart(F.col("s")).alias("s")).collect():
+        own = rows[r["i"]][1]
+        want = [s for s in own if s[2] or not any(b[2] and b[0] < s[1] and s[0] < b[1] for b in own)]
+        assert sorted(map(tuple, r["s"])) == sorted(want)
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"user{i}@example.com 10.0.{i % 256}.1 555-{100 + i % 800}-{1000 + i % 9000} password=abcdef{i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    assert pii.find_personal_data(df).select(F.size("spans")).first()[0] >= 40_000
+    assert secret_scan.scan_and_report(df).select(F.size("found")).first()[0] == 20_000
+    assert time.time() - start < 120
+
+
 def test_weak_supervision_learns_labelers():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.6
