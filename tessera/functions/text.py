@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, running
+
 # Token, sentence, boilerplate and guard patterns, and word lists.
 CODE_TOKEN = r"([a-z0-9]+(?:[-_/][a-z0-9]+)*)"
 PLAIN_TOKEN = r"([a-z0-9]+)"
@@ -103,13 +105,35 @@ def embedding_bucket(token: Column, size: int = EMBEDDING_SIZE) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """[text, findings]: personal data replaced, and label:count of each pass that hit."""
-    texts, findings = [x], []
-    for pattern, label in ((EMAIL, "EMAIL"), (PHONE, "PHONE"), (PHONE_NATIONAL, "PHONE")):
-        n = F.regexp_count(texts[-1], F.lit(pattern))
-        findings.append(F.when(n > 0, F.concat(F.lit(f"{label}:"), n.cast("string"))))
-        texts.append(F.regexp_replace(texts[-1], pattern, f"[REDACTED:{label}]"))
-    return F.struct(texts[-1].alias("text"), F.array_compact(F.array(*findings)).alias("findings"))
+    """[text, findings]: personal data replaced, and label:count of each pass that hit.
+    Each pass takes up the text of the one before, and only texts that may have a match
+    are searched."""
+    passes = (
+        (EMAIL, "EMAIL", lambda t: F.contains(t, F.lit("@"))),
+        (PHONE, "PHONE", lambda t: F.contains(t, F.lit("+"))),
+        (PHONE_NATIONAL, "PHONE", lambda t: t.rlike(r"\d{3}[-.]\d{4}")),
+    )
+
+    def step(pattern: str, label: str, may):
+        def of(acc: Column) -> Column:
+            n = F.when(may(acc["text"]), F.regexp_count(acc["text"], F.lit(pattern))).otherwise(0)
+
+            def replaced(count: Column) -> Column:
+                hit = count > 0
+                more = F.array(F.concat(F.lit(f"{label}:"), count.cast("string")))
+                return F.struct(
+                    F.when(hit, F.regexp_replace(acc["text"], pattern, f"[REDACTED:{label}]")).otherwise(acc["text"]).alias("text"),
+                    F.when(hit, F.concat(acc["findings"], more)).otherwise(acc["findings"]).alias("findings"),
+                )
+
+            return let(n, replaced)
+
+        return of
+
+    out = F.struct(x.alias("text"), F.array().cast("array<string>").alias("findings"))
+    for one in passes:
+        out = let(out, step(*one))
+    return out
 
 
 def injection_flag(x: Column) -> Column:
@@ -185,26 +209,22 @@ def answer_key(query: Column, top_k: Column, use_agent: Column, use_graph: Colum
 
 
 def without_scaffold(x: Column) -> Column:
-    """[text, dropped]: no lines from a scaffold heading to the next heading."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("kept"), F.lit(0).alias("dropped"), F.lit(False).alias("skipping")
-    )
+    """[text, dropped]: no lines from a scaffold heading to the next heading. The last
+    heading up to a line decides, by running totals."""
 
-    def step(acc: Column, line: Column) -> Column:
-        own = strip(line)
-        skipping = F.when(own.rlike(ANY_HEADING), own.rlike(SCAFFOLD_HEADING)).otherwise(acc["skipping"])
-        return F.struct(
-            F.when(skipping, acc["kept"]).otherwise(F.array_append(acc["kept"], line)).alias("kept"),
-            (acc["dropped"] + skipping.cast("int")).alias("dropped"),
-            skipping.alias("skipping"),
-        )
-
-    return F.aggregate(
-        F.split(x, "\n", -1),
-        start,
-        step,
-        lambda acc: F.struct(F.array_join(acc["kept"], "\n").alias("text"), acc["dropped"].alias("dropped")),
-    )
+    def of(lines: Column) -> Column:
+        # 1 for a scaffold heading, 0 for another, null for other lines.
+        kind = lambda s: F.when(s.rlike(ANY_HEADING), s.rlike(SCAFFOLD_HEADING).cast("int"))
+        kinds = F.transform(lines, lambda line: kind(strip(line)))
+        last = running(kinds, F.lit(0), lambda a, b: F.coalesce(b, a))
+
+        def split(skipping: Column) -> Column:
+            kept = F.filter(lines, lambda _, i: F.get(skipping, i + 1) == 0)
+            return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("dropped"))
+
+        return let(last, split)
+
+    return let(F.split(x, "\n", -1), of)
 
 
 def normalised_lines(x: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import graph, search
+from . import graph, models, search
 from .lineage import cut
 
 # A word and what to add for it, the first that fits.
@@ -37,8 +37,9 @@ def synonym_rewrite(text: Column, rules=SYNONYMS) -> Column:
     return out.otherwise(text)
 
 
-def rewrite(queries: DataFrame, triples: DataFrame, most: int = 4, hops: int = 2) -> DataFrame:
-    """query_id, text, method: names met around the query's entities, else synonyms.
+def rewrite(queries: DataFrame, triples: DataFrame, most: int = 4, hops: int = 2, model: models.Loader | None = None) -> DataFrame:
+    """query_id, text, method: names met around the query's entities, else a model's
+    rewriting if it is new (queries may have `tried`, lower-case texts), else synonyms.
 
     Names come by hop, then by code point; one already in the text, or within one
     taken before it, is passed over.
@@ -57,35 +58,53 @@ def rewrite(queries: DataFrame, triples: DataFrame, most: int = 4, hops: int = 2
 
     extras = F.aggregate(F.coalesce("names", F.array().cast("array<struct<hop:int,name:string>>")), F.array().cast("array<string>"), step)
     rows = rows.withColumn("extras", extras)
-    by_graph = F.size("extras") > 0
-    text = F.when(by_graph, F.concat_ws(" ", "text", F.array_join(F.slice("extras", 1, most), " "))).otherwise(synonym_rewrite(F.col("text")))
-    return rows.select(
-        "query_id", text.alias("text"), F.when(by_graph, "graph-expansion").otherwise("lexical-rules").alias("method")
-    )
-
-
-def run_agent(docs: DataFrame, doc_weights: DataFrame, queries: DataFrame, triples: DataFrame, top_k: int = 20, rounds: int = 3, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(reranked hits, trace). docs: chunk_id, text; queries: query_id, text.
+    if model is None:
+        rows = rows.withColumn("reply", F.lit(None).cast("string"))
+    else:
+        # The model is asked only where the graph gives nothing.
+        own = models.rewritten(rows.where(F.size("extras") == 0).select("query_id", "text"), model)
+        if "tried" in queries.columns:
+            own = own.join(queries.select("query_id", "tried"), "query_id").where(~F.array_contains("tried", F.lower("reply")))
+        rows = rows.join(own.select("query_id", "reply"), "query_id", "left")
+    by_graph, by_model = F.size("extras") > 0, F.col("reply").isNotNull()
+    expanded = F.concat_ws(" ", "text", F.array_join(F.slice("extras", 1, most), " "))
+    text = F.when(by_graph, expanded).when(by_model, F.col("reply")).otherwise(synonym_rewrite(F.col("text")))
+    method = F.when(by_graph, "graph-expansion").when(by_model, "llm-rewrite").otherwise("lexical-rules")
+    return rows.select("query_id", text.alias("text"), method.alias("method"))
+
+
+def run_agent(
+    docs: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    triples: DataFrame,
+    top_k: int = 20,
+    rounds: int = 3,
+    top_n: int = 5,
+    model: models.Loader | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(reranked hits, trace). docs: chunk_id, text; vectors: chunk_id, vector;
+    queries: query_id, text.
 
     trace: query_id, hop, step, detail. A query leaves the rounds when its recall is
     no longer weak or a rewrite brings back a text that was tried.
     """
     current = queries.select("query_id", "text", F.array(F.lower(T.strip(F.col("text")))).alias("tried"))
-    doc_weights = cut(doc_weights)
-    hits = cut(search.search(docs, doc_weights, current, top_k=top_k))
+    vectors = cut(vectors)
+    hits = cut(search.search(docs, vectors, current, top_k=top_k))
     trace = [current.select("query_id", F.lit(1).alias("hop"), F.lit("retrieve").alias("step"), F.col("text").alias("detail"))]
     for hop in range(2, rounds + 1):
         weak = search.recall_mass(hits, current).where("weak").select("query_id")
         weak = cut(current.join(weak, "query_id", "left_semi"))
         if weak.isEmpty():
             break
-        new = weak.select("query_id", "tried").join(rewrite(weak, triples), "query_id")
+        new = weak.select("query_id", "tried").join(rewrite(weak, triples, model=model), "query_id")
         own = F.lower(T.strip(F.col("text")))
         moving = new.where(~F.array_contains("tried", own)).withColumn("tried", F.array_append("tried", own))
         moving = cut(moving.select("query_id", "text", "tried", "method"))
         trace.append(moving.select("query_id", F.lit(hop).alias("hop"), F.col("method").alias("step"), F.col("text").alias("detail")))
         moving = moving.drop("method")
-        again = search.search(docs, doc_weights, moving, top_k=top_k)
+        again = search.search(docs, vectors, moving, top_k=top_k)
         hits = cut(hits.join(moving.select("query_id"), "query_id", "left_anti").unionByName(again))
         # Queries that stopped moving keep their hits and are not asked again.
         current = moving

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 
 # The prompt's wording, the abstention, and what begins a block.
 PROMPT = (
@@ -51,38 +52,34 @@ def quoting_units(text: Column) -> Column:
     what is open. A table takes the block after it as its caption; other blocks
     part into sentences.
     """
-    block = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(False).alias("table"))
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-
-    def step(acc: Column, raw: Column) -> Column:
-        line = T.strip(raw)
-        blank, row = line == "", F.startswith(line, F.lit("|"))
-        starts = F.when(row, (acc["open"] != "") & ~acc["table"]).otherwise(line.rlike(BLOCK_START)) | blank
-        opened = F.when(starts | (acc["open"] == ""), line).otherwise(F.concat(acc["open"], F.lit(" "), line))
-        # What decides is the last line joined: prose after a row ends the table's rows.
-        return F.struct(
-            F.when(starts, close(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(blank, F.lit("")).otherwise(opened).alias("open"),
-            F.when(blank, F.lit(False)).otherwise(row).alias("table"),
-        )
-
-    blocks = F.aggregate(F.split(text, "\n", -1), block, step, close)
-    pairing = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("table"))
-
-    def pair(acc: Column, b: Column) -> Column:
-        is_table = F.startswith(b, F.lit("|"))
-        held = F.when(acc["table"].isNotNull(), F.array_append(acc["out"], acc["table"])).otherwise(acc["out"])
-        captioned = F.array_append(acc["out"], F.concat(acc["table"], F.lit(" "), b))
-        return F.struct(
-            F.when(is_table, held).when(acc["table"].isNotNull(), captioned).otherwise(F.array_append(acc["out"], b)).alias("out"),
-            F.when(is_table, b).alias("table"),
-        )
-
-    units = F.aggregate(
-        blocks, pairing, pair, lambda acc: F.when(acc["table"].isNotNull(), F.array_append(acc["out"], acc["table"])).otherwise(acc["out"])
-    )
+    def blocks_of(lines: Column) -> Column:
+        # Whether a line begins a block follows from it and the line before.
+        def begins(line: Column, i: Column) -> Column:
+            before = F.get(lines, i - 1)
+            first = (i == 0) | (before == "") | (line == "")
+            row = F.startswith(line, F.lit("|"))
+            return first | F.when(row, ~F.startswith(before, F.lit("|"))).otherwise(line.rlike(BLOCK_START))
+
+        at = F.filter(F.transform(lines, lambda line, i: F.when(begins(line, i), i)), lambda i: i.isNotNull())
+
+        def cut(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+            joined = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), " "))
+            return F.filter(joined, lambda block: block != "")
+
+        return let(at, cut)
+
+    def units_of(blocks: Column) -> Column:
+        table = lambda i: F.coalesce(F.startswith(F.get(blocks, i), F.lit("|")), F.lit(False))
+
+        def unit(b: Column, i: Column) -> Column:
+            captioned = table(i) & (i + 1 < F.size(blocks)) & ~table(i + 1)
+            after_table = ~table(i) & (i > 0) & table(i - 1)
+            return F.when(after_table, F.concat(F.get(blocks, i - 1), F.lit(" "), b)).when(~captioned, b)
+
+        return F.filter(F.transform(blocks, unit), lambda u: u.isNotNull())
+
+    units = let(let(F.transform(F.split(text, "\n", -1), T.strip), blocks_of), units_of)
     parts = F.transform(
         units, lambda u: F.when(F.startswith(u, F.lit("|")), F.array(u)).otherwise(F.split(u, r"(?U)(?<=[.!?])\s+", -1))
     )

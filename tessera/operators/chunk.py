@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let, running
 
 CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, text string, parent_id string, strategy string, "
@@ -18,13 +19,6 @@ CHUNK_SCHEMA = (
 _RANGES = "array<struct<first:int,last:int,tokens:int>>"
 
 
-def _running(values: Column) -> Column:
-    """Prefix sums, from 0."""
-    return F.aggregate(
-        values, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
-    )
-
-
 def packed_ranges(tokens: Column, size: int, overlap: int) -> Column:
     """[first, last, tokens] of each window over sentences with so many tokens.
 
@@ -54,8 +48,7 @@ def packed_ranges(tokens: Column, size: int, overlap: int) -> Column:
 
         return F.aggregate(tokens, start, step, finish)
 
-    # One-element arrays bind a value that is used many times.
-    return F.element_at(F.transform(F.array(_running(tokens)), walk), 1)
+    return let(running(tokens, F.lit(0)), walk)
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -72,7 +65,7 @@ def windows(text: Column, size: int, overlap: int) -> Column:
         )
 
     flat = F.replace(text, F.lit("\n\n"), F.lit("\n"))
-    return F.element_at(F.transform(F.array(T.sentences(flat)), pack), 1)
+    return let(T.sentences(flat), pack)
 
 
 def _rows(df: DataFrame, **columns: Column) -> DataFrame:
@@ -143,31 +136,35 @@ def semantic(docs: DataFrame, size: int = 512) -> DataFrame:
 def parent_child(docs: DataFrame, parent_size: int = 1000, child_size: int = 220, overlap: int = 40) -> DataFrame:
     """Large windows as parents, small windows of each parent's text as children."""
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parents = docs.select("doc_id", windows(F.col("text"), parent_size, overlap).alias("parents"))
-    top = parents.select("doc_id", F.posexplode("parents").alias("seq", "c"))
-    # Children are numbered through the document: flattened within the row.
-    nested = F.flatten(
-        F.transform(
-            "parents",
-            lambda p, i: F.transform(
-                windows(p["text"], child_size, 30),
-                lambda w: F.struct(i.cast("int").alias("parent"), w["text"].alias("text"), w["tokens"].alias("tokens")),
-            ),
+
+    def row(parent, seq: Column, w: Column, role: str) -> Column:
+        return F.struct(parent.cast("int").alias("parent"), seq.cast("int").alias("seq"), w["text"].alias("text"), w["tokens"].alias("tokens"), F.lit(role).alias("role"))
+
+    # Parents are packed once, and children numbered through the document, within the row.
+    def family(parents: Column) -> Column:
+        top = F.transform(parents, lambda w, i: row(F.lit(None), i, w, "parent"))
+        nested = F.flatten(
+            F.transform(
+                parents,
+                lambda p, i: F.transform(
+                    windows(p["text"], child_size, 30),
+                    lambda w: F.struct(i.cast("int").alias("parent"), w["text"].alias("text"), w["tokens"].alias("tokens")),
+                ),
+            )
         )
-    )
-    below = parents.select("doc_id", F.posexplode(nested).alias("seq", "c"))
+        return F.concat(top, F.transform(nested, lambda w, i: row(w["parent"], i, w, "child")))
+
+    own = docs.select("doc_id", F.explode(let(windows(F.col("text"), parent_size, overlap), family)).alias("c"))
+    own = own.withColumn("seq", F.col("c.seq"))
+    child = F.col("c.role") == "child"
     parent_id = F.concat(F.col("doc_id"), F.lit("#p"), F.col("c.parent"))
     return _rows(
-        top, chunk_id=_id("p"), strategy=F.lit("parent_child_parent"), role=F.lit("parent")
-    ).unionByName(
-        _rows(
-            below,
-            chunk_id=F.concat(parent_id, F.lit("c"), F.col("seq")),
-            parent_id=parent_id,
-            strategy=F.lit("parent_child"),
-            table_flag=T.is_table_block(F.col("c.text")),
-            role=F.lit("child"),
-        )
+        own,
+        chunk_id=F.when(child, F.concat(parent_id, F.lit("c"), F.col("seq"))).otherwise(_id("p")),
+        parent_id=F.when(child, parent_id),
+        strategy=F.when(child, "parent_child").otherwise("parent_child_parent"),
+        table_flag=child & T.is_table_block(F.col("c.text")),
+        role=F.col("c.role"),
     )
 
 

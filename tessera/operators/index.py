@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,6 +53,38 @@ def term_stats(docs: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return document_frequencies(tokens, id_col).crossJoin(F.broadcast(one_row)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def bm25_statistics(tokens: DataFrame, terms: DataFrame, variant: str = "plain", stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """term, idf, avgdl of the terms that the corpus has: one pass over the tokens, in
+    which only those terms leave the scan, or a lookup in a stored index."""
+    if stored is not None:
+        df, stats = stored["terms"].join(terms, "term"), stored["stats"]
+    else:
+        held = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
+        df, stats = held.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(tokens)
+    df = df.crossJoin(F.broadcast(stats))
+    if variant != "okapi":
+        return df.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    raw = df.withColumn("idf", okapi_idf(F.col("n"), F.col("df")))
+    mean = raw.agg((0.25 * F.avg("idf")).alias("floor"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Stores the lexical index of chunk_id, text as Parquet: the tokens of each chunk,
+    the document frequencies in files by hash of the term, and the corpus' statistics."""
+    tokens = token_table(docs)
+    tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = docs.sparkSession.read.parquet(f"{path}/tokens")
+    terms = document_frequencies(tokens).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    terms.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
+    corpus_stats(tokens).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What write_index() stored, for bm25_topk()."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("tokens", "terms", "stats")}
+
+
 def sparse_embedding(tokens: Column, size: int = T.EMBEDDING_SIZE) -> Column:
     """Map of bucket to weight, not normalised, from a text's tokens."""
     distinct = F.array_distinct(tokens)
@@ -60,28 +97,75 @@ def sparse_embedding(tokens: Column, size: int = T.EMBEDDING_SIZE) -> Column:
     return F.transform(distinct, entry)
 
 
-def bucket_weights(docs: DataFrame, id_col: str = "chunk_id", size: int = T.EMBEDDING_SIZE) -> DataFrame:
-    """id, bucket, weight: the nonzero parts of unit-length hash embeddings.
+def _embedding_blocks(size: int, id_col: str):
+    """(id, tokens) batches to (id, vector): a batch's distinct tokens are hashed once."""
 
-    A term that stands c times weighs c * (1 + 0.1 ln(1 + c)). Terms are counted by
-    a partial aggregate; long texts don't make it quadratic.
-    """
-    terms = token_table(docs, id_col).select(id_col, F.explode("tokens").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("c"))
-    weight = F.col("c") * (1 + 0.1 * F.log(1 + F.col("c")))
-    sums = terms.groupBy(id_col, T.embedding_bucket(F.col("term"), size).alias("bucket")).agg(F.sum(weight).alias("w"))
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, id_col).select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                tokens, n = batch.column(1), batch.num_rows
+                coded = tokens.flatten().dictionary_encode()
+                doc = np.repeat(np.arange(n), np.diff(tokens.offsets.to_numpy()))
+                width = max(1, len(coded.dictionary))
+                pairs, c = np.unique(doc * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                names = coded.dictionary.to_pylist()
+                bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in names], np.int64)
+                place = (pairs // width) * size + bucket[pairs % width] if len(pairs) else pairs
+                vectors = np.bincount(place, c * (1 + 0.1 * np.log1p(c)), n * size).reshape(n, size)
+                norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+                norms[norms == 0] = 1.0
+                flat = pa.array((vectors / norms).reshape(-1))
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], [id_col, "vector"])
+
+    return run
 
 
 def dense_embedding(docs: DataFrame, id_col: str = "chunk_id", size: int = T.EMBEDDING_SIZE) -> DataFrame:
-    """id, vector of `size` doubles; zeros for a text without tokens."""
-    weights = bucket_weights(docs, id_col, size).groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m")
-    )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
-    )
-    return docs.select(id_col).join(weights, id_col, "left").select(id_col, vector.alias("vector"))
+    """id, vector of `size` doubles, of unit length; zeros for a text without tokens.
+
+    A term that stands c times weighs c * (1 + 0.1 ln(1 + c)) in the bucket of its
+    hash. A text is embedded within its row; nothing is shuffled.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    return token_table(docs, id_col).mapInArrow(_embedding_blocks(size, id_col), f"{id_col} {kind}, vector array<double>")
+
+
+def bucket_weights(docs: DataFrame, id_col: str = "chunk_id", size: int = T.EMBEDDING_SIZE) -> DataFrame:
+    """id, bucket, weight: the nonzero parts of the embeddings."""
+    parts = F.posexplode("vector").alias("bucket", "weight")
+    return dense_embedding(docs, id_col, size).select(id_col, parts).where("weight > 0")
+
+
+def embed_with(model, id_col: str = "chunk_id", size: int = T.EMBEDDING_SIZE):
+    """An embedder by a model, as embed_queries() and reuse_vectors() take one: rows of
+    id and text to id and vector. model() gives encode(list of texts) -> array; it is
+    called once a task. Where it raises, hash embeddings stand in."""
+
+    def embed(rows: DataFrame, key: str | None = None) -> DataFrame:
+        key = key or next(c for c in (id_col, "key", "query_id", "chunk_id") if c in rows.columns)
+        kind = rows.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                encode = model()
+            except Exception:  # whatever a model's loader raises
+                encode = None
+            for batch in batches:
+                if encode is None:
+                    yield from _embedding_blocks(size, key)(iter([batch.select([0, 2]).rename_columns([key, "tokens"])]))
+                    continue
+                texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+                vectors = np.asarray(encode(texts), float).reshape(len(texts), -1)
+                norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+                norms[norms == 0] = 1.0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors / norms), pa.list_(pa.float64()))], [key, "vector"])
+
+        own = rows.select(key, "text", T.code_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+        return own.mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+    return embed
 
 
 def incremental_diff(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -1,17 +1,38 @@
-"""Cutting a plan's lineage through the shared folder of the session."""
+"""The shared folder of a session: cutting a plan's lineage, and folders for tables.
+
+On a cluster spark.checkpoint.dir names it. Only where the master is local, as in
+tests, a temporary folder stands in.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _own[context.applicationId]
+
 
-from pyspark.sql import DataFrame
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir;
-    only a session without one, as in tests, gets a temporary folder."""
+    """The rows of df, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

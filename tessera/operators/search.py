@@ -2,6 +2,10 @@
 
 Hits are rows (query_id, chunk_id, score, rank). Scores are rounded to four digits
 first and ties go to the lesser id, so that ranks don't depend on summing order.
+
+Searches score a document within its row: what they need of the queries goes to the
+workers in lots of bounded size, a batch of documents meets a lot as one matrix
+product, and each partition sends on the best k of each query.
 """
 
 from __future__ import annotations
@@ -11,14 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from .index import idf, okapi_idf, token_table
+from .index import bm25_statistics, dense_embedding, token_table
+from .topk import Best, rounded
 
-#: Query vectors up to this many numbers go to every worker; more are taken in lots.
+#: Numbers of a lot of queries that go to every worker: queries times terms, or times dimensions.
 QUERY_NUMBERS = 4_000_000
+#: Documents scored at once, times queries.
+SCORES = 4_000_000
 
 
 def ranked(hits: DataFrame, k: int, id_col: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -27,75 +36,124 @@ def ranked(hits: DataFrame, k: int, id_col: str = "chunk_id", score: str = "scor
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, variant: str = "plain") -> DataFrame:
-    """query_id, chunk_id, score of every chunk that shares a term with the query.
+def _lots(rows: DataFrame, numbers: int) -> list[DataFrame]:
+    """The queries in lots; `numbers` is what all of them hold."""
+    lots = max(1, -(-numbers // QUERY_NUMBERS))
+    return [rows.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == i) for i in range(lots)] if lots > 1 else [rows]
+
+
+def _no_hits(docs: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return docs.select(F.lit(None).cast(kind).alias("query_id"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
+
+
+def bm25_topk(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    include_zero: bool = False,
+    k1: float = 1.5,
+    b: float = 0.75,
+    variant: str = "plain",
+    stored: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """The best k chunks of each query, with scores above zero.
 
-    Every occurrence of a term in the query counts. Only the queries' terms leave
-    the documents: they filter the tokens within the scan's stage, before the
-    first shuffle. variant "okapi" takes the classical idf, negatives lifted to
-    a quarter of the mean over the queries' terms.
+    Every occurrence of a term in the query counts. variant "okapi" takes the
+    classical idf, negatives lifted to a quarter of the mean over the queries' terms.
+    With include_zero, queries with fewer hits are filled with the first chunks by
+    id, as a ranking of the whole corpus is. `stored` is an index of read_index():
+    docs is not read then, and no text is tokenised.
     """
-    tokens = token_table(docs)
+    tokens = token_table(docs) if stored is None else stored["tokens"]
     asked = queries.select("query_id", F.explode(T.code_tokens(F.coalesce("text", F.lit("")))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    terms = asked.select("term").distinct()
-    stats = tokens.agg(
-        F.count("*").alias("n"), (F.sum(F.size("tokens")) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")
-    )
-    found = tokens.select("chunk_id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), F.explode("tokens").alias("term"))
-    postings = found.join(terms, "term").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("f"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    if variant == "okapi":
-        raw = df.withColumn("idf", okapi_idf(F.col("n"), F.col("df")))
-        mean = raw.agg((0.25 * F.avg("idf")).alias("floor"))
-        weighed = raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
-    else:
-        weighed = df.withColumn("idf", idf(F.col("n"), F.col("df")))
-    f, dl = F.col("f"), F.col("dl")
-    part = F.col("qf") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / F.col("avgdl")))
-    scored = postings.join(weighed.select("term", "idf", "avgdl"), "term").join(asked, "term")
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 4).alias("score"))
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, include_zero: bool = False, **options) -> DataFrame:
-    """The best k of each query, with scores above zero. With include_zero, queries
-    with fewer hits are filled with the first chunks by id, as a ranking of the
-    whole corpus is."""
-    hits = ranked(bm25_scores(docs, queries, **options).where("score > 0"), k)
+    weighed = bm25_statistics(tokens, asked.select("term").distinct(), variant, stored)
+    n_queries, n_terms = asked.agg(F.countDistinct("query_id"), F.countDistinct("term")).first()
+    out = None
+    for lot in _lots(asked, n_queries * n_terms):
+        held = lot.join(weighed, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"), "avgdl").collect()
+        if not held:
+            continue
+        part = tokens.select("chunk_id", "tokens").mapInArrow(
+            _bm25_search(tokens, held, queries, k, k1, b), f"query_id {_kind(queries, 'query_id')}, chunk_id {_kind(tokens, 'chunk_id')}, score double"
+        )
+        out = part if out is None else out.unionByName(part)
+    hits = _no_hits(tokens, queries, "chunk_id") if out is None else ranked(out, k)
     if not include_zero:
         return hits
-    first = docs.select("chunk_id").orderBy("chunk_id").limit(2 * k)
+    first = tokens.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     fill = queries.select("query_id").crossJoin(F.broadcast(first)).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return ranked(hits.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0))), k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id") -> DataFrame:
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _bm25_search(docs: DataFrame, held: list, queries: DataFrame, k: int, k1: float, b: float):
+    """Scores of batches of (chunk_id, tokens) against query weights."""
+    number: dict = {}
+    for r in held:
+        number.setdefault(r["query_id"], len(number))
+    ids = list(number)
+    terms = sorted({r["term"] for r in held})
+    place = {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(terms), len(ids)))
+    for r in held:
+        matrix[place[r["term"]], number[r["query_id"]]] = r["w"]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, terms, matrix, held[0]["avgdl"]))
+    q_type = to_arrow_type(queries.schema["query_id"].dataType)
+    id_type = to_arrow_type(docs.schema["chunk_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, matrix, avgdl = shared.value
+        best, known = Best(len(ids), k, id_type), pa.array(terms, pa.string())
+        step = max(1, SCORES // (matrix.shape[0] + matrix.shape[1]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                tokens = batch.column(1)
+                sizes = np.diff(tokens.offsets.to_numpy())
+                found = pc.index_in(tokens.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(batch.num_rows), sizes)[found >= 0]
+                f = np.bincount(doc * len(terms) + found[found >= 0], minlength=batch.num_rows * len(terms))
+                f = f.reshape(batch.num_rows, len(terms)).astype(float)
+                length = np.maximum(sizes, 1)[:, None]
+                np.divide(f * (k1 + 1), f + k1 * (1 - b + b * length / avgdl), out=f, where=f > 0)
+                scores = rounded(f @ matrix)
+                best.add(batch.column(0), scores, scores > 0)
+        yield best.batch(pa.array(ids, q_type), "chunk_id")
+
+    return run
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", positive: bool = False, backend=None) -> DataFrame:
     """Exact cosine search. vectors: id, vector; queries: query_id, vector.
 
-    Query vectors are taken in lots of bounded size to every worker, which
-    multiplies its batch with the lot and keeps the k best of each query, so the
-    shuffle holds k rows for a query and batch. A zero vector scores 0.
+    A zero vector scores 0. With `positive`, only pairs with a product above 0 count.
+    A `backend` (vectors, queries, k) -> hits is asked first, and this search stands
+    in where it fails.
     """
+    if backend is not None:
+        try:
+            return backend(vectors, queries, k)
+        except Exception as error:  # whatever a remote store raises
+            print(f"vector backend failed, searching here: {error}")
     rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     width = rows.agg(F.max(F.size("vector")), F.count("*")).first()
-    lots = max(1, -(-(width[0] or 1) * width[1] // QUERY_NUMBERS))
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
     out = None
-    for lot in range(lots):
-        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot) if lots > 1 else rows
-        held = own.collect()
+    for lot in _lots(rows, (width[0] or 1) * width[1]):
+        held = lot.collect()
         if not held:
             continue
         matrix = _unit(np.array([r["vector"] for r in held], float))
         shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in held], matrix))
         part = vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-            _block_search(shared, k, id_col), f"query_id {q_type}, {id_col} {id_type}, score double"
+            _block_search(shared, k, id_col, vectors, queries, positive), f"query_id {_kind(queries, 'query_id')}, {id_col} {_kind(vectors, id_col)}, score double"
         )
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.lit(None).cast(q_type).alias("query_id"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    return ranked(out, k, id_col)
+    return _no_hits(vectors, queries, id_col) if out is None else ranked(out, k, id_col)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -104,64 +162,60 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / norms
 
 
-def _block_search(shared, k: int, id_col: str):
+def _block_search(shared, k: int, id_col: str, vectors: DataFrame, queries: DataFrame, positive: bool):
+    q_type = to_arrow_type(queries.schema["query_id"].dataType)
+    id_type = to_arrow_type(vectors.schema[id_col].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = shared.value
-        for batch in batches:
-            column = batch.column(1)
-            known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            if not len(known):
-                continue
-            batch = batch.take(pa.array(known))
-            block = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1)
-            # Half away from zero, as SQL rounds.
-            raw = _unit(block) @ matrix.T
-            scores = np.sign(raw) * np.floor(np.abs(raw) * 1e4 + 0.5) / 1e4
-            ids = batch.column(0)
-            by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            for j, query in enumerate(query_ids):
-                best = np.lexsort((by_id, -scores[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query] * len(best)), ids.take(pa.array(best)), pa.array(scores[best, j])],
-                    ["query_id", id_col, "score"],
-                )
+        best = Best(len(query_ids), k, id_type)
+        step = max(1, SCORES // sum(matrix.shape))
+        for whole in batches:
+            known = np.flatnonzero(whole.column(1).is_valid().to_numpy(zero_copy_only=False))
+            for at in range(0, len(known), step):
+                batch = whole.take(pa.array(known[at : at + step]))
+                block = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                raw = _unit(block) @ matrix.T
+                best.add(batch.column(0), rounded(raw), raw > 0 if positive else None)
+        yield best.batch(pa.array(query_ids, q_type), id_col)
 
     return run
 
 
-def hashed_topk(doc_weights: DataFrame, query_weights: DataFrame, k: int = 20) -> DataFrame:
-    """Cosine search over hash embeddings as they are stored: nonzero buckets."""
-    pairs = doc_weights.join(query_weights.select("query_id", "bucket", F.col("weight").alias("q")), "bucket")
-    hits = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 4).alias("score"))
-    return ranked(hits, k)
+def hashed_topk(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """Cosine search over hash embeddings of texts: chunk_id, text (or vector) against
+    query_id, text. Chunks that share no bucket with a query are no hits."""
+    stored = docs.select("chunk_id", "vector") if "vector" in docs.columns else dense_embedding(docs)
+    return dense_topk(stored, embed_queries(queries), k, positive=True)
+
+
+def embed_queries(queries: DataFrame, embed=None) -> DataFrame:
+    """query_id, vector. Equal questions, in lower case and stripped, are embedded once.
+    embed: (key, text) rows -> key, vector; hash embeddings by default."""
+    keyed = queries.select("query_id", F.lower(T.strip(F.coalesce("text", F.lit("")))).alias("key"))
+    distinct = keyed.select("key", F.col("key").alias("text")).distinct()
+    vectors = dense_embedding(distinct, "key") if embed is None else embed(distinct)
+    return keyed.join(vectors, "key").select("query_id", "vector")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, top_n: int = 10) -> DataFrame:
-    """Reciprocal-rank fusion. Both: query_id, chunk_id, score, rank. A union and one
-    aggregation stand for the outer join."""
-    kinds = {"dense": dense, "bm25": sparse}
-    parts = [
-        df.select(
-            "query_id",
-            "chunk_id",
-            (1 / (k + F.col("rank"))).alias("part"),
-            *(F.when(F.lit(name == own), F.col("score")).alias(f"{name}_score") for name in kinds),
-            *(F.when(F.lit(name == own), F.col("rank")).alias(f"{name}_rank") for name in kinds),
-        )
-        for own, df in kinds.items()
+    """Reciprocal-rank fusion. Both: query_id, chunk_id, score, rank; a branch that
+    lacks a hit adds nothing."""
+    sides = [
+        df.select("query_id", "chunk_id", F.col("score").alias(f"{name}_score"), F.col("rank").alias(f"{name}_rank"))
+        for name, df in (("dense", dense), ("bm25", sparse))
     ]
-    merged = parts[0].unionByName(parts[1]).groupBy("query_id", "chunk_id").agg(
-        F.sum("part").alias("raw"),
-        *(F.coalesce(F.max(f"{name}_score"), F.lit(0.0)).alias(f"{name}_score") for name in kinds),
-        *(F.max(f"{name}_rank").alias(f"{name}_rank") for name in kinds),
-    )
+    merged = sides[0].join(sides[1], ["query_id", "chunk_id"], "full_outer")
+    part = lambda name: F.coalesce(1 / (k + F.col(f"{name}_rank")), F.lit(0.0))
+    raw = merged.withColumn("raw", part("dense") + part("bm25"))
     order = Window.partitionBy("query_id").orderBy(
         F.col("raw").desc(), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "chunk_id"
     )
+    score = lambda name: F.coalesce(f"{name}_score", F.lit(0.0)).alias(f"{name}_score")
     return (
-        merged.withColumn("rank", F.row_number().over(order))
+        raw.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
-        .select("query_id", "chunk_id", F.round("raw", 5).alias("rrf"), "dense_score", "bm25_score", "rank")
+        .select("query_id", "chunk_id", F.round("raw", 5).alias("rrf"), score("dense"), score("bm25"), "rank")
     )
 
 
@@ -176,17 +230,25 @@ def branch_report(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return a.join(b, "query_id", "full_outer").na.fill(0)
 
 
-def search(docs: DataFrame, doc_weights: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int = 20) -> DataFrame:
-    """mode: dense, bm25 or hybrid, over hash embeddings and BM25."""
-    from .index import bucket_weights
-
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int = 20, stored: dict | None = None, embed=None) -> DataFrame:
+    """mode: dense, bm25 or hybrid. vectors: chunk_id, vector, of the embedder that
+    `embed` is (hash embeddings by default)."""
     if mode == "bm25":
-        return bm25_topk(docs, queries, top_k)
-    own = bucket_weights(queries, "query_id")
-    dense = hashed_topk(doc_weights, own, top_k)
+        return bm25_topk(docs, queries, top_k, stored=stored)
+    dense = dense_topk(vectors, embed_queries(queries, embed), top_k, positive=embed is None)
     if mode == "dense":
         return dense
-    return fuse(dense, bm25_topk(docs, queries, top_k), top_n=top_k)
+    return fuse(dense, bm25_topk(docs, queries, top_k, stored=stored), top_n=top_k)
+
+
+def benchmark_run(docs: DataFrame, vectors: DataFrame, queries: DataFrame, depth: int = 50, reported: int = 10) -> DataFrame:
+    """system, query_id, chunk_id, rank: dense, bm25 and their fusion, each branch a
+    ranking of the whole corpus (zero scores included) to `depth`."""
+    dense = dense_topk(vectors, embed_queries(queries), depth)
+    sparse = bm25_topk(docs, queries, depth, include_zero=True)
+    runs = {"dense": dense, "bm25": sparse, "hybrid": fuse(dense, sparse, top_n=depth)}
+    parts = [df.where(F.col("rank") <= reported).select(F.lit(name).alias("system"), "query_id", "chunk_id", "rank") for name, df in runs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def lexical_rerank(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, top_n: int = 5) -> DataFrame:
@@ -222,6 +284,33 @@ def rerank_with(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, sc
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
+#: Characters of a text that each kind of model reads.
+RERANK_CHARS = {"cross-encoder": 2000, "flashrank": 1500}
+
+
+def rerank(
+    queries: DataFrame, candidates: DataFrame, chunks: DataFrame, mode: str = "auto", models: dict | None = None, top_n: int = 5
+) -> tuple[DataFrame, str]:
+    """(reranked hits, method). Tiers: a cross-encoder, a light model, the words in
+    common. `models` maps a tier to a loader that gives score(questions, texts) or
+    raises; mode auto takes the first that loads, another mode that one. Where none
+    does, words decide, and the method says so."""
+    if mode not in ("auto", "heuristic", *RERANK_CHARS):
+        raise ValueError(f"no such mode: {mode}")
+    failed = []
+    for tier, chars in RERANK_CHARS.items():
+        if mode not in ("auto", tier):
+            continue
+        try:
+            score = (models or {})[tier]()
+        except Exception as error:  # whatever a model's loader raises
+            failed.append(f"{tier}: {error}")
+            continue
+        return rerank_with(queries, candidates, chunks, score, top_n, chars), tier
+    method = "heuristic" if mode == "heuristic" else f"heuristic({'; '.join(failed)})"
+    return lexical_rerank(queries, candidates, chunks, top_n), method
+
+
 def rerank_delta(reranked: DataFrame, candidates: DataFrame, top_n: int = 5) -> DataFrame:
     """query_id and how many of the reranked weren't among the first top_n before."""
     before = candidates.where(F.col("rank") <= top_n).select("query_id", "chunk_id", F.lit(1).alias("was"))

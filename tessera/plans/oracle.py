@@ -107,14 +107,15 @@ SQL["recall_mass"] = f"""WITH {_HYBRID},
 m AS (SELECT query_id, sum(rrf) FILTER (rank <= 5) AS mass FROM hy GROUP BY 1)
 SELECT item_id AS query_id, round(coalesce(mass, 0), 5) AS mass, (mass IS NULL OR mass < 0.02) AS weak
 FROM benchmark LEFT JOIN m ON item_id = query_id"""
-_RERANK = f"""{_HYBRID},
+_RERANKED = f"""
 rs AS (SELECT h.query_id, h.chunk_id, h.rank AS prior,
          list_distinct({_plain("b.text")}) AS q, {_plain("d.text")} AS t,
-         regexp_extract_all(upper(b.text), '[A-Z]{{2,}}-\\d+') AS qc, regexp_extract_all(upper(d.text), '[A-Z]{{2,}}-\\d+') AS tc
-       FROM hy h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+         regexp_extract_all(upper(b.text), '[A-Z]{{{{2,}}}}-\\d+') AS qc, regexp_extract_all(upper(d.text), '[A-Z]{{{{2,}}}}-\\d+') AS tc
+       FROM {{0}} h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
 rr AS (SELECT query_id, chunk_id, prior,
          round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN list_has_any(qc, tc) THEN 0.5 ELSE 0 END, 4) AS rerank_score FROM rs),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, prior) AS rank FROM rr)"""
+_RERANK = f"{_HYBRID}, {_RERANKED.format('hy')}"
 SQL["lexical_rerank"] = f"WITH {_RERANK} SELECT query_id, chunk_id, prior, rerank_score, rank FROM rk WHERE rank <= 5"
 SQL["rerank_delta"] = f"""WITH {_RERANK}
 SELECT query_id, count(*) FILTER (prior > 5) AS rerank_delta FROM rk WHERE rank <= 5 GROUP BY 1"""
@@ -302,8 +303,9 @@ def _ablated(hits: str, name: str, fill: str) -> str:
 
 
 SQL["ablation"] = f"""WITH {_BM25}, {_HASHED}, {_GOLD},
-d10 AS (SELECT * FROM hk WHERE rank <= 10), s10 AS (SELECT * FROM bm WHERE rank <= 10), {_fused("d10", "s10", 10)}
-{_ablated("d10", "dense", "")} UNION ALL {_ablated("s10", "bm25", "")} UNION ALL {_ablated("hy", "hybrid", "")}"""
+d10 AS (SELECT * FROM hk WHERE rank <= 10), s10 AS (SELECT * FROM bm WHERE rank <= 10), {_fused("d10", "s10", 10)}, {_RERANKED.format("hy")}
+{_ablated("d10", "dense", "")} UNION ALL {_ablated("s10", "bm25", "")} UNION ALL {_ablated("hy", "hybrid", "")}
+UNION ALL {_ablated("(SELECT * FROM rk WHERE rank <= 5)", "hybrid+rerank", "")}"""
 SQL["answer_relevance"] = f"""
 WITH a AS {L.values(L.KEYWORDS, "query_id, answer, keywords")}
 SELECT query_id, round(CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(answer), lower(k)))) / len(keywords) ELSE 0 END, 6) AS relevance FROM a"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, answer, chunk, clean, evaluate, graph, index, search
+from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, search
 
 
 def ingest(docs: DataFrame, strategy: str = "parent_child", size: int = 512, overlap: int = 80) -> dict[str, DataFrame]:
@@ -17,12 +17,12 @@ def ingest(docs: DataFrame, strategy: str = "parent_child", size: int = 512, ove
     return {
         "documents": cleaned,
         "chunks": chunks,
-        "weights": index.bucket_weights(own),
+        "vectors": index.dense_embedding(own),
         "triples": graph.merge_aliases(graph.extract_triples(own)),
     }
 
 
-def ask(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 20, top_n: int = 5, use_agent: bool = True, expand: bool = True) -> dict[str, DataFrame]:
+def ask(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 20, top_n: int = 5, use_agent: bool = True, expand: bool = True, model: models.Loader | None = None) -> dict[str, DataFrame]:
     """Answers to many questions: query_id, answer, flagged; hits and prompts beside.
 
     Questions that look like injections are flagged and get no retrieval.
@@ -31,9 +31,9 @@ def ask(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 20, top_n
     safe = flagged.where(~F.col("flagged")).drop("flagged")
     own = index.searchable(tables["chunks"])
     if use_agent:
-        hits, trace = agent.run_agent(own, tables["weights"], safe, tables["triples"], top_k, top_n=top_n)
+        hits, trace = agent.run_agent(own, tables["vectors"], safe, tables["triples"], top_k, top_n=top_n, model=model)
     else:
-        found = search.search(own, tables["weights"], safe, top_k=top_k)
+        found = search.search(own, tables["vectors"], safe, top_k=top_k)
         hits, trace = search.lexical_rerank(safe, found, own, top_n), None
     if expand:
         contexts = search.expand_parents(hits.select("query_id", "chunk_id", "rank"), tables["chunks"], top_n)
@@ -44,7 +44,7 @@ def ask(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 20, top_n
         contexts = hits.join(own.select("chunk_id", "doc_id", "text"), "chunk_id").withColumnRenamed("chunk_id", "context_id")
     contexts = answer.redacted(contexts)
     plain = safe.withColumn("text", T.redact(F.col("text"))["text"])
-    answers = answer.extractive_answers(plain, contexts)
+    answers = models.generate(plain, contexts, model)
     out = flagged.select("query_id", "flagged").join(answers, "query_id", "left")
     return {"answers": out, "hits": hits, "contexts": contexts, "prompts": answer.build_prompts(plain, contexts), "trace": trace}
 
@@ -55,9 +55,9 @@ def evaluate_run(golden: DataFrame, tables: dict[str, DataFrame], mode: str = "h
     queries = golden.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     own = index.searchable(tables["chunks"])
     if use_agent:
-        hits, _ = agent.run_agent(own, tables["weights"], queries, tables["triples"])
+        hits, _ = agent.run_agent(own, tables["vectors"], queries, tables["triples"])
     else:
-        hits = search.search(own, tables["weights"], queries, mode, 10)
+        hits = search.search(own, tables["vectors"], queries, mode, 10)
         hits = search.lexical_rerank(queries, hits, own, k) if use_rerank else hits.where(F.col("rank") <= k)
     run = hits.join(own.select("chunk_id", "doc_id", "text"), "chunk_id")
     gold = golden.select(F.col("id").alias("query_id"), F.explode("relevant_docs").alias("doc_id"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, answer, chunk, clean, evaluate, graph, index, search
+from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, search
+from ..operators.lineage import cut, new_folder
 from ..sources import files
 from ..streaming import ops
 from . import literals as L
 from .oracle import SQL
+from .oracle_rest import SQL as REST
 
 Q = {}
 
@@ -80,14 +82,12 @@ def hash_embed(spark, sf_dir):
 
 @query
 def hashed_topk(spark, sf_dir):
-    return search.hashed_topk(
-        index.bucket_weights(_chunks(spark, sf_dir)), index.bucket_weights(_questions(spark, sf_dir), "query_id"), 10
-    )
+    return search.hashed_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 10)
 
 
 def _hybrid(spark, sf_dir, k=20):
     chunks = _chunks(spark, sf_dir)
-    return search.search(chunks, index.bucket_weights(chunks), _questions(spark, sf_dir), top_k=k)
+    return search.search(chunks, index.dense_embedding(chunks), _questions(spark, sf_dir), top_k=k)
 
 
 @query
@@ -98,7 +98,7 @@ def hybrid_topk(spark, sf_dir):
 @query
 def branch_report(spark, sf_dir):
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    dense = search.hashed_topk(index.bucket_weights(chunks), index.bucket_weights(questions, "query_id"), 20)
+    dense = search.hashed_topk(chunks, questions, 20)
     out = search.branch_report(dense, search.bm25_topk(chunks, questions, 20))
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("dense_top", "sparse_top")})
 
@@ -148,7 +148,7 @@ def parent_child(spark, sf_dir):
 
 @query
 def semantic_chunks(spark, sf_dir):
-    docs = L.frame(spark, L.STRUCTURED, "doc_id string, text string")
+    docs = _strings(spark, sf_dir).unionByName(L.frame(spark, L.STRUCTURED, "doc_id string, text string"))
     return chunk.semantic(docs, 40).select("chunk_id", "text", "token_est", "table_flag", "seq")
 
 
@@ -166,7 +166,7 @@ def ingest_stats(spark, sf_dir):
 
 @query
 def table_annotate(spark, sf_dir):
-    docs = L.frame(spark, L.STRUCTURED, "chunk_id string, text string")
+    docs = _strings(spark, sf_dir).unionByName(L.frame(spark, L.STRUCTURED, "doc_id string, text string")).withColumnRenamed("doc_id", "chunk_id")
     return clean.annotate(docs).select("chunk_id", "has_table", F.col("table_rows").cast("int").alias("table_rows"), "has_figure_ref")
 
 
@@ -184,9 +184,12 @@ def leak_watch(spark, sf_dir):
 
 @query
 def parent_expand(spark, sf_dir):
+    """Children of every document, three in turn to a query, and the hand-written cases."""
     chunks = L.frame(spark, L.FAMILY, "chunk_id string, doc_id string, text string, parent_id string")
-    hits = L.frame(spark, L.HITS, "query_id int, chunk_id string, rank int")
-    return search.expand_parents(hits, chunks, 3)
+    own = chunk.parent_child(_strings(spark, sf_dir)).select("chunk_id", "doc_id", "text", "parent_id", "seq", "role")
+    hits = L.frame(spark, L.HITS, "query_id long, chunk_id string, rank int")
+    more = own.where("role = 'child'").select((F.col("doc_id").cast("long") + 1000).alias("query_id"), "chunk_id", (F.col("seq") + 1).alias("rank"))
+    return search.expand_parents(hits.unionByName(more), chunks.unionByName(own.drop("seq", "role")), 3)
 
 
 @query
@@ -213,8 +216,12 @@ def injection_flag(spark, sf_dir):
 
 @query
 def scalar_functions(spark, sf_dir):
-    rows = L.frame(spark, L.NAMES, "id int, name string, forwarded string, socket string")
-    name = F.col("name")
+    """The hand-written names, and the pages' addresses."""
+    rows = L.frame(spark, L.NAMES, "id long, name string, forwarded string, socket string")
+    pages = _table(spark, sf_dir, "pages").select(
+        (F.col("page_id") + 1000).alias("id"), F.col("url").alias("name"), F.concat_ws(",", F.lit("10.0.0.1"), "url").alias("forwarded"), F.lit("9.9.9.9").alias("socket")
+    )
+    rows, name = rows.unionByName(pages), F.col("name")
     return rows.select(
         "id",
         T.canonical_name(name).alias("canonical"),
@@ -307,7 +314,8 @@ def _facts(spark):
 
 @query
 def triples(spark, sf_dir):
-    return graph.extract_triples(L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string"))
+    own = _strings(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+    return graph.extract_triples(L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string").unionByName(own))
 
 
 @query
@@ -356,7 +364,7 @@ def agent_search(spark, sf_dir):
     """Weak queries of a small corpus: rewritten, searched again, joined by the graph."""
     docs = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string")
     questions = L.frame(spark, L.QUESTIONS, "query_id int, text string")
-    return agent.run_agent(docs, index.bucket_weights(docs), questions, _facts(spark))[0]
+    return agent.run_agent(docs, index.dense_embedding(docs), questions, _facts(spark))[0]
 
 
 @query
@@ -408,9 +416,7 @@ def _run(spark, sf_dir, k=10):
 
 def _gold(spark, sf_dir):
     """Documents that hold an item's whole text."""
-    docs = _table(spark, sf_dir, "documents")
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    pairs = docs.join(items, F.contains("text", "item"))
+    pairs = evaluate.containing(_table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir))
     return pairs.select("query_id", F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("doc_id"))
 
 
@@ -444,12 +450,14 @@ def drift_gate(spark, sf_dir):
 
 @query
 def ablation(spark, sf_dir):
-    gold, chunks, questions = _gold(spark, sf_dir), _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    """Four configurations; both branches are searched once."""
+    gold, chunks, questions = cut(_gold(spark, sf_dir)), _chunks(spark, sf_dir), _questions(spark, sf_dir)
     name = F.concat(F.lit("doc"), F.lpad(F.col("chunk_id").cast("string"), 9, "0"))
     rows = {}
-    weights = index.bucket_weights(chunks)
-    for mode in ("dense", "bm25", "hybrid"):
-        hits = search.search(chunks, weights, questions, mode, 10)
+    hits_of = {"dense": cut(search.hashed_topk(chunks, questions, 10)), "bm25": cut(search.bm25_topk(chunks, questions, 10))}
+    hits_of["hybrid"] = cut(search.fuse(hits_of["dense"], hits_of["bm25"], top_n=10))
+    hits_of["hybrid+rerank"] = cut(search.lexical_rerank(questions, hits_of["hybrid"], chunks))
+    for mode, hits in hits_of.items():
         run = hits.select("query_id", F.concat(name, F.lit("#s0")).alias("chunk_id"), name.alias("doc_id"), "rank")
         rows[mode] = evaluate.summary(evaluate.retrieval_metrics(run, gold), _MEASURES)
     return evaluate.ablation(rows)
@@ -475,7 +483,7 @@ def history_block(spark, sf_dir):
     users = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
     turns = users.join(answers, ["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.col("turn").alias("ts"), "q", "a")
-    return ops.history_block(ops.session_memory(turns, sessions_kept=1_000_000_000))
+    return ops.history_block(ops.session_memory(turns, sessions_kept=None))
 
 
 @query
@@ -528,9 +536,193 @@ def answer_cache(spark, sf_dir):
     return ops.cached_answers(asked, stored)
 
 
+# -- stored zones and files --------------------------------------------------------------
+
+
+@query
+def stored_index(spark, sf_dir):
+    """BM25 over a lexical index that is written, read again and asked."""
+    folder = new_folder(spark, "index")
+    index.write_index(_chunks(spark, sf_dir), folder)
+    return search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 10, stored=index.read_index(spark, folder))
+
+
+@query
+def zone_roundtrip(spark, sf_dir):
+    """Cleaned texts, chunks by strategy, vectors by role and edges, stored and read again."""
+    folder = new_folder(spark, "zones")
+    docs = clean.clean_documents(_strings(spark, sf_dir))
+    files.write_zone(docs.select("doc_id", "text"), f"{folder}/cleaned")
+    cleaned = spark.read.parquet(f"{folder}/cleaned")
+    own = chunk.parent_child(cleaned)
+    files.write_zone(own, f"{folder}/chunked", by="strategy")
+    chunks = spark.read.schema(chunk.CHUNK_SCHEMA).parquet(f"{folder}/chunked")
+    files.write_zone(chunks.join(index.dense_embedding(index.searchable(chunks)), "chunk_id").select("chunk_id", "role", "vector"), f"{folder}/vectors", by="role")
+    vectors = spark.read.parquet(f"{folder}/vectors")
+    files.write_zone(graph.extract_triples(chunks.select("chunk_id", "doc_id", "text")), f"{folder}/edges")
+    parts = [
+        cleaned.select(F.lit("cleaned").alias("zone"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")),
+        chunks.select(F.lit("chunked"), "chunk_id", F.length("text").cast("long")),
+        vectors.where("role = 'child'").select(F.lit("vectors"), "chunk_id", F.size("vector").cast("long")),
+        spark.read.parquet(f"{folder}/edges").select(F.lit("edges"), F.concat_ws(" ", "s", "r", "o"), F.length("chunk_id").cast("long")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query
+def json_lines(spark, sf_dir):
+    """Turns appended as JSON lines in two goes and read again, with the time of writing."""
+    folder = new_folder(spark, "lines")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    for n in (0, 1):
+        files.append_json_lines(rows.where(F.col("turn") % 2 == n), folder)
+    back = files.read_json_lines(spark, folder, "conv_id long, turn long, text string, ts string")
+    return back.select("conv_id", "turn", "text", F.col("ts").rlike(r"^\d{4}-\d\d-\d\dT").alias("stamped"))
+
+
+@query
+def history_last(spark, sf_dir):
+    """The last hundred events of a log of JSON lines, in the order of the log."""
+    folder = new_folder(spark, "log")
+    rows = _table(spark, sf_dir, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("ts"))
+    rows.write.json(folder)
+    last = files.read_json_lines(spark, folder, "event_id long, ts string", last=100)
+    return last.select("event_id", F.row_number().over(Window.orderBy("ts")).alias("place"))
+
+
+@query
+def corpus_files(spark, sf_dir):
+    """A benchmark's corpus, judgements and golden set, written as its files and read again."""
+    folder = new_folder(spark, "corpus")
+    items = _table(spark, sf_dir, "benchmark")
+    items.select(F.col("item_id").cast("string").alias("_id"), F.concat(F.lit(" title "), "item_id").alias("title"), "text").write.json(f"{folder}/corpus")
+    lines = items.select(F.concat_ws("\t", "item_id", F.lit("d1"), (F.col("item_id") % 3).cast("string")).alias("value"))
+    lines.union(spark.createDataFrame([("query-id\tcorpus-id\tscore",)], "value string")).write.text(f"{folder}/qrels")
+    golden = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.split("text", " ").alias("answer_keywords"), F.array(F.lit("d1")).alias("relevant_docs"), F.lit("n").alias("notes"))
+    golden.write.json(f"{folder}/golden")
+    corpus = files.read_corpus(spark, f"{folder}/corpus")
+    graded = evaluate.restrict(files.read_qrels(spark, f"{folder}/qrels"), items.where("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("query_id")))
+    asked = files.read_golden(spark, f"{folder}/golden", multi_line=False)
+    out = corpus.join(asked.select(F.col("id").alias("doc_id"), F.size("answer_keywords").alias("keywords")), "doc_id")
+    return out.join(graded.select(F.col("query_id").alias("doc_id"), "grade"), "doc_id", "left").select("doc_id", "text", "keywords", "grade")
+
+
+@query
+def raw_scan(spark, sf_dir):
+    """A folder of text files, one for each nation, some blank."""
+    folder = new_folder(spark, "raw")
+    nations = _table(spark, sf_dir, "nation")
+    text = F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(F.concat_ws(" ", F.lit("# Nation"), "n_name"))
+    nations.select(F.concat(F.lit("key"), F.col("n_nationkey").cast("string")).alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").text(folder)
+    docs = files.read_raw(spark, folder)
+    return docs.select(F.regexp_extract("doc_id", "name=([^/]+)/", 1).alias("name"), T.strip(F.col("text")).alias("text"))
+
+
+@query
+def result_files(spark, sf_dir):
+    """A run's summary as a result file, read again as the baseline of another run."""
+    folder = new_folder(spark, "result")
+    rows = _table(spark, sf_dir, "lineitem")
+    summary = rows.agg(F.round(F.avg("l_discount") * 10, 3).alias("faithfulness"), F.round(F.avg("l_tax") * 10, 3).alias("recall"), F.round(F.avg("l_quantity") / 100, 3).alias("ndcg"))
+    files.write_result(summary, folder)
+    base = files.read_result(spark, folder, L.SUMMARY)
+    return evaluate.drift(L.frame(spark, L.NOW, L.SUMMARY), base, ["faithfulness", "recall", "ndcg"])
+
+
+# -- model tiers, with stand-ins for models ------------------------------------------------
+
+
+def _length_scores():
+    return lambda questions, texts: (texts.str.len() % 97 + questions.str.len() % 7) / 100.0
+
+
+def _broken():
+    raise RuntimeError("no model here")
+
+
+def _letter_counts():
+    return lambda texts: [[float(len(t)), 1.0 + t.count("a"), 1.0 + t.count("e")] for t in texts]
+
+
+def _echo():
+    return lambda system, prompts: [f"{len(p)} characters" if len(p) % 3 else "" for p in prompts]
+
+
+def _pairs():
+    return lambda system, prompts: [
+        "Reply: " + ", ".join(f'[{{"s":"T{len(p) % 5}","r":"uses","o":"T{len(p) % 11}"}}]' for _ in range(1)) for p in prompts
+    ]
+
+
+@query
+def rerank_tiers(spark, sf_dir):
+    """The second tier's model where the first doesn't load."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    hits = search.bm25_topk(chunks, questions, 20)
+    out, method = search.rerank(questions, hits, chunks, "auto", {"cross-encoder": _broken, "flashrank": _length_scores})
+    return out.withColumn("method", F.lit(method))
+
+
+@query
+def embed_tiers(spark, sf_dir):
+    """Dense search by a model's vectors; a question asked twice is embedded once."""
+    embed = index.embed_with(_letter_counts)
+    return search.dense_topk(embed(_chunks(spark, sf_dir), "chunk_id"), search.embed_queries(_questions(spark, sf_dir), embed), 10)
+
+
+@query
+def model_answers(spark, sf_dir):
+    """A model's answers, and extractive ones where its reply is empty, with their usage."""
+    questions, contexts = _contexts(spark, sf_dir)
+    answers = models.generate(questions, contexts, _echo)
+    prompts = answer.build_prompts(questions, contexts.select("query_id", "doc_id", "text", "rank"))
+    out = answer.usage(prompts.join(answers, "query_id"))
+    return out.select("query_id", "method", F.when(F.col("method") == "model", F.col("answer")).alias("reply"), "prompt_tokens")
+
+
+@query
+def model_facts(spark, sf_dir):
+    """Triples that a model reads from hinting chunks, up to the cap."""
+    own = _strings(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", F.concat("text", F.lit(" vendor")).alias("text"))
+    return models.extract_triples(own, _pairs)
+
+
+@query
+def model_rewrite(spark, sf_dir):
+    """A model's rewriting of questions around which the graph has nothing."""
+    more = _questions(spark, sf_dir).select((F.col("query_id") + 1000).alias("query_id"), "text")
+    asked = L.frame(spark, L.QUESTIONS, "query_id long, text string").unionByName(more)
+    return agent.rewrite(asked, _facts(spark), model=_echo)
+
+
+@query
+def benchmark_systems(spark, sf_dir):
+    """The three systems of the benchmark, to depth 50, ten reported."""
+    chunks = _chunks(spark, sf_dir)
+    return search.benchmark_run(chunks, index.dense_embedding(chunks), _questions(spark, sf_dir))
+
+
+@query
+def backend_fallback(spark, sf_dir):
+    """Dense search with a store that fails: the search here stands in."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+    def store(vectors, queries, k):
+        raise ConnectionError("no store here")
+
+    return search.dense_topk(e, e.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10, backend=store)
+
+
+@query
+def admission_cap(spark, sf_dir):
+    """Which clients an admission state of so many keys still holds after each event."""
+    return ops.tracked_keys(_table(spark, sf_dir, "events"), seconds=86400.0, most_keys=50)
+
+
 def queries() -> dict:
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: SQL[name] for name in Q if name in SQL}
+    every = SQL | REST
+    return {name: every[name] for name in Q if name in every}

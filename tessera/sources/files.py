@@ -70,11 +70,21 @@ def append_json_lines(df: DataFrame, folder: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, folder: str, schema: str, last: int = 0) -> DataFrame:
-    """Rows of a schema with ts; the last so many by ts, all if 0. Bad lines drop out."""
+    """Rows of a schema with ts; the last so many by ts, oldest first, all if 0. Bad
+    lines drop out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
     if not last:
         return rows
-    return rows.orderBy(F.col("ts").desc()).limit(last)
+    return rows.orderBy(F.col("ts").desc()).limit(last).orderBy("ts")
+
+
+def write_result(summary: DataFrame, path: str) -> None:
+    """A run's summary, baseline or ablation as JSON: few rows, one file."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -100,9 +110,10 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return parse_qrels(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()))
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
+def read_golden(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One JSON array, or with multi_line false an object a line."""
     schema = "id string, question string, answer_keywords array<string>, relevant_docs array<string>, notes string"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def write_zone(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -15,13 +15,16 @@ def last_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("recency", latest).where(F.col("recency") <= n)
 
 
-def session_memory(turns: DataFrame, turns_kept: int = 6, sessions_kept: int = 200) -> DataFrame:
-    """turns: session_id, turn, ts, q, a. The last turns of the sessions created last,
-    questions and answers cut to their limits. Turns without a session are left out."""
+def session_memory(turns: DataFrame, turns_kept: int = 6, sessions_kept: int | None = 200) -> DataFrame:
+    """turns: session_id, turn, ts, q, a. The last turns of the sessions created last
+    (of all, if sessions_kept is None), questions and answers cut to their limits.
+    Turns without a session are left out."""
     known = turns.where("session_id is not null and session_id != ''")
-    created = known.groupBy("session_id").agg(F.min("ts").alias("created"))
-    newest = created.orderBy(F.col("created").desc(), "session_id").limit(sessions_kept).select("session_id")
-    kept = last_per_key(known.join(newest, "session_id", "left_semi"), "session_id", "turn", turns_kept)
+    if sessions_kept is not None:
+        created = known.groupBy("session_id").agg(F.min("ts").alias("created"))
+        newest = created.orderBy(F.col("created").desc(), "session_id").limit(sessions_kept).select("session_id")
+        known = known.join(newest, "session_id", "left_semi")
+    kept = last_per_key(known, "session_id", "turn", turns_kept)
     return kept.withColumns({"q": F.substring("q", 1, 500), "a": F.substring("a", 1, 800)})
 
 
@@ -81,14 +84,16 @@ def rate_limit_batch(events: DataFrame, key: str = "user_id", limit: int = 30, s
     return dealt.mapInPandas(run, f"event_id long, {key} {kind}, admitted boolean")
 
 
-def rate_limit_stream(events: DataFrame, key: str = "user_id", limit: int = 30, seconds: float = 60.0) -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str = "user_id", limit: int = 30, seconds: float = 60.0, late: str = "0 seconds") -> DataFrame:
     """As rate_limit_batch on a stream: state is the held times of each key, given up
-    once the key has been quiet for the window. Rows of a micro-batch are sorted by
-    time first."""
+    once the stream's event time is past the key's last window. A key's rows of one
+    micro-batch are sorted by time first, so the trigger bounds what is gathered; rows
+    later than `late` behind the stream are dropped, as a watermark does."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kind = events.schema[key].dataType.simpleString()
-    seconds_of = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    window = int(seconds * 1000)
 
     def run(own_key, frames, state):
         if state.hasTimedOut:
@@ -98,12 +103,13 @@ def rate_limit_stream(events: DataFrame, key: str = "user_id", limit: int = 30,
         held = list(state.get[0]) if state.exists else []
         got, held = admitted(zip(rows["t"], rows["event_id"], strict=True), limit, seconds, held)
         state.update((held,))
-        state.setTimeoutDuration(int(seconds * 1000))
+        last = int(rows["t"].max() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + window + 1)
         yield pd.DataFrame({"event_id": [i for i, _ in got], key: own_key[0], "admitted": [ok for _, ok in got]})
 
-    rows = events.select("event_id", key, seconds_of.alias("t"))
+    rows = timed.select("event_id", key, "at", (F.unix_micros("at") / 1e6).alias("t"))
     return rows.groupBy(key).applyInPandasWithState(
-        run, f"event_id long, {key} {kind}, admitted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"event_id long, {key} {kind}, admitted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -169,3 +175,23 @@ def cached_answers(asked: DataFrame, answers: DataFrame, seconds: float = 600.0,
     joined = asked.join(stored, "key", "left")
     fresh = (age >= 0) & (age < seconds * 1e6)
     return joined.select("query_id", F.when(fresh, F.col("answer")).alias("answer"), F.coalesce(fresh, F.lit(False)).alias("hit"))
+
+
+def tracked_keys(events: DataFrame, key: str = "user_id", seconds: float = 60.0, most_keys: int = 10_000) -> DataFrame:
+    """key, since, last: the keys that an admission state holds at the log's end. Quiet
+    keys are dropped; beyond `most_keys` those that came in first go first. A key that
+    was dropped and came back counts from its return."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(key, micros.alias("t")).where(F.col(key).isNotNull() & F.col("t").isNotNull())
+    own = Window.partitionBy(key).orderBy("t")
+    gap = F.col("t") - F.lag("t").over(own)
+    begun = rows.withColumn("begin", F.when(F.coalesce(gap > int(seconds * 1e6), F.lit(True)), F.col("t")))
+    held = begun.groupBy(key).agg(F.max("begin").alias("since"), F.max("t").alias("last"))
+    alive = held.crossJoin(F.broadcast(rows.agg(F.max("t").alias("now")))).where(F.col("now") - F.col("last") <= int(seconds * 1e6))
+    kept = alive.orderBy(F.col("since").desc(), key).limit(most_keys)
+    return kept.select(key, F.timestamp_micros("since").alias("since"), F.timestamp_micros("last").alias("last"))
+
+
+def vote_stream(feedback: DataFrame) -> DataFrame:
+    """Running up, down and total of a stream of feedback, for complete output mode."""
+    return vote_counts(feedback)
