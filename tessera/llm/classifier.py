@@ -213,4 +213,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [own.score(x) for x in _columns_of(batch.column(1), own.bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

@@ -429,6 +429,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

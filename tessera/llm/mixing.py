@@ -13,12 +13,15 @@ The prefix sum never sorts a source in one task. Keys are dealt into ranges of
 even chance, as many as the source's rows ask for; the sums of ranges tell which
 range the budget ends in, and only that range's rows are sorted.
 
-Quality weight: from 1/2 to 1, by the share of distinct words among words.
+Quality weight: a column of docs, or from 1/2 to 1 by the share of distinct words
+among words. Null weights count as 1, those of 0 or less as the least.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a source of
 size 0 has target 0; a null source is a source of its own; null ids draw as the
-empty string; repeated rows are documents of their own, with equal keys; other
-columns are ignored; an empty table gives no rows.
+empty string; repeated rows are documents of their own, with equal keys; ties of keys
+go by id, then size; a very long text counts with all its words, and one longer than
+what is left of the budget is not taken by the fraction; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import numbered, write_table
 
 WEIGHTS = (5, 2, 1)
 ROWS_IN_RANGE = 2_000
+LEAST_WEIGHT = 1e-6
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,12 +45,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     their limit stop there. The limit by weight, source_size / weight, orders the
     sources, so a round is one aggregation.
     """
-    # Ranks without one task for all sources: the names are sorted by range.
-    named = sizes.withColumn("name", F.coalesce("source", F.lit("")))
-    ordered = named.select("source", "source_size", F.struct(F.col("source").isNull(), "name").alias("o"))
-    rank = F.row_number().over(Window.orderBy("o"))
-    unit = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
-    weighted = write_table(ordered.select("source", "source_size", unit.alias("weight")), "sources")
+    unit = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
+    ranked = numbered(sizes.select("source", "source_size"), "source")
+    weighted = write_table(ranked.select("source", "source_size", unit.alias("weight")), "sources")
     total = weighted.agg(F.sum("source_size")).first()[0] or 0
     budget = total * percent / 100
     limit = F.col("source_size") * most_epochs
@@ -74,31 +75,38 @@ def mix_sources(
     most_epochs: int = 2,
     seed: str = "mix",
     rows_in_range: int = ROWS_IN_RANGE,
+    weight: str | None = None,
 ) -> DataFrame:
-    """docs: doc_id, text, source. A row for each row: doc_id, source, size,
+    """docs: doc_id, text, source, and the column `weight` if one is named. A row for each row: doc_id, source, size,
     source_size, target, weight, draw (the key), epochs, taken."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))
     digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     # Thirteen hex digits: exact in a double.
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-    drawn = docs.select("doc_id", "source", words.alias("words"), u.alias("u")).select(
-        "doc_id", "source", F.size("words").cast("long").alias("size"), quality_weight(F.col("words")).alias("weight"), "u"
+    own = F.lit(None) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(LEAST_WEIGHT))
+    drawn = docs.select("doc_id", "source", words.alias("words"), u.alias("u"), own.alias("own")).select(
+        "doc_id",
+        "source",
+        F.size("words").cast("long").alias("size"),
+        (quality_weight(F.col("words")) if weight is None else F.col("own")).alias("weight"),
+        "u",
     )
     drawn = write_table(drawn.withColumn("draw", -F.log("u") / F.col("weight")), "draws")
-    sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("weight").alias("mean"))
     target = targets(sizes.select("source", "source_size"), weights, percent, most_epochs)
-    plan = target.join(sizes.select("source", "rows").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    plan = target.join(sizes.select("source", "rows", "mean").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     plan = plan.select(
         "source",
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
         F.ceil(F.col("rows") / rows_in_range).cast("long").alias("ranges"),
+        "mean",
     ).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = write_table(plan, "plan")
     same = F.col("source").eqNullSafe(F.col("s"))
-    # 1 - exp(-k) rises with the key and is near even over (0, 1).
-    place = F.floor((1 - F.exp(-0.75 * F.col("draw"))) * F.col("ranges"))
+    # 1 - exp(-k) rises with the key and is near even over (0, 1), for keys by the mean weight.
+    place = F.floor((1 - F.exp(-F.col("mean") * F.col("draw"))) * F.col("ranges"))
     ranged = drawn.join(plan.withColumnRenamed("source", "s"), same, "left").drop("s")
     ranged = ranged.withColumn("range", F.least(place, F.col("ranges") - 1))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))

@@ -32,9 +32,11 @@ are never expanded into pairs. Hashes have 64 bits.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle; rows
-with a null id are linked with nothing and have a null component; other columns
-are ignored; an empty table gives no rows. Rows with one id and several texts
-are each judged by their own text, and may join their components.
+with a null id are linked with nothing and have a null component; ids may have any
+type that sorts; equal texts are one set, so ties and repeated rows make no pairs; a
+very long text is one set in one task's memory; other columns are ignored, whatever
+their names; an empty table gives no rows. Rows with one id and several texts are
+each judged by their own text, and may join their components.
 """
 
 from __future__ import annotations
@@ -46,10 +48,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
 from .components import connected
-from .storage import cut, write_table
+from .storage import cut, numbered, write_table
 
 BLOCK_MEMBERS = 30_000
 #: Bytes of text to a shard of keys at most, and those from which on small inputs are
@@ -595,7 +598,16 @@ def _with_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block_members: int = BLOCK_MEMBERS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). Ids that
+    are no integers are numbered in their order first."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        docs = docs.select("doc_id", "text")
+        ids = write_table(numbered(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id"), "ids")
+        numbers = docs.join(ids, "doc_id", "left").select(F.col("n").alias("doc_id"), "text")
+        found = jaccard_components(numbers, width, num, den, block_members).withColumnRenamed("doc_id", "n")
+        names = ids.select(F.col("n").alias("component_id"), F.col("doc_id").alias("component"))
+        named = found.join(ids, "n", "left").join(names, "component_id", "left")
+        return named.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     rows, classes = _components(docs, num, den, width, block_members)
     out = rows.select("doc_id", "n_shingles", "one", "two").join(
         classes.select("one", "two", "n_shingles", F.col("component").alias("component_id")), ["one", "two", "n_shingles"], "left"
@@ -611,4 +623,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose component has a lesser id. Documents
     without words, and those with a null id, stay."""
     gone = jaccard_components(docs, **options).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
+    gone = cut(gone.select(F.col("doc_id").alias("gone")))
+    return keyed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

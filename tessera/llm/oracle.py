@@ -140,11 +140,16 @@ def _hex(x: str, at: int) -> str:
     return f"('0x' || substr(md5({x}), {at}, 3))::INT"
 
 
-_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.+$', '')"
+_FOUND = (
+    "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:@]+)', 1)"
+    " || regexp_extract(url, '^([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+\\.?)(?:[:/?#].*)?$', 1)"
+)
+_HOST = f"regexp_replace(lower({_FOUND}), '\\.+$', '')"
+_ADDRESS = "'^[0-9]{1,3}(\\.[0-9]{1,3}){3}$|^\\['"
 _OP10 = f"""
 WITH c AS (SELECT page_id, nullif({_HOST}, '') AS host, DATE '2024-01-01' + (page_id % 366)::INT AS fetched FROM pages),
 h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),
-n AS (SELECT DISTINCT host AS asked, array_to_string(p[i:], '.') AS host FROM h, unnest(range(1, greatest(2, len(p)))) AS u(i)),
+n AS (SELECT DISTINCT host AS asked, array_to_string(p[i:], '.') AS host FROM h, unnest(range(1, CASE WHEN regexp_matches(host, {_ADDRESS}) THEN 2 ELSE greatest(2, len(p)) END)) AS u(i)),
 k AS (SELECT DISTINCT host, CASE WHEN {_hex("host", 4)} % 2 = 0 THEN 'ads' ELSE 'malware' END AS list, {_hex("host", 7)} % 200 AS d,
         {_hex("host", 10)} % 100 + 1 AS st, {_hex("host", 13)} % 4 AS kind FROM n WHERE {_hex("host", 1)} % 5 < 2),
 i AS (SELECT host, list, DATE '2024-01-01' + d AS since, CASE WHEN kind > 0 THEN DATE '2024-01-01' + (d + st) END AS until FROM k

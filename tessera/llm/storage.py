@@ -1,46 +1,26 @@
 """Shared storage: cutting lineage and keeping files that every executor reads.
 
 All of it lies under the folder named by ``spark.checkpoint.dir``. Only where
-that is unset, as in local tests, a temporary folder is used.
+that is unset and the master is local, as in tests, a temporary folder is used.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from tessera.operators.lineage import cut, shared_folder
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; sets one only where the session has none."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    key = context.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own[key]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and read back from the shared folder."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "load_array", "new_folder", "numbered", "save_array", "write_table"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +30,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `n`, the number of each row from 0 by the order, nulls last. Rows are
+    dealt by ranges of the order and numbered within each; only the ranges' sizes
+    meet in one task."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranged = write_table(df.repartitionByRange(*by).withColumn("n_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("n_range").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("n_range")) - F.col("size")
+    starts = sizes.select("n_range", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("n_range").orderBy(*by)) - 1
+    return ranged.withColumn("n", place).join(F.broadcast(starts), "n_range").withColumn("n", F.col("before") + F.col("n")).drop("n_range", "before")
+
+
 def _local(uri: str) -> str | None:
     parsed = urlparse(uri)
     return unquote(parsed.path) if parsed.scheme in ("", "file") else None

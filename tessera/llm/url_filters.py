@@ -11,8 +11,9 @@ Entries of one host and list on one date count as one; a removal then wins.
 Defined cases: captures with a null or unreadable URL, or a null date, match
 nothing and aren't blocked; entries with a null in any column are left out;
 repeated captures give repeated rows; hosts are compared in lower case without a
-final dot, port, or user part; other columns pass by; an empty list blocks
-nothing, no captures give no rows.
+final dot, port, or user part; very long URLs are read whole, in linear time; of
+several entries for a host the longest counts, ties go by list name; other columns
+pass by; an empty list blocks nothing, no captures give no rows.
 """
 
 from __future__ import annotations
@@ -20,23 +21,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: `scheme://user@host:port/...`; the host is what counts.
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: `scheme://user@host:port/...` or `//host`; else a bare name with a dot. Brackets hold addresses.
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]+)"
+_BARE = r"^([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\.?)(?:[:/?#].*)?$"
 
 
 def host_of(url: Column) -> Column:
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
+    found = F.concat(F.regexp_extract(url, _HOST, 1), F.regexp_extract(url, _BARE, 1))
+    host = F.regexp_replace(F.lower(found), r"\.+$", "")
     return F.when(host != "", host)
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains with two or more labels, longest first."""
+    """The host and its parent domains with two or more labels, longest first; an
+    address has none but itself."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
+    address = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\[")
     many = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, n), ".")
     )
-    return many
+    return F.when(address, F.array(host)).otherwise(many)
 
 
 def intervals(entries: DataFrame) -> DataFrame:

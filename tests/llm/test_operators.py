@@ -26,6 +26,7 @@ from tessera.llm import (
     registry,
     secret_scan,
     spans,
+    storage,
     url_filters,
 )
 
@@ -485,6 +486,43 @@ def test_mixing(spark, rows_in_range):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_hosts(spark):
+    urls = ["http://A.b.C.:80/x", "//u@d.e/x", "f.g/path", "10.0.0.1:80/x", "https://10.0.0.1", "http://[::1]:8/x", "not a url", "word", "mailto:x", "", None, "http://h.i/" + "a" * 200_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string").select("i", url_filters.host_of(F.col("url")).alias("h"))
+    got = {r["i"]: (r["h"], r["d"]) for r in df.select("i", "h", url_filters.domains_of(F.col("h")).alias("d")).collect()}
+    assert [got[i][0] for i in range(len(urls))] == ["a.b.c", "d.e", "f.g", "10.0.0.1", "10.0.0.1", "[::1]", None, None, None, None, None, "h.i"]
+    assert got[0][1] == ["a.b.c", "b.c"] and got[3][1] == ["10.0.0.1"] and got[5][1] == ["[::1]"]
+
+
+def test_ids_of_any_type(spark):
+    """String ids give the classes of the numbers they stand for, and pass through the others."""
+    rows = near_copies(3)
+    by_number = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    want = {(f"d{r['doc_id']:06}", r["n_shingles"], f"d{r['component_id']:06}") for r in by_number.collect()}
+    docs = spark.createDataFrame([(f"d{i:06}", t) for i, t in rows], "doc_id string, text string")
+    assert set(map(tuple, ngram_join.jaccard_components(docs, 3, 90, 100).collect())) == want
+    assert lm.score(docs, lm.train(docs)).schema["doc_id"].dataType.simpleString() == "string"
+    labels = docs.selectExpr("doc_id", "cast(substr(doc_id, 7, 1) % 2 as int) label")
+    assert classifier.score(docs, classifier.train(docs, labels)).count() == len(rows)
+
+
+def test_numbered_rows(spark):
+    rows = [(i * 37 % 101, "x") for i in range(101)] + [(None, "y")]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    got = {r["k"]: r["n"] for r in storage.numbered(df, "k").collect()}
+    assert got == {**{k: k for k in range(101)}, None: 101}
+
+
+def test_weights_of_the_mix(spark):
+    """A column of weights decides who is drawn first; its scale doesn't matter."""
+    rows = [(i, "w " * 10, "a", 1000.0 if i < 50 else 1.0) for i in range(500)] + [(1000 + i, "w " * 10, "b", None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    out = mixing.mix_sources(docs, weights=(1, 1), percent=30, most_epochs=1, rows_in_range=20, weight="q")
+    got = {r["doc_id"]: r["taken"] for r in out.collect()}
+    assert len(got) == 550 and sum(got[i] > 0 for i in range(50)) == 50
+    assert sum(v for k, v in got.items() if k < 1000) == 1150
+
+
 def test_url_filters(spark):
     day = datetime.date
     captures = spark.createDataFrame(
