@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney language model of word pairs.
+"""Interpolated modified Kneser-Ney language model: word pairs, and by grams.py any order.
 
 Counting runs in Spark over packed arrays: a task counts the words (then the
 pairs) of its texts in NumPy and sends sorted keys with their counts in a binary
@@ -22,7 +22,8 @@ size, not a set number.
 
 Defined cases: a null or empty text is one end; words never trained on get the
 unknown word's share; without training texts every token has the chance 1;
-repeated rows count each; other columns are ignored; null ids are trained on.
+repeated rows count each; a very long text takes memory in proportion to itself; ids
+may have any type; other columns are ignored; null ids are trained on.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .storage import load_array, new_folder, save_array, write_table
+from .grams import GramModel, train_grams
+from .storage import Arrays, new_folder, save_array, write_table
 
 #: Bytes of training text to a shard of words, of pairs.
 WORD_SHARD_BYTES = 64 << 20
@@ -63,15 +65,14 @@ class Model:
     discounts: tuple = (0.0, 0.0, 0.0)
     lower_discounts: tuple = (0.0, 0.0, 0.0)
     lower_left: float = 0.0  # g'
-    _open: dict = field(default_factory=dict)
+    present: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # pair shards that have pairs
+    arrays: Arrays = field(default_factory=Arrays)
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"arrays": Arrays()}
 
     def array(self, name: str) -> np.ndarray:
-        if name not in self._open:
-            self._open[name] = load_array(f"{self.uri}/{name}.npy")
-        return self._open[name]
+        return self.arrays.load(f"{self.uri}/{name}.npy")
 
     # -- words ---------------------------------------------------------------
 
@@ -114,13 +115,12 @@ class Model:
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.pair_shards + 1))
         out = np.zeros(len(keys), np.int64)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
+        for s in np.intersect1d(np.flatnonzero(np.diff(cuts)), self.present).tolist():
             at = order[cuts[s] : cuts[s + 1]]
             held = self.array(f"pair-{s}")
-            if len(held):
-                place = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
-                found = held[place] == keys[at]
-                out[at[found]] = self.array(f"pair-count-{s}")[place[found]]
+            place = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
+            found = held[place] == keys[at]
+            out[at[found]] = self.array(f"pair-count-{s}")[place[found]]
         return out[back]
 
     def states(self, numbers: np.ndarray) -> list[np.ndarray]:
@@ -151,6 +151,14 @@ class Model:
             own = np.maximum(count - _discount(count, d), 0) / total
         return np.log10(np.where(total > 0, own + left * lower, lower))
 
+    def measures(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's first token, and each token's training count and log10 chance."""
+        if not self.tokens:
+            before, own, at = _tokens(np.ones(len(words), np.int64), first, 0, 1)
+            return at, np.zeros(len(own), np.int64), np.zeros(len(own))
+        before, own, at = self.token_numbers(words, first)
+        return at, self.counts(own), self.log_chances(before, own)
+
     def token_numbers(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Preceding and own number of every token, and each text's first token."""
         return _tokens(self.numbers(words), first, self.types, int(self.numbers(np.array([END]))[0]))
@@ -245,9 +253,18 @@ def _count_of_counts(x: np.ndarray) -> list[int]:
 
 
 def train(
-    docs: DataFrame, buffer: int = BUFFER, word_shard_bytes: int = WORD_SHARD_BYTES, pair_shard_bytes: int = PAIR_SHARD_BYTES
-) -> Model:
-    """A model of the column text of docs. Its files lie in the shared folder."""
+    docs: DataFrame,
+    order: int = 2,
+    buffer: int = BUFFER,
+    word_shard_bytes: int = WORD_SHARD_BYTES,
+    pair_shard_bytes: int = PAIR_SHARD_BYTES,
+    most_types: int = 1 << 32,
+) -> Model | GramModel:
+    """A model of the column text of docs. Its files lie in the shared folder. Pairs of
+    up to 2**32 distinct words are packed as this module tells; other orders and more
+    words are hashed grams."""
+    if order != 2:
+        return train_grams(docs, order, buffer)
     spark = docs.sparkSession
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -281,9 +298,16 @@ def train(
         keys, counts = _unpack(table.column("keys"), table.column("counts"))
         save_array(f"{uri}/word-{shard}.npy", keys)
         save_array(f"{uri}/word-count-{shard}.npy", _narrow(counts))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
+        # Words that may be among the very frequent: a share of the shard's tokens is no more than one of all.
+        often = np.flatnonzero(counts > max(1000, int(counts.sum()) // (4 * pair_shards)))
+        many = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
+        return pa.table(
+            {"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())], "often": many(often), "times": many(counts[often])}
+        )
 
-    counted = texts.mapInArrow(count_words, _PACKED).groupBy("shard").applyInArrow(write_words, "shard int, types long, tokens long")
+    counted = texts.mapInArrow(count_words, _PACKED).groupBy("shard").applyInArrow(
+        write_words, "shard int, types long, tokens long, often array<long>, times array<long>"
+    )
     rows = {r["shard"]: r for r in counted.collect()}
     per_shard = [rows[s]["types"] if s in rows else 0 for s in range(shards)]
     starts = np.concatenate(([0], np.cumsum(per_shard))).astype(np.int64)
@@ -291,13 +315,11 @@ def train(
     model = Model(uri, shards, pair_shards, max(1, math.ceil((types + 1) / 2_000_000)), types, tokens, 0, starts, np.zeros(0, np.int64))
     if not tokens:
         return model
-    assert types + 2 < 1 << 32, "word numbers take 32 bits"
+    if types + 2 >= most_types:
+        return train_grams(docs, order, buffer)
     # A word above a quarter of a pair shard is dealt by its followers: at most 4 * pair_shards words.
     limit = max(1000, tokens // (4 * pair_shards))
-    hot = []
-    for s in range(shards):
-        if per_shard[s]:
-            hot.append(np.flatnonzero(np.asarray(model.array(f"word-count-{s}")) > limit) + starts[s])
+    hot = [np.array(r["often"], np.int64)[np.array(r["times"], np.int64) > limit] + starts[s] for s, r in rows.items()]
     begin_is_hot = [types] if int(model.counts(model.numbers(np.array([END])))[0]) > limit else []
     model.hot = np.sort(np.concatenate([*hot, np.array(begin_is_hot, np.int64)]).astype(np.int64))
     shared = spark.sparkContext.broadcast(model)
@@ -347,7 +369,7 @@ def train(
                     out["ids"].append((ids[a:b] - part_edges[p]).astype(np.uint32).tobytes())
                     out["values"].append(bytes([v.itemsize]) + v.tobytes())
         n = len(out["part"])
-        tally = [len(keys), *_count_of_counts(counts)]
+        tally = [shard, len(keys), *_count_of_counts(counts)]
         return pa.table(
             {
                 "part": pa.array([*out["part"], -1], pa.int32()),
@@ -362,7 +384,9 @@ def train(
         write_pairs, "part int, kind int, ids binary, values binary, tally array<long>"
     )
     partial = write_table(partial, "lm-states")
-    tallies = np.sum([r["tally"] for r in partial.where("part < 0").select("tally").collect()], axis=0).tolist()
+    # Six numbers of each pair shard.
+    of_shards = np.array([r["tally"] for r in partial.where("part < 0").select("tally").collect()])
+    model.present, tallies = np.sort(of_shards[:, 0]), of_shards[:, 1:].sum(axis=0).tolist()
     model.pairs, model.discounts = tallies[0], _discounts(tallies[1:])
     edges_of_parts = _part_edges(types, model.state_parts)
 
@@ -384,21 +408,10 @@ def train(
     lower = np.sum([r["tally"] for r in got.collect()], axis=0).tolist()
     d = model.lower_discounts = _discounts(lower[:4])
     model.lower_left = (d[0] * lower[0] + d[1] * lower[1] + d[2] * lower[4]) / model.pairs
-    _fill_missing(model)
     return model
 
 
-def _fill_missing(model: Model) -> None:
-    """Empty arrays for pair shards that no pair fell into."""
-    for s in range(model.pair_shards):
-        try:
-            load_array(f"{model.uri}/pair-{s}.npy")
-        except (FileNotFoundError, OSError):
-            save_array(f"{model.uri}/pair-{s}.npy", np.zeros(0, np.uint64))
-            save_array(f"{model.uri}/pair-count-{s}.npy", np.zeros(0, np.uint8))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | GramModel) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -409,12 +422,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tokens, known, base, logs = [], [], [], []
             for _, _, data, offsets in kernel.chunks(batch.column(1)):
                 words, first = kernel.word_hashes(data, offsets)
-                before, own, at = m.token_numbers(words, first) if m.tokens else _tokens(np.ones(len(words), np.int64), first, 0, 1)
-                count = m.counts(own) if m.tokens else np.zeros(len(own), np.int64)
+                at, count, chances = m.measures(words, first)
                 tokens.append(np.diff(at))
                 known.append(np.add.reduceat((count > 0).astype(np.int64), at[:-1]))
                 base.append(np.add.reduceat(np.log10((count + 1) / bottom), at[:-1]))
-                logs.append(np.add.reduceat(m.log_chances(before, own), at[:-1]))
+                logs.append(np.add.reduceat(chances, at[:-1]))
             n = batch.num_rows
             columns = [np.concatenate(x) if x else np.zeros(0) for x in (tokens, known, base, logs)]
             yield pa.RecordBatch.from_arrays(

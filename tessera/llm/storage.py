@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut, shared_folder
 
-__all__ = ["cut", "load_array", "new_folder", "numbered", "save_array", "write_table"]
+__all__ = ["Arrays", "cut", "load_array", "new_folder", "numbered", "save_array", "write_table"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -79,3 +79,25 @@ def load_array(uri: str) -> np.ndarray:
     system, path = fs.FileSystem.from_uri(uri)
     with system.open_input_file(path) as source:
         return np.load(source)
+
+
+class Arrays:
+    """Arrays that a task has open. Mapped ones cost no memory of its own; of those
+    that had to be read, the last used stay, up to `limit` bytes."""
+
+    def __init__(self, limit: int = 256 << 20):
+        self.limit, self.held, self.open = limit, 0, {}
+
+    def load(self, uri: str) -> np.ndarray:
+        array = self.open.pop(uri, None)
+        if array is None:
+            array = load_array(uri)
+            self.held += self._cost(array)
+        self.open[uri] = array  # the last used is the last in order
+        while self.held > self.limit and len(self.open) > 1:
+            self.held -= self._cost(self.open.pop(next(iter(self.open))))
+        return array
+
+    @staticmethod
+    def _cost(array: np.ndarray) -> int:
+        return 0 if isinstance(array, np.memmap) else array.nbytes

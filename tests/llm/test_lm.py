@@ -2,9 +2,11 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tessera.llm import lm
+from tessera.llm import lm, storage
+from tessera.llm.grams import GramModel, train_grams
 
 
 def lower(text):
@@ -105,3 +107,70 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm.score(one, lm.train(docs)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def brute_grams(train, texts, order):
+    """Scores by the recursive definition, over tuples of words."""
+    def padded(t):
+        return ["\r"] * (order - 1) + tokens(t)
+
+    levels = {order: Counter(tuple(s[i - order + 1 : i + 1]) for s in map(padded, train) for i in range(order - 1, len(s)))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    types = len({g[-1] for g in levels[order]})
+    d, contexts = {}, {}
+    for k, grams in levels.items():
+        n = Counter(min(c, 5) for c in grams.values())
+        d[k] = (0, *lm._discounts([n[i] for i in (1, 2, 3, 4)]))
+        contexts[k] = defaultdict(Counter)
+        for g, c in grams.items():
+            contexts[k][g[:-1]]["all"] += c
+            contexts[k][g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (types + 1)
+        own = contexts[k].get(g[:-1])
+        if own is None:
+            return p(g[1:])
+        c = levels[k][g]
+        left = sum(d[k][i] * own[i] for i in (1, 2, 3)) / own["all"]
+        return max(c - d[k][min(c, 3)], 0) / own["all"] + left * p(g[1:])
+
+    out = []
+    for t in texts:
+        s = padded(t)
+        out.append(sum(math.log10(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))))
+    return out
+
+
+@pytest.mark.parametrize("order,shard_rows", [(2, 2_000_000), (3, 4), (4, 50)])
+def test_any_order_matches_brute_force(spark, order, shard_rows):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, k1 string").repartition(3)
+    training = docs.where("doc_id != 6")
+    model = train_grams(training, order, buffer=7, shard_rows=shard_rows)
+    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    known = [t for i, t in enumerate(TEXTS) if i != 6]
+    pairs, _ = brute(known, TEXTS)
+    for i, w in enumerate(brute_grams(known, TEXTS, order)):
+        assert got[i]["score"] == pytest.approx(w), i
+        assert tuple(got[i])[1:5] == pytest.approx(pairs[i][:4])
+        if order == 2:
+            assert w == pytest.approx(pairs[i][4])
+    if order == 3:
+        assert isinstance(lm.train(training, order=3), GramModel)
+        beyond = lm.train(training, most_types=3)  # more words than pairs can number
+        assert isinstance(beyond, GramModel) and beyond.order == 2
+        assert {r["doc_id"]: r["score"] for r in lm.score(docs, beyond).collect()} == pytest.approx({i: w[4] for i, w in enumerate(pairs)})
+        assert lm.score(docs.where("false"), train_grams(docs.where("false"), 3)).count() == 0
+
+
+def test_arrays_read_are_bounded(tmp_path):
+    for i in range(5):
+        storage.save_array(f"{tmp_path}/{i}.npy", np.arange(1000))
+    held = storage.Arrays(limit=20_000)
+    held._cost = lambda array: array.nbytes  # as if they were read, not mapped
+    for i in (0, 1, 2, 0, 3, 4):
+        assert held.load(f"{tmp_path}/{i}.npy")[7] == 7
+    assert list(held.open) == [f"{tmp_path}/{i}.npy" for i in (3, 4)] and held.held == 16_000
