@@ -11,8 +11,9 @@ rules; an empty table passes through every stage empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontam, line_dedup, mixing, ngram_join, quality_rules
+from tessera.llm import decontam, line_dedup, mixing, ngram_join, oracle, quality_rules
 from tessera.llm.storage import write_table
 
 
@@ -39,7 +40,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes from each document."""
-    return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    out = mixing.mix_sources(docs).withColumn("target", F.round("target", 6))
+    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
 STAGES = [
@@ -50,8 +52,7 @@ STAGES = [
     ("mixing sources to target weights", mix),
 ]
 
-#: SQL has no spaced-seed alignment as these stages do it; the stages are tested by brute force.
-ORACLE_SQL = None
+ORACLE_SQL = oracle.pipeline_sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,10 @@ whatever the input's size, and is broadcast.
 
 Defined cases: null and empty texts have no grams and get the score of the bias
 alone; without training rows of both classes the score is the share of label 1
-(or 0.5); repeated rows are scored each; other columns are ignored.
+(or 0.5); labels other than 0 and 1 are left out; repeated rows are scored each, alike;
+ids may have any type and be null, and ids with equal hashes are taken by id, then
+label; a very long text takes memory in proportion to itself; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -64,10 +64,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _near_half(n: Column) -> Column:
-    """Half of n, down to three binary digits: few lengths differ from their neighbours."""
-    half = F.floor(n / 2).cast("int")
-    unit = F.pow(F.lit(2), F.greatest(F.floor(F.log2(half)) - 2, F.lit(0))).cast("int")
-    return half - half % unit
+    """Up to half of n, rounded down so that few lengths differ from their neighbours."""
+    half = F.shiftright(n, 1)
+    return half - half % F.greatest(F.shiftright(half, 3), F.lit(1))
 
 
 def _ends(words: Column, n: Column) -> Column:
@@ -75,11 +74,9 @@ def _ends(words: Column, n: Column) -> Column:
     and a partner gives. The partner may be a word shorter."""
 
     def keys(k: Column) -> Column:
-        first, last = F.slice(words, F.lit(1), k), F.slice(words, n - k + 1, k)
-        return F.array(F.xxhash64(F.lit("begin"), first), F.xxhash64(F.lit("end"), last))
+        return F.array(F.xxhash64(F.lit(0), F.slice(words, F.lit(1), k)), F.xxhash64(F.lit(1), F.slice(words, n - k + 1, k)))
 
-    own, shorter = _near_half(n), _near_half(n - 1)
-    return F.when(own == shorter, keys(own)).otherwise(F.concat(keys(own), keys(shorter)))
+    return F.flatten(F.transform(F.array_distinct(F.array(_near_half(n), _near_half(n - 1))), keys))
 
 
 def _variants(words: Column) -> Column:

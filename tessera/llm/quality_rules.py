@@ -12,8 +12,10 @@ words.
 The base rules are n_words < 10 and repeated five-word windows over 20 %.
 
 Defined cases: a null or empty text has no words and fails; a null language is
-an other one; repeated rows count each; other columns are ignored; an empty
-table gives no rows.
+an other one; repeated rows count each, and are judged alike; a distance equal to its
+limit passes; ids may have any type and be null, as a stage judges rows by text and
+language; very long texts count in linear time and, with shares, for one document;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -205,7 +207,9 @@ def judge(
 
 
 def keep_sound(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that fail. Ids in several rows go only if each row fails."""
-    kept = judge(docs, **options).where("kept").select("doc_id").distinct()
-    null_safe = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, null_safe, "left_semi").select(docs.columns)
+    """docs without the rows that fail, each by its own text and language."""
+    digest = F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary"), 256)
+    judged = judge(docs.select(digest.alias("doc_id"), "text", "lang"), **options)
+    kept = judged.where("kept").select(F.col("doc_id").alias("sound")).distinct()
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("digest"))
+    return keyed.join(kept, F.col("digest") == F.col("sound"), "left_semi").select("row.*")

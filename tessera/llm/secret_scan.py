@@ -7,8 +7,10 @@ once however many paths have it, and findings are joined back to all paths.
 Changing a rule changes the rule version, and so every blob is scanned anew.
 
 Defined cases: a null text is the empty blob; repeated rows are versions with one
-blob, and each gets the findings; null ids pass through; other columns are
-ignored; an empty table gives no rows and leaves the ledger as it is.
+blob, and each gets the findings; null ids pass through, ids may have any type; of the
+paths that have a blob the least reads it; spans of several kinds may overlap; very long
+texts and texts with very many matches take time near proportional to them; other
+columns are ignored; an empty table gives no rows and leaves the ledger as it is.
 """
 
 from __future__ import annotations
