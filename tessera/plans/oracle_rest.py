@@ -246,6 +246,42 @@ SQL["model_answers"] = f"""WITH {_PROMPTS[0].rstrip()},
 pr AS (SELECT query_id,{_PROMPTS[1]}), ml AS (SELECT query_id, length(prompt) AS n FROM pr)
 SELECT query_id, CASE WHEN n % 3 > 0 THEN 'model' ELSE 'extractive' END AS method, CASE WHEN n % 3 > 0 THEN n || ' characters' END AS reply, n // 4 AS prompt_tokens FROM ml"""
 
+# -- faithfulness: sentences with the marks beside them, judged against the contexts' sentences ----
+
+_CITE = T.CITATION
+_LOOSE = "string_split(regexp_replace(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
+_TOKEN = "{{'o': []::STRUCT(t VARCHAR, d VARCHAR[])[], 'w': []::VARCHAR[], 't': NULL::VARCHAR, 'd': []::VARCHAR[], 'c': {c}, 'v': {v}}}"
+_CLOSED = "CASE WHEN a.t IS NOT NULL AND length(regexp_replace(a.t, '^[ .,\\n\\t]+|[ .,\\n\\t]+$', '', 'g')) >= 3 THEN a.o || [{'t': a.t, 'd': a.d}] ELSE a.o END"
+_NEGATIONS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in T.NEGATIONS) + "]"
+_OVERLAP = "len(list_intersect(ds, s)) / n"
+SQL["faithfulness"] = f"""WITH {_QUOTES},
+an AS (SELECT * FROM {L.values(L.ANSWERS, 'query_id, answer')} UNION ALL
+  SELECT item_id + 1000, coalesce(answer, '{_quoted(ABSTENTION)}') FROM benchmark LEFT JOIN qk ON item_id = query_id),
+co AS (SELECT * FROM {L.values(L.CONTEXTS, 'query_id, doc_id, text')} UNION ALL SELECT query_id + 1000, chunk_id::VARCHAR, coalesce(text, '') FROM cx),
+cs2 AS (SELECT query_id, doc_id, list_transform(list_filter({_LOOSE.format('text')}, lambda x: length({_strip('x')}) > 8), lambda x: list_distinct({_plain('x')})) AS sets FROM co),
+ag AS (SELECT query_id, answer, string_split_regex(answer, '{_CITE}') AS g, regexp_extract_all(answer, '{_CITE}', 1) AS m FROM an),
+tk2 AS (SELECT query_id, answer, flatten(list_transform(range(1, len(g) + 1), lambda i:
+          list_transform(list_filter(list_transform({_LOOSE.format('g[i]')}, lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {_TOKEN.format(c='false', v='x')})
+          || CASE WHEN i <= len(m) THEN [{_TOKEN.format(c='true', v=_strip('m[i]'))}] ELSE [] END)) AS l FROM ag),
+st2 AS (SELECT query_id, answer, list_reduce(list_prepend({_TOKEN.format(c='false', v="''")}, l), lambda a, x: {{
+          'o': CASE WHEN x.c THEN a.o ELSE {_CLOSED} END,
+          'w': CASE WHEN x.c AND a.t IS NULL THEN a.w || [x.v] WHEN x.c THEN a.w ELSE [] END,
+          't': CASE WHEN x.c THEN a.t ELSE x.v END,
+          'd': CASE WHEN x.c AND a.t IS NOT NULL THEN a.d || [x.v] WHEN x.c THEN a.d ELSE a.w END, 'c': false, 'v': ''}}) AS a FROM tk2),
+sp AS (SELECT query_id, k, sp[k].t AS t, sp[k].d AS d FROM (SELECT query_id, {_CLOSED} AS sp FROM st2), unnest(range(1, len(sp) + 1)) AS u(k)),
+dc AS (SELECT query_id, k, t, unnest(CASE WHEN len(d) > 0 THEN d ELSE [NULL] END) AS doc FROM sp),
+jn2 AS (SELECT dc.query_id, k, t, doc, coalesce(flatten(list(sets) FILTER (sets IS NOT NULL)), []) AS sets
+        FROM dc LEFT JOIN cs2 ON cs2.query_id = dc.query_id AND (doc IS NULL OR cs2.doc_id = doc) GROUP BY ALL),
+wd AS (SELECT *, list_filter({_plain('t')}, lambda x: length(x) > 3) AS tk, list_filter(regexp_extract_all(lower(t), '[a-z0-9'']+'), lambda x: list_contains({_NEGATIONS}, x) OR ends_with(x, 'n''t')) AS ng FROM jn2),
+we AS (SELECT *, len(tk) AS n, list_distinct(tk) AS ds, flatten(sets) AS ev FROM wd),
+jd AS (SELECT query_id, k, CASE WHEN n = 0 OR len(list_filter(tk, lambda x: list_contains(ev, x))) < 0.5 * n THEN false
+         WHEN len(ng) > 0 THEN len(list_filter(sets, lambda s: list_has_any(ng, s) AND {_OVERLAP} >= 0.5)) > 0
+         ELSE len(list_filter(sets, lambda s: len(list_filter(list_intersect({_NEGATIONS}, s), lambda y: NOT list_contains(ds, y))) > 0 AND {_OVERLAP} >= 0.6)) = 0 END AS good FROM we),
+js AS (SELECT query_id, k, bool_or(good) AS good FROM jd GROUP BY ALL),
+jt AS (SELECT query_id, count(*) AS n, count(*) FILTER (good) AS g FROM js GROUP BY 1)
+SELECT query_id, round(CASE WHEN regexp_matches(substr(string_split({_strip('answer')}, chr(10))[1], 1, 300), '{_ABSTAINS}') THEN 1 WHEN n > 0 THEN g / n ELSE 0 END, 6) AS faithfulness
+FROM an LEFT JOIN jt USING (query_id)"""
+
 # -- admission: two admitted calls decide, one event of every client at a time ----------------------
 
 SQL["rate_limit_state"] = """

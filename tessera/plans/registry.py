@@ -397,8 +397,13 @@ def prompt_context(spark, sf_dir):
 
 @query
 def faithfulness(spark, sf_dir):
-    answers = L.frame(spark, L.ANSWERS, "query_id int, answer string")
-    contexts = L.frame(spark, L.CONTEXTS, "query_id int, doc_id string, text string")
+    """Of hand-written answers, and of the extractive answers to the benchmark's items."""
+    questions, found = _contexts(spark, sf_dir)
+    found = cut(found)
+    own = (F.col("query_id") + 1000).alias("query_id")
+    answers = L.frame(spark, L.ANSWERS, "query_id long, answer string").unionByName(answer.extractive_answers(questions, found).select(own, "answer"))
+    contexts = L.frame(spark, L.CONTEXTS, "query_id long, doc_id string, text string")
+    contexts = contexts.unionByName(found.select(own, F.col("doc_id").cast("string").alias("doc_id"), "text"))
     return evaluate.faithfulness(answers, contexts).withColumn("faithfulness", F.round("faithfulness", 6))
 
 
