@@ -459,6 +459,14 @@ def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     return packed.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "u long, v long")
 
 
+def _family_join(rows: DataFrame, of_family: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (family, doc_id, ...) joined with a table of one row a family, in parts: the
+    rows of one family are no single task's."""
+    spread = of_family.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(_PARTS)).cast("int"))
+    return parted.join(spread, ["family", "part"], how).drop("part")
+
+
 def _families(ties: DataFrame, classes: DataFrame, block_members: int) -> DataFrame:
     """doc_id, family, blocks, n_shingles, block of the classes' representatives
     that share a key with another class. Classes with one first signature are one
@@ -466,10 +474,9 @@ def _families(ties: DataFrame, classes: DataFrame, block_members: int) -> DataFr
     families = connected(ties).withColumnsRenamed({"vertex": "one", "component": "family"})
     families = families.join(classes, "one").select("family", F.col("rep").alias("doc_id"), "n_shingles")
     blocks = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("blocks"))
-    # Only large families are looked up, in parts: the rows of one are no single task's.
-    large = blocks.where("blocks > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
-    parted = families.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(_PARTS)).cast("int"))
-    return parted.join(large, ["family", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(
+    # Only large families are looked up.
+    found = _family_join(families, blocks.where("blocks > 1"), "left")
+    return found.withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(
         "doc_id", "family", "blocks", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     )
 
@@ -538,11 +545,11 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
 
     # Families of several blocks. One set of each block's component meets the others'.
     links = [found.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))]
-    inner = found.join(split, "family", "left_semi")
+    inner = _family_join(found, split, "left_semi")
     heads = inner.select("family", F.col("component").alias("doc_id")).distinct()
     heads = heads.join(weights, "doc_id")
     lots = heads.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("lots"))
-    heads = heads.join(lots, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int"))
+    heads = _family_join(heads, lots).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int"))
     met = (
         heads.join(texts, "doc_id")
         .select("family", "block", "doc_id", "text")
@@ -555,16 +562,16 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     # Sets outside their family's largest component seek links in all of its blocks.
     sizes = now.groupBy("family", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("x")).select("family", F.col("x.component").alias("main"))
-    seekers = now.join(largest, "family").where("component != main").join(families.select("doc_id", "blocks", "n_shingles"), "doc_id")
+    seekers = _family_join(now, largest).where("component != main").join(families.select("doc_id", "blocks", "n_shingles"), "doc_id")
     seekers = cut(seekers.select("family", "doc_id", "component", "blocks", "n_shingles"))
     if not seekers.isEmpty():
         lots = seekers.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("lots"))
-        seekers = seekers.join(lots, "family").withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")).cast("int"))
+        seekers = _family_join(seekers, lots).withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")).cast("int"))
         seek_rows = seekers.join(texts, "doc_id").select(
             "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "lot", "doc_id", "component", "text"
         )
         stored = (
-            now.join(lots, "family")
+            _family_join(now, lots)
             .join(families.select("doc_id", "block"), "doc_id")
             .join(texts, "doc_id")
             .select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", "component", "text")
