@@ -70,6 +70,7 @@ QUESTIONS = [
     (4, "zzz qqq"),
     (5, "the supplier of it"),
 ]
+CANDIDATES = [(1, "k1", 0.03, 1), (1, "k4", 0.02, 2), (2, "k3", 0.03, 1), (3, "k4", 0.01, 1)]
 REPLIES = [
     ("r1", 'Here: [{"s":"A","r":"uses","o":"B"},{"s":"A","r":null,"o":"C"}] done'),
     ("r2", "no list"),

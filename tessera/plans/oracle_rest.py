@@ -213,6 +213,15 @@ fi AS (SELECT query_id, name, min(turn) AS turn FROM rw GROUP BY ALL),
 ex AS (SELECT query_id, list(name ORDER BY turn, length(name) DESC, name)[1:3] AS e FROM fi GROUP BY query_id)
 SELECT fu.query_id, CASE WHEN e IS NULL THEN text ELSE text || ' ' || array_to_string(e, ' ') END AS text, coalesce(array_to_string(e, ','), '') AS expansion
 FROM fu LEFT JOIN ex USING (query_id)"""
+SQL["graph_merge"] = f"""
+WITH RECURSIVE {_named(_ASKED)}, {_hops("t", "lk", 2)},
+ca AS {L.values(L.CANDIDATES, 'query_id, chunk_id, rrf, rank')}, fc AS {L.values(L.FACT_TEXTS, 'chunk_id, doc_id, text')},
+kf AS (SELECT query_id, s, r, o, min(chunk_id) AS chunk_id, min(hop) AS hop FROM mt GROUP BY query_id, s, r, o),
+wn AS (SELECT query_id, chunk_id, min(hop) AS hop FROM kf WHERE chunk_id IN (SELECT chunk_id FROM fc) GROUP BY ALL),
+la AS (SELECT query_id, max(rank) AS last FROM ca GROUP BY 1),
+nw AS (SELECT wn.*, last FROM wn LEFT JOIN la USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.query_id = wn.query_id AND ca.chunk_id = wn.chunk_id))
+SELECT query_id, chunk_id, rrf, rank, false AS via_graph FROM ca
+UNION ALL SELECT query_id, chunk_id, 0.01, coalesce(last, 0) + row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id), true FROM nw"""
 SQL["model_facts"] = """
 WITH c AS (SELECT doc_id::VARCHAR AS chunk_id, length(substr(text || ' vendor', 1, 1500)) AS n FROM documents WHERE NOT starts_with(doc_id::VARCHAR, 'scale_20news') AND text IS NOT NULL),
 r AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS k FROM c)
@@ -307,6 +316,13 @@ n AS (SELECT id.d AS d, id.p AS p, text, row_number() OVER (PARTITION BY id.d OR
 ch AS (SELECT id || '#p' || seq AS chunk_id, text FROM p UNION ALL SELECT d || '#p' || p || 'c' || n, text FROM n), {_triples('ch')}
 SELECT 'cleaned' AS zone, id, length(text) AS n FROM cl UNION ALL SELECT 'chunked', chunk_id, length(text) FROM ch
 UNION ALL SELECT 'vectors', d || '#p' || p || 'c' || n, 384 FROM n UNION ALL SELECT 'edges', concat_ws(' ', s, r, o), length(chunk_id) FROM tx"""
+SQL["ingest_tables"] = f"""
+WITH RECURSIVE s AS (SELECT doc_id::VARCHAR AS id, text AS raw FROM documents), {_clean('s')},
+src AS (SELECT id, text FROM cl), {_windows("w", "src", 220, 30)}, {_windows("p", "src", 1000, 40)},
+cs AS (SELECT {{'d': id, 'p': seq}} AS id, text FROM p), {_windows("c", "cs", 220, 30)},
+ch AS (SELECT 'sliding' AS strategy, text, tokens FROM w UNION ALL SELECT 'another name', text, tokens FROM w
+  UNION ALL SELECT 'parent_child', text, tokens FROM p UNION ALL SELECT 'parent_child', text, tokens FROM c)
+SELECT strategy, count(*) AS chunks, sum(tokens) AS tokens, sum(length(text)) AS chars FROM ch GROUP BY strategy"""
 SQL["json_lines"] = "SELECT conv_id, turn, text, true AS stamped FROM conversations"
 SQL["history_last"] = """
 WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events)

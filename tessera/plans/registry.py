@@ -11,6 +11,7 @@ from ..operators.lineage import cut, new_folder
 from ..sources import files
 from ..streaming import ops
 from . import literals as L
+from . import pipelines
 from .oracle import SQL
 from .oracle_rest import SQL as REST
 
@@ -349,6 +350,27 @@ def khop_tables(spark, sf_dir):
     return graph.neighbours(starts, edges, 3).select("query_id", "s", "r", "o", "hop")
 
 
+@query
+def graph_merge(spark, sf_dir):
+    """Chunks that state the facts around a question, after its other candidates."""
+    linked = graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+    candidates = L.frame(spark, L.CANDIDATES, "query_id int, chunk_id string, rrf double, rank int")
+    chunks = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string")
+    return graph.merge_graph_hits(candidates, graph.neighbours(linked, _facts(spark), 2), chunks)
+
+
+@query
+def ingest_tables(spark, sf_dir):
+    """Sizes of an index's tables by strategy: cleaned, chunked, embedded."""
+    parts = []
+    for strategy in ("sliding", "parent_child", "another name"):
+        tables = pipelines.ingest(_strings(spark, sf_dir), strategy, 220, 30)
+        chunks = cut(tables["chunks"])
+        row = chunks.agg(F.count("*").alias("chunks"), F.sum("token_est").alias("tokens"), F.sum(F.length("text")).alias("chars"))
+        parts.append(row.select(F.lit(strategy).alias("strategy"), "chunks", "tokens", "chars"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query
 def model_triples(spark, sf_dir):
     return graph.parse_model_triples(L.frame(spark, L.REPLIES, "chunk_id string, reply string"))
