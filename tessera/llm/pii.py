@@ -38,7 +38,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# What the method proposes besides: cards within longer runs of digits, national
+# What the method proposes besides: cards (that hold) within longer runs of digits, national
 # phone numbers, bank accounts, and social security numbers.
 MORE = {
     "card": r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
@@ -68,6 +68,19 @@ def luhn(x: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
+def iban_holds(match: Column) -> Column:
+    """Whether the number's remainder by 97, with its head at the end and letters as
+    two digits, is 1."""
+    plain = F.replace(match, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 58, (a * 10 + code - 48) % 97).otherwise((a * 100 + code - 55) % 97)
+
+    return F.length(plain).between(15, 34) & (F.aggregate(turned, F.lit(0), step) == 1)
+
+
 def card_holds(match: Column) -> Column:
     plain = digits(match)
     return F.when(F.length(plain).between(14, 19), luhn(plain)).otherwise(False)
@@ -103,7 +116,7 @@ def _votes(kind: str, match: Column, before: Column, after: Column) -> list[Colu
         "card": card_holds(match),
         "phone": n.between(10, 15),
         "tel": n == 10,
-        "iban": F.length(F.regexp_replace(match, " ", "")).between(15, 34),
+        "iban": iban_holds(match),
         "ssn": n == 9,
     }
     gazetteers = {
@@ -168,7 +181,7 @@ def _candidates(text: Column) -> Column:
     for base, patterns in ((True, PATTERNS), (False, MORE)):
         for kind, pattern in patterns.items():
             found = spans.matches(text, pattern, may[kind], _CONTEXT)
-            if base and kind in _HOLDS:
+            if kind in _HOLDS:
                 found = F.filter(found, _holding(_HOLDS[kind]))
             parts.append(F.transform(found, _describing(kind, base)))
     # What base spans already cover is not proposed again.
