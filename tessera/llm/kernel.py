@@ -126,3 +126,15 @@ def run_shingles(words: np.ndarray, first: np.ndarray, size: int) -> list[np.nda
         else:
             out.append(np.unique(shingle_hashes(words[low:high], size)))
     return out
+
+
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Rabin-Karp hash of every window of exactly `size` words: a polynomial over the
+    words' hashes, from one prefix sum, finalised."""
+    m = len(words) - size + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    powers, inverses = _power_tables(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers, out=total[1:])
+    return mix((total[size:] - total[:-size]) * inverses[:m])

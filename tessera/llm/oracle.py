@@ -211,6 +211,16 @@ m AS (SELECT c.page_id, i.list, i.host AS entry, i.since, row_number() OVER (PAR
 SELECT c.page_id, c.host, fetched, entry IS NOT NULL AS blocked, list, entry, since FROM c LEFT JOIN m ON m.page_id = c.page_id AND r = 1"""
 
 
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+f AS (SELECT r, i FROM (SELECT *, min((doc_id, i)) OVER (PARTITION BY s) AS first FROM g) WHERE (doc_id, i) > first),
+c AS (SELECT DISTINCT r, i + k AS i FROM f, (SELECT unnest(range(20)) AS k)),
+p AS (SELECT r, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": _OP1,
@@ -220,4 +230,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_ngram_jaccard": _OP8,
         "op9_mix_sources": _OP9,
         "op10_url_filters": _OP10,
+        "op13_substring_dedup": _OP13,
     }

@@ -17,6 +17,7 @@ from . import (
     quality_rules,
     secret_scan,
     spans,
+    substring_dedup,
     url_filters,
 )
 
@@ -139,6 +140,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.match_captures(pages.withColumn("fetched", day), filter_list(pages))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat twenty words found earlier, removed."""
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -151,6 +158,7 @@ def queries() -> dict:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_mix_sources": op9_mix_sources,
         "op10_url_filters": op10_url_filters,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
