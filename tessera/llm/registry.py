@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     classifier,
+    conversations,
     decontam,
     line_dedup,
     lm,
@@ -19,6 +20,7 @@ from . import (
     spans,
     substring_dedup,
     url_filters,
+    whitening,
 )
 
 
@@ -140,6 +142,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.match_captures(pages.withColumn("fetched", day), filter_list(pages))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by checksum and repaired at the least cost."""
+    out = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+    lines = F.transform("repaired", lambda r: F.concat_ws(":", r["role"], r["text"]))
+    return out.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("repaired_sha256")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the first 16 whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat twenty words found earlier, removed."""
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -158,6 +174,8 @@ def queries() -> dict:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_mix_sources": op9_mix_sources,
         "op10_url_filters": op10_url_filters,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_whitening": op12_whitening,
         "op13_substring_dedup": op13_substring_dedup,
     }
 
