@@ -2,7 +2,9 @@
 
 Every function takes and returns Columns and runs inside the JVM. `\\s` in the
 patterns is Unicode-aware (`(?U)`) and `(?d)` makes `\\n` the only line end, so that
-results don't depend on the platform.
+results don't depend on the platform. Repeats that can't give back are possessive, and
+runs are entered at their first character only: a text takes time near linear in its
+length, and no match needs a stack that grows with it.
 """
 
 from __future__ import annotations
@@ -13,19 +15,20 @@ from pyspark.sql import functions as F
 from .arrays import let, running
 
 # Token, sentence, boilerplate and guard patterns, and word lists.
-CODE_TOKEN = r"([a-z0-9]+(?:[-_/][a-z0-9]+)*)"
-PLAIN_TOKEN = r"([a-z0-9]+)"
+CODE_TOKEN = r"([a-z0-9]++(?:[-_/][a-z0-9]++)*+)"
+PLAIN_TOKEN = r"([a-z0-9]++)"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9#|\-])"
 LOOSE_SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
-PRODUCT_CODE = r"([A-Z]{2,}-\d+)"
+PRODUCT_CODE = r"(?<![A-Z])([A-Z]{2,}+-\d+)"
 BOILERPLATE = r"(?i)(page \d+ of \d+|confidential — internal|draft v\d+)"
 SCAFFOLD_HEADING = r"(?id)^#{1,3}\s+(why this document exists|relational note)\b.*$"
 ANY_HEADING = r"^#{1,3}\s+"
 TEST_QUERY_LINE = r"(?imd)^test query:.*$"
-META_SENTENCE = r"(?iU)\s*This row-level fact tests table-aware parsing and parent-child chunking( \([^)]*\))?\.?\s*"
+META_SENTENCE = r"(?iU)(?:(?<!\s)\s++)?This row-level fact tests table-aware parsing and parent-child chunking( \([^)]*\))?\.?\s*"
 TABLE_ROW = r"(?md)^\|.*\|$"
 FIGURE = r"Figure\s+F-\d+|Fig\.\s*\d+"
-EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+# `\G` lets an address begin where the one before ended.
+EMAIL = r"(?:\G|(?<![a-zA-Z0-9_.+-]))[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = r"\+\d[\d\s\-()]{7,}\d"
 PHONE_NATIONAL = r"(?:\(\d{3}\)\s*|\b\d{3}[-.])\d{3}[-.]\d{4}\b"
 INJECTION = r"(?i)(ignore (all )?previous instructions|system prompt|jailbreak|DAN mode|exfiltrate|reveal your prompt)"
@@ -41,7 +44,7 @@ EMBEDDING_SIZE = 384
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(x, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def collapse(x: Column) -> Column:
@@ -164,7 +167,7 @@ def doc_of(chunk_id: Column) -> Column:
 
 def canonical_name(x: Column) -> Column:
     """Products and components in one spelling; others only tidied."""
-    name = F.regexp_replace(collapse(x), r"^[.,;:]+|[.,;:]+$", "")
+    name = F.regexp_replace(collapse(x), r"^[.,;:]++|(?<![.,;:])[.,;:]++$", "")
     code = F.upper(F.regexp_extract(name, r"(?i)^(?:component\s+)?([a-z]{1,3}-?\d+)$", 1))
     letter = F.upper(F.regexp_extract(name, r"(?i)^product\s+([a-z])$", 1))
     return (
@@ -232,7 +235,7 @@ def normalised_lines(x: Column) -> Column:
     plain = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\t"), F.lit(" "))
 
     def tidy(line: Column) -> Column:
-        other = F.regexp_replace(F.regexp_replace(line, "[  ]+", " "), r"(?U)\s+$", "")
+        other = F.regexp_replace(F.regexp_replace(line, "[  ]+", " "), r"(?U)(?<!\s)\s++$", "")
         return F.when(F.startswith(strip(line), F.lit("|")), collapse(line)).otherwise(other)
 
     joined = F.array_join(F.transform(F.split(plain, "\n", -1), tidy), "\n")

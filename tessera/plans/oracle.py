@@ -34,6 +34,7 @@ bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_i
        FROM sc WHERE score > 0)"""
 
 SQL["bm25_topk"] = f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10"
+SQL["postings_topk"] = SQL["bm25_topk"]
 SQL["bm25_with_zeros"] = f"""WITH {_BM25},
 al AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents),
 fl AS (SELECT query_id, chunk_id, coalesce(score, 0.0) AS score FROM al LEFT JOIN sc USING (query_id, chunk_id)),
@@ -220,6 +221,8 @@ a AS (SELECT doc_id, sha256(text)[1:16] AS h, 'sliding' AS s FROM o),
 b AS (SELECT doc_id, sha256(text)[1:16] AS h, CASE WHEN doc_id LIKE '%3' THEN 'semantic' ELSE 'sliding' END AS s FROM w)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed'
   WHEN a.h = b.h AND a.s = b.s THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)"""
+SQL["postings_update"] = f"""WITH {_VERSIONS}, {_BM25.replace("FROM documents", "FROM w", 1)}
+SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10"""
 SQL["vector_reuse"] = f"""WITH {_VERSIONS}
 SELECT w.doc_id AS chunk_id, o.doc_id IS NOT NULL AS reused, CASE WHEN o.doc_id IS NOT NULL THEN length(w.text) ELSE -length(w.text) END::DOUBLE AS first
 FROM w LEFT JOIN o ON w.doc_id = o.doc_id AND w.text = o.text"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, search
+from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, postings, search
 from ..operators.lineage import cut, new_folder
 from ..sources import files
 from ..streaming import ops
@@ -254,7 +254,7 @@ def point_ids(spark, sf_dir):
 def _versions(spark, sf_dir):
     """A later state of the documents: a tenth edited, a tenth gone, a tenth new."""
     old = _strings(spark, sf_dir)
-    n = F.col("doc_id").cast("long") % 10
+    n = F.col("doc_id").try_cast("long") % 10
     new = old.where(n != 0).withColumn("text", F.when(n == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
     added = old.where(n == 2).withColumn("doc_id", F.concat(F.lit("new"), "doc_id"))
     return old, new.unionByName(added)
@@ -574,6 +574,26 @@ def stored_index(spark, sf_dir):
     return search.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 10, stored=index.read_index(spark, folder))
 
 
+@query
+def postings_topk(spark, sf_dir):
+    """BM25 by blocks of postings, in two segments."""
+    folder, chunks = new_folder(spark, "segments"), _chunks(spark, sf_dir)
+    for n in (0, 1):
+        postings.add_segment(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == n), folder, buckets=8)
+    return postings.search(spark, folder, _questions(spark, sf_dir), 10)
+
+
+@query
+def postings_update(spark, sf_dir):
+    """The same after a later state of the documents came in by its differences."""
+    folder = new_folder(spark, "segments")
+    old, new = (x.withColumnRenamed("doc_id", "chunk_id") for x in _versions(spark, sf_dir))
+    postings.add_segment(old, folder, buckets=8)
+    hashed = [x.select(F.col("chunk_id").alias("doc_id"), T.content_hash(F.col("text")).alias("hash"), F.lit("plain").alias("strategy")) for x in (new, old)]
+    postings.update(new, index.incremental_diff(*hashed), folder)
+    return postings.search(spark, folder, _questions(spark, sf_dir), 10)
+
+
 @query
 def zone_roundtrip(spark, sf_dir):
     """Cleaned texts, chunks by strategy, vectors by role and edges, stored and read again."""
