@@ -9,8 +9,9 @@ opens the buckets of its terms and skips row groups by their bounds.
 
 Search, for all queries at once:
 
-1. The blocks with the greatest bounds are scored; the k-th best of these partial scores is
-   a threshold that the k-th best whole score can't be under.
+1. The blocks with the greatest bounds are scored, and the documents that are best by these
+   partial scores are scored whole; the k-th best of them is a threshold that the k-th best
+   of all can't be under.
 2. Terms whose bounds together stay under the threshold can't make a hit; only the other
    terms' blocks give candidates, and of those only the ones that could pass with the rest
    at its best.
@@ -252,7 +253,21 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: floa
     seeds = heads.withColumn("i", F.row_number().over(best)).where(F.col("i") <= SEEDS).select("query_id", "term", "first", "w")
     partial = scored(seeds).groupBy("query_id", "doc").agg(F.sum("part").alias("part"))
     kth = Window.partitionBy("query_id").orderBy(F.col("part").desc(), "doc")
-    least = partial.withColumn("i", F.row_number().over(kth)).where(F.col("i") == k).select("query_id", (F.col("part") - SLACK).alias("least"))
+    first = cut(partial.withColumn("i", F.row_number().over(kth)).where(F.col("i") <= 2 * k).select("query_id", "doc"))
+    cell = lambda c: F.floor(c / CELL)
+
+    def holding(docs: DataFrame, heads: DataFrame) -> DataFrame:
+        """Pairs of docs (query_id, doc) and blocks that span them."""
+        cells = F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))).alias("cell")
+        return docs.withColumn("cell", cell(F.col("doc"))).join(heads.select("*", cells), ["query_id", "cell"]).where("doc between first and last")
+
+    def totals(chosen: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+        """query_id, doc and the sum of what the chosen blocks add to docs."""
+        rows = scored(chosen).join(docs.select("query_id", "doc"), ["query_id", "doc"], "left_semi")
+        return rows.groupBy("query_id", "doc").agg(F.sum("part").alias(name))
+
+    whole = totals(holding(first, heads).select("query_id", "term", "first", "w").distinct(), first, "part")
+    least = whole.withColumn("i", F.row_number().over(kth)).where(F.col("i") == k).select("query_id", (F.col("part") - SLACK).alias("least"))
     # 2. Terms by rising bound: those before the sum reaches the threshold are left aside.
     terms = heads.groupBy("query_id", "term").agg(F.max("bound").alias("top")).join(least, "query_id", "left").na.fill(0.0, ["least"])
     upto = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -266,12 +281,10 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: floa
     found = scored(main).groupBy("query_id", "doc").agg(F.sum("part").alias("part")).join(facts, "query_id")
     candidates = cut(found.where(F.col("part") + F.col("rest") >= F.col("least")))
     # 3. Blocks left aside that hold a candidate and could lift it.
-    cell = lambda c: F.floor(c / CELL)
-    ranges = judged.where("aside").select("query_id", "term", "first", "last", "w", "bound", "top", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))).alias("cell"))
-    near = candidates.withColumn("cell", cell(F.col("doc"))).join(ranges, ["query_id", "cell"]).where("doc between first and last")
+    near = holding(candidates, judged.where("aside").select("query_id", "term", "first", "last", "w", "bound", "top"))
     near = near.where(F.col("part") + F.col("rest") - F.col("top") + F.col("bound") >= F.col("least"))
     more = cut(near.select("query_id", "term", "first", "w").distinct())
-    rest = scored(more).join(candidates.select("query_id", "doc"), ["query_id", "doc"], "left_semi").groupBy("query_id", "doc").agg(F.sum("part").alias("more"))
+    rest = totals(more, candidates, "more")
     score = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 4)
     scores = candidates.select("query_id", "doc", "part").join(rest, ["query_id", "doc"], "left").select("query_id", "doc", score.alias("score")).where("score > 0")
     # Ties at the last place stay until ids decide.

@@ -22,11 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .index import bm25_statistics, dense_embedding, token_table
+from .lineage import cut
 from .topk import Best, rounded
 
-#: Numbers of a lot of queries that go to every worker: queries times terms, or times dimensions.
+#: Numbers of a lot of queries that go to every worker: pairs of query and term, or entries of vectors.
 QUERY_NUMBERS = 4_000_000
-#: Documents scored at once, times queries.
+#: Documents scored at once, times queries; and pairs of posting and query added up at once.
 SCORES = 4_000_000
 
 
@@ -69,9 +70,11 @@ def bm25_topk(
     asked = queries.select("query_id", F.explode(T.code_tokens(F.coalesce("text", F.lit("")))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     weighed = bm25_statistics(tokens, asked.select("term").distinct(), variant, stored)
-    n_queries, n_terms = asked.agg(F.countDistinct("query_id"), F.countDistinct("term")).first()
+    lots = _lots(asked, asked.count())
+    if len(lots) > 1:  # what all lots need is computed once
+        weighed, tokens = cut(weighed), tokens if stored is not None else cut(tokens)
     out = None
-    for lot in _lots(asked, n_queries * n_terms):
+    for lot in lots:
         held = lot.join(weighed, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"), "avgdl").collect()
         if not held:
             continue
@@ -97,19 +100,20 @@ def _bm25_search(docs: DataFrame, held: list, queries: DataFrame, k: int, k1: fl
     for r in held:
         number.setdefault(r["query_id"], len(number))
     ids = list(number)
-    terms = sorted({r["term"] for r in held})
-    place = {t: i for i, t in enumerate(terms)}
-    matrix = np.zeros((len(terms), len(ids)))
-    for r in held:
-        matrix[place[r["term"]], number[r["query_id"]]] = r["w"]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, terms, matrix, held[0]["avgdl"]))
+    # Sparse by term: its queries and their weights lie side by side.
+    rows = sorted((r["term"], number[r["query_id"]], r["w"]) for r in held)
+    names = np.array([r[0] for r in rows], object)
+    begins = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    terms = names[begins].tolist()
+    offsets = np.r_[begins, len(rows)]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, terms, offsets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float), held[0]["avgdl"]))
     q_type = to_arrow_type(queries.schema["query_id"].dataType)
     id_type = to_arrow_type(docs.schema["chunk_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, matrix, avgdl = shared.value
-        best, known = Best(len(ids), k, id_type), pa.array(terms, pa.string())
-        step = max(1, SCORES // (matrix.shape[0] + matrix.shape[1]))
+        ids, terms, offsets, query, weight, avgdl = shared.value
+        best, known, n = Best(len(ids), k, id_type), pa.array(terms, pa.string()), len(ids)
+        step = max(1, SCORES // n)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
@@ -117,11 +121,21 @@ def _bm25_search(docs: DataFrame, held: list, queries: DataFrame, k: int, k1: fl
                 sizes = np.diff(tokens.offsets.to_numpy())
                 found = pc.index_in(tokens.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = np.repeat(np.arange(batch.num_rows), sizes)[found >= 0]
-                f = np.bincount(doc * len(terms) + found[found >= 0], minlength=batch.num_rows * len(terms))
-                f = f.reshape(batch.num_rows, len(terms)).astype(float)
-                length = np.maximum(sizes, 1)[:, None]
-                np.divide(f * (k1 + 1), f + k1 * (1 - b + b * length / avgdl), out=f, where=f > 0)
-                scores = rounded(f @ matrix)
+                pairs, f = np.unique(doc * len(terms) + found[found >= 0], return_counts=True)
+                doc, term = pairs // len(terms), pairs % len(terms)
+                part = f * (k1 + 1) / (f + k1 * (1 - b + b * np.maximum(sizes, 1)[doc] / avgdl))
+                scores = np.zeros(batch.num_rows * n)
+                asked = offsets[term + 1] - offsets[term]
+                upto = np.cumsum(asked)
+                low = 0
+                while low < len(pairs):
+                    # As many postings as give SCORES pairs with queries, one at least.
+                    high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SCORES, "right")))
+                    many = asked[low:high]
+                    place = np.repeat(offsets[term[low:high]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    scores += np.bincount(np.repeat(doc[low:high], many) * n + query[place], np.repeat(part[low:high], many) * weight[place], len(scores))
+                    low = high
+                scores = rounded(scores.reshape(batch.num_rows, n))
                 best.add(batch.column(0), scores, scores > 0)
         yield best.batch(pa.array(ids, q_type), "chunk_id")
 
@@ -132,6 +146,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     """Exact cosine search. vectors: id, vector; queries: query_id, vector.
 
     A zero vector scores 0. With `positive`, only pairs with a product above 0 count.
+    Vectors of another length than the longest query's are no hits and find none.
     A `backend` (vectors, queries, k) -> hits is asked first, and this search stands
     in where it fails.
     """
@@ -141,15 +156,16 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
         except Exception as error:  # whatever a remote store raises
             print(f"vector backend failed, searching here: {error}")
     rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    width = rows.agg(F.max(F.size("vector")), F.count("*")).first()
+    width, count = rows.agg(F.max(F.size("vector")), F.count("*")).first()
+    alike = F.size("vector") == F.lit(width or 0)
     out = None
-    for lot in _lots(rows, (width[0] or 1) * width[1]):
+    for lot in _lots(rows.where(alike), (width or 1) * count):
         held = lot.collect()
         if not held:
             continue
         matrix = _unit(np.array([r["vector"] for r in held], float))
         shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in held], matrix))
-        part = vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
+        part = vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")).where(alike).mapInArrow(
             _block_search(shared, k, id_col, vectors, queries, positive), f"query_id {_kind(queries, 'query_id')}, {id_col} {_kind(vectors, id_col)}, score double"
         )
         out = part if out is None else out.unionByName(part)

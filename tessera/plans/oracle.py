@@ -60,6 +60,8 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10"""
 
+SQL["vector_index_exact"] = SQL["dense_topk"]
+
 _WORDS = "".join(
     f", ('0x' || substr(md5(term), {8 * i + 1}, 8))::BIGINT AS w{i}" for i in range(4)
 )

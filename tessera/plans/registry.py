@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, postings, search
+from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, postings, search, vectors
 from ..operators.lineage import cut, new_folder
 from ..sources import files
 from ..streaming import ops
@@ -76,6 +76,26 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(e, e.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
 
 
+def _vector_index(spark, sf_dir, exact):
+    folder = new_folder(spark, "vectors")
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    model = vectors.build(e, folder, cells=32)
+    asked = e.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vectors.search(spark, folder, model, asked, 10, probes=24, exact=exact)
+
+
+@query
+def vector_index_exact(spark, sf_dir):
+    """The same by cells and codes, skipping what their bounds rule out."""
+    return _vector_index(spark, sf_dir, True)
+
+
+@query
+def vector_index_probes(spark, sf_dir):
+    """The same from three quarters of the cells: the test vectors hardly form clusters."""
+    return _vector_index(spark, sf_dir, False)
+
+
 @query
 def hash_embed(spark, sf_dir):
     return index.bucket_weights(_chunks(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
