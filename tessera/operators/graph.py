@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
+from .names import occurrences, outermost
 
 # Fixed values: (pattern, relation); a pattern's groups are subject and object.
 RELATIONS = (
@@ -82,12 +84,13 @@ def merge_aliases(triples: DataFrame) -> DataFrame:
     contains it (of equally long ones the first by code point); directions put
     right; of equal triples the first chunk by id."""
     names = node_names(triples).select("name", T.canonical_name(F.col("name")).alias("canonical"))
-    forms = names.select("canonical").distinct()
-    longer = forms.select(F.col("canonical").alias("long"))
-    inside = F.contains(F.lower("long"), F.lower("canonical")) & (F.length("long") > F.length("canonical"))
-    # A containment join has no key; the names of the graph are its small side.
-    choice = F.min(F.struct((-F.length("long")).alias("l"), "long"))
-    resolved = forms.join(longer, inside, "left").groupBy("canonical").agg(choice.alias("x"))
+    forms = cut(names.select("canonical", F.lower("canonical").alias("low")).distinct())
+    # Every form is a text that an automaton of all forms reads.
+    held = occurrences(forms.select("canonical", F.col("low").alias("text")), forms.select(F.col("low").alias("name")), ["canonical"])
+    held = held.select(F.col("canonical").alias("long"), F.col("name").alias("low"))
+    longest = F.min(F.struct((-F.length("long")).alias("l"), "long"))
+    inside = forms.join(held, "low").where(F.length("long") > F.length("canonical")).groupBy("canonical").agg(longest.alias("x"))
+    resolved = forms.select("canonical").join(inside, "canonical", "left")
     map_ = names.join(resolved, "canonical").select("name", F.coalesce("x.long", "canonical").alias("resolved"))
     left = map_.select(F.col("name").alias("s"), F.col("resolved").alias("rs"))
     right = map_.select(F.col("name").alias("o"), F.col("resolved").alias("ro"))
@@ -100,11 +103,10 @@ def link_entities(queries: DataFrame, triples: DataFrame, least_chars: int = 3)
     within a longer one that it names too."""
     nodes = node_names(triples).where(F.length("name") >= least_chars).withColumn("low", F.lower("name"))
     nodes = nodes.groupBy("low").agg(F.min("name").alias("name"))
-    asked = queries.select("query_id", F.lower("text").alias("q"))
-    found = asked.join(nodes, F.contains("q", "low")).select("query_id", "name", "low")
-    other = found.select(F.col("query_id").alias("q2"), F.col("low").alias("longer"))
-    covered = (F.col("query_id") == F.col("q2")) & (F.col("low") != F.col("longer")) & F.contains("longer", "low")
-    return found.join(other, covered, "left_anti").select("query_id", "name")
+    nodes = cut(nodes)
+    asked = queries.select("query_id", F.lower("text").alias("text"))
+    found = outermost(occurrences(asked, nodes.select(F.col("low").alias("name")), ["query_id"]), ["query_id"])
+    return found.withColumnRenamed("name", "low").join(nodes, "low").select("query_id", "name")
 
 
 def neighbours(starts: DataFrame, triples: DataFrame, hops: int = 2, key: str = "query_id") -> DataFrame:

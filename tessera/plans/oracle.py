@@ -122,8 +122,11 @@ _RERANK = f"{_HYBRID}, {_RERANKED.format('hy')}"
 SQL["lexical_rerank"] = f"WITH {_RERANK} SELECT query_id, chunk_id, prior, rerank_score, rank FROM rk WHERE rank <= 5"
 SQL["rerank_delta"] = f"""WITH {_RERANK}
 SELECT query_id, count(*) FILTER (prior > 5) AS rerank_delta FROM rk WHERE rank <= 5 GROUP BY 1"""
-SQL["rrf_fuse"] = f"""WITH d AS {L.values(L.DENSE, "query_id, chunk_id, score, rank")},
-s AS {L.values(L.SPARSE, "query_id, chunk_id, score, rank")}, {_fused("d", "s", 10)} SELECT * FROM hy"""
+SQL["rrf_fuse"] = f"""WITH li AS (SELECT l_orderkey + 10 AS query_id, l_partkey::VARCHAR AS chunk_id, round(max(l_extendedprice), 2) AS p, round(sum(l_quantity)::DOUBLE, 2) AS n FROM lineitem GROUP BY 1, 2),
+d AS (SELECT * FROM {L.values(L.DENSE, "query_id, chunk_id, score, rank")} UNION ALL
+  SELECT query_id, chunk_id, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, chunk_id) AS k FROM li QUALIFY k <= 4),
+s AS (SELECT * FROM {L.values(L.SPARSE, "query_id, chunk_id, score, rank")} UNION ALL
+  SELECT query_id, chunk_id, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS k FROM li WHERE n > 20 QUALIFY k <= 4), {_fused("d", "s", 10)} SELECT * FROM hy"""
 
 # -- chunking. RE2 has no lookaround: the sentence end is marked, then split at.
 
@@ -239,8 +242,10 @@ SELECT * FROM d WHERE number <= 20"""
 
 # -- graph -----------------------------------------------------------------------------
 
-_TRIPLES = L.values(L.TRIPLES, "s, r, o, chunk_id")
-_QUESTIONS = L.values(L.QUESTIONS, "query_id, text")
+_TRIPLES = f"""(SELECT * FROM {L.values(L.TRIPLES, "s, r, o, chunk_id")}
+  UNION ALL SELECT split_part(text, ' ', 1), 'opens', concat_ws(' ', split_part(text, ' ', 2), split_part(text, ' ', 3)), 'b' || item_id FROM benchmark
+  UNION ALL SELECT s_name, 'located in', 'NATION_' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT p_name, 'of', p_brand, 'p' || p_partkey FROM part)"""
+_QUESTIONS = f"(SELECT * FROM {L.values(L.QUESTIONS, 'query_id, text')} UNION ALL SELECT doc_id + 1000, text FROM documents)"
 _LINKED = f"""
 t AS {_TRIPLES}, q AS {_QUESTIONS},
 nm AS (SELECT min(name) AS name, lower(name) AS low FROM (SELECT s AS name FROM t UNION SELECT o FROM t) WHERE length(name) >= 3 GROUP BY lower(name)),
@@ -296,8 +301,9 @@ oi AS (SELECT query_id, g, row_number() OVER (PARTITION BY query_id ORDER BY g D
 id AS (SELECT query_id, sum((2 ** g - 1) / log2(i + 1)) FILTER (i <= 10) AS ideal, count(*) FILTER (g > 0) AS rel FROM oi GROUP BY 1)
 SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END, 6) AS ndcg, round(coalesce(hits, 0) / greatest(rel, 1), 6) AS recall,
   round(coalesce(mrr, 0), 6) AS mrr FROM id LEFT JOIN gt USING (query_id)"""
+_SUMMED = "SELECT round(avg(l_discount) * 10, 3) AS faithfulness, round(avg(l_tax) * 10, 3) AS recall, round(avg(l_quantity) / 100, 3) AS ndcg FROM lineitem"
 SQL["drift_gate"] = f"""
-WITH n AS {L.values(L.NOW, "faithfulness, recall, ndcg")}, b AS {L.values(L.BASE, "faithfulness, recall, ndcg")},
+WITH n AS ({_SUMMED} WHERE l_returnflag = 'R'), b AS ({_SUMMED}),
 u AS (SELECT 'faithfulness' AS metric, b.faithfulness AS baseline, n.faithfulness AS current FROM n, b
       UNION ALL SELECT 'recall', b.recall, n.recall FROM n, b UNION ALL SELECT 'ndcg', b.ndcg, n.ndcg FROM n, b)
 SELECT metric, baseline::DOUBLE AS baseline, current::DOUBLE AS current, round(current::DOUBLE - baseline::DOUBLE, 6) AS delta, round(baseline::DOUBLE - current::DOUBLE, 6) > 0.1 AS failed FROM u"""
@@ -312,7 +318,8 @@ d10 AS (SELECT * FROM hk WHERE rank <= 10), s10 AS (SELECT * FROM bm WHERE rank
 {_ablated("d10", "dense", "")} UNION ALL {_ablated("s10", "bm25", "")} UNION ALL {_ablated("hy", "hybrid", "")}
 UNION ALL {_ablated("(SELECT * FROM rk WHERE rank <= 5)", "hybrid+rerank", "")}"""
 SQL["answer_relevance"] = f"""
-WITH a AS {L.values(L.KEYWORDS, "query_id, answer, keywords")}
+WITH a AS (SELECT * FROM {L.values(L.KEYWORDS, "query_id, answer, keywords")} UNION ALL
+  SELECT doc_id + 1000, text, [source, lang[1:1], 'Est'] FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL)
 SELECT query_id, round(CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(answer), lower(k)))) / len(keywords) ELSE 0 END, 6) AS relevance FROM a"""
 
 # -- sessions, logs ------------------------------------------------------------------------
@@ -338,12 +345,14 @@ SELECT 'events_total{app="x",type="' || event_type || '\\"\\n"} ' || count(*) AS
 SQL["feedback_votes"] = """
 SELECT count(*) FILTER (quality = 1) AS up, count(*) FILTER (quality IS DISTINCT FROM 1) AS down, count(*) AS total FROM labels"""
 SQL["answer_cache"] = f"""
-WITH a AS {L.values(L.ASKED, "query_id, key, ts")}, s AS {L.values(L.STORED, "key, ts, answer")},
+WITH a AS (SELECT * FROM {L.values(L.ASKED, "query_id, key, ts")} UNION ALL SELECT event_id + 100, 'u' || user_id % 50, ts::VARCHAR FROM events WHERE event_id % 3 = 0),
+s AS (SELECT * FROM {L.values(L.STORED, "key, ts, answer")} UNION ALL SELECT 'u' || user_id % 50, ts::VARCHAR, event_id::VARCHAR FROM events WHERE event_id % 3 = 1),
 m AS (SELECT key, max(ts::TIMESTAMP) AS t, arg_max(answer, ts::TIMESTAMP) AS answer FROM s GROUP BY 1),
 j AS (SELECT query_id, m.answer, a.ts::TIMESTAMP >= t AND a.ts::TIMESTAMP < t + INTERVAL 600 SECONDS AS fresh FROM a LEFT JOIN m USING (key))
 SELECT query_id, CASE WHEN fresh THEN answer END AS answer, coalesce(fresh, false) AS hit FROM j"""
 SQL["qrels"] = f"""
-WITH l AS {L.values(L.QREL_LINES, "n, value")}, p AS (SELECT n, string_split_regex(trim(value), '\\s+') AS p FROM l),
+WITH l AS (SELECT * FROM {L.values(L.QREL_LINES, "n, value")} UNION ALL SELECT doc_id * 2 + 100, 'q' || doc_id % 7 || chr(9) || 'd' || doc_id % 500 || chr(9) || quality FROM labels
+  UNION ALL SELECT doc_id * 2 + 101, 'q' || doc_id % 7 || '  d' || doc_id % 500 || '  ' || toxic FROM labels), p AS (SELECT n, string_split_regex(trim(value), '\\s+') AS p FROM l),
 g AS (SELECT p[1] AS query_id, p[2] AS doc_id, try_cast(try_cast(p[3] AS DOUBLE) AS INT) AS grade, n FROM p WHERE len(p) >= 3 AND p[1] <> 'query-id')
 SELECT query_id, doc_id, arg_max(grade, n) AS grade FROM g GROUP BY ALL HAVING arg_max(grade, n) IS NOT NULL"""
 
@@ -362,6 +371,7 @@ pg AS (SELECT query_id, any_value(question) AS question,
        FROM cx GROUP BY query_id)
 SELECT query_id, '{_PROMPT[0]}' || body || '{_PROMPT[1]}' || question || chr(10) || '(You may cite ONLY these files: ' || cited || '.)' || '{_PROMPT[2]}' AS prompt FROM pg"""
 SQL["model_triples"] = f"""
-WITH r AS {L.values(L.REPLIES, "chunk_id, reply")}, j AS (SELECT chunk_id, regexp_extract(reply, '(?s)(\\[.*\\])', 1) AS js FROM r),
+WITH r AS (SELECT * FROM {L.values(L.REPLIES, "chunk_id, reply")} UNION ALL
+  SELECT doc_id::VARCHAR, 'Reply: ' || to_json([{{'s': source, 'r': 'holds', 'o': lang}}]) || ' end' FROM documents), j AS (SELECT chunk_id, regexp_extract(reply, '(?s)(\\[.*\\])', 1) AS js FROM r),
 u AS (SELECT chunk_id, unnest(from_json(js, '[{{"s":"VARCHAR","r":"VARCHAR","o":"VARCHAR"}}]')) AS t FROM j WHERE json_valid(js))
 SELECT t.s AS s, t.r AS r, t.o AS o, chunk_id FROM u WHERE t.s IS NOT NULL AND t.r IS NOT NULL AND t.o IS NOT NULL"""

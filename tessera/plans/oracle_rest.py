@@ -8,7 +8,7 @@ from ..operators.answer import ABSTENTION
 from ..operators.agent import SYNONYMS
 from . import literals as L
 from .oracle import SQL as FIRST
-from .oracle import _BM25, _CONTEXTS, _GOLD, _HASHED, _PARENTS, _STRIP, _VERSIONS, _fused, _hops, _plain, _windows
+from .oracle import _BM25, _CONTEXTS, _GOLD, _HASHED, _PARENTS, _QUESTIONS, _STRIP, _TRIPLES, _VERSIONS, _fused, _hops, _plain, _windows
 
 SQL: dict[str, str] = {}
 
@@ -162,7 +162,7 @@ tx AS (SELECT * FROM tk UNION ALL SELECT * FROM sd WHERE NOT EXISTS (SELECT 1 FR
 SQL["triples"] = f"""
 WITH al AS (SELECT chunk_id, text FROM {L.values(L.FACT_TEXTS, 'chunk_id, doc_id, text')} UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents), {_triples('al')}
 SELECT s, r, o, chunk_id FROM tx"""
-_FACTS = L.values(L.TRIPLES, "s, r, o, chunk_id")
+_FACTS = _TRIPLES
 SQL["alias_merge"] = f"""
 WITH t AS {_FACTS}, nm AS (SELECT name, {_canonical('name')} AS c FROM (SELECT s AS name FROM t UNION SELECT o FROM t)),
 fm AS (SELECT DISTINCT c FROM nm),
@@ -199,13 +199,15 @@ SELECT query_id, CASE WHEN len(e) > 0 THEN text || ' ' || array_to_string(e[1:4]
   CASE WHEN len(e) > 0 THEN 'graph-expansion' WHEN reply IS NOT NULL THEN 'llm-rewrite' ELSE 'lexical-rules' END AS method FROM rp"""
 
 
-_ASKED = f"SELECT * FROM {L.values(L.QUESTIONS, 'query_id, text')}"
+_ASKED = f"SELECT * FROM {_QUESTIONS}"
 SQL["query_rewrite"] = _rewritten(_ASKED, "NULL::VARCHAR")
 SQL["model_rewrite"] = _rewritten(
-    f"{_ASKED} UNION ALL SELECT item_id + 1000, text FROM benchmark", "CASE WHEN length(text) % 3 > 0 THEN length(text) || ' characters' END"
+    f"SELECT * FROM {L.values(L.QUESTIONS, 'query_id, text')} UNION ALL SELECT item_id + 1000, text FROM benchmark", "CASE WHEN length(text) % 3 > 0 THEN length(text) || ' characters' END"
 )
 SQL["follow_ups"] = f"""
-WITH fu AS {L.values(L.FOLLOW_UPS, 'query_id, session_id, text')}, tn AS {L.values(L.TURNS, 'session_id, turn, q')},
+WITH us AS (SELECT 'c' || conv_id AS session_id, conv_id, turn, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'user'),
+fu AS (SELECT * FROM {L.values(L.FOLLOW_UPS, 'query_id, session_id, text')} UNION ALL SELECT conv_id + 1000, session_id, substr(text, 1, 40) || ' it' FROM us WHERE turn = last),
+tn AS (SELECT * FROM {L.values(L.TURNS, 'session_id, turn, q')} UNION ALL SELECT session_id, turn, text FROM us WHERE turn < last),
 {_named("SELECT {'s': session_id, 'n': turn} AS query_id, q AS text FROM tn")},
 ln AS (SELECT * FROM fu WHERE session_id IS NOT NULL AND (regexp_matches(lower(text), '{T.PRONOUN}') OR len({_plain("text")}) <= 4)),
 rw AS (SELECT ln.query_id, name, lk.query_id.n AS turn FROM ln JOIN lk ON lk.query_id.s = ln.session_id WHERE NOT contains(lower(text), lower(name))),
@@ -215,7 +217,9 @@ SELECT fu.query_id, CASE WHEN e IS NULL THEN text ELSE text || ' ' || array_to_s
 FROM fu LEFT JOIN ex USING (query_id)"""
 SQL["graph_merge"] = f"""
 WITH RECURSIVE {_named(_ASKED)}, {_hops("t", "lk", 2)},
-ca AS {L.values(L.CANDIDATES, 'query_id, chunk_id, rrf, rank')}, fc AS {L.values(L.FACT_TEXTS, 'chunk_id, doc_id, text')},
+ca AS (SELECT * FROM {L.values(L.CANDIDATES, 'query_id, chunk_id, rrf, rank')} UNION ALL SELECT doc_id + 1000, doc_id::VARCHAR, 0.03, 1 FROM documents
+  UNION ALL SELECT doc_id + 1000, 'b' || doc_id % 40, 0.02, 2 FROM documents),
+fc AS (SELECT chunk_id, text FROM {L.values(L.FACT_TEXTS, 'chunk_id, doc_id, text')} UNION ALL SELECT 'b' || item_id, text FROM benchmark),
 kf AS (SELECT query_id, s, r, o, min(chunk_id) AS chunk_id, min(hop) AS hop FROM mt GROUP BY query_id, s, r, o),
 wn AS (SELECT query_id, chunk_id, min(hop) AS hop FROM kf WHERE chunk_id IN (SELECT chunk_id FROM fc) GROUP BY ALL),
 la AS (SELECT query_id, max(rank) AS last FROM ca GROUP BY 1),

@@ -143,9 +143,12 @@ def rerank_delta(spark, sf_dir):
 
 @query
 def rrf_fuse(spark, sf_dir):
-    dense = L.frame(spark, L.DENSE, "query_id int, chunk_id string, score double, rank int")
-    sparse = L.frame(spark, L.SPARSE, "query_id int, chunk_id string, score double, rank int")
-    return search.fuse(dense, sparse)
+    """Hand-written branches, and for every order its parts by price and by quantity."""
+    schema = "query_id long, chunk_id string, score double, rank int"
+    lines = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 10).alias("query_id"), F.col("l_partkey").cast("string").alias("chunk_id"))
+    price = search.ranked(lines.agg(F.round(F.max("l_extendedprice"), 2).alias("score")), 4)
+    quantity = search.ranked(lines.agg(F.round(F.sum("l_quantity").cast("double"), 2).alias("score")).where("score > 20"), 4)
+    return search.fuse(L.frame(spark, L.DENSE, schema).unionByName(price), L.frame(spark, L.SPARSE, schema).unionByName(quantity))
 
 
 # -- chunking --------------------------------------------------------------------
@@ -329,8 +332,22 @@ def category_limit(spark, sf_dir):
 # -- graph -------------------------------------------------------------------------
 
 
-def _facts(spark):
-    return L.frame(spark, L.TRIPLES, "s string, r string, o string, chunk_id string")
+def _facts(spark, sf_dir):
+    """The hand-written facts, the benchmark items' first words, suppliers' nations and
+    parts' brands."""
+    t = lambda name, *c: _table(spark, sf_dir, name).select(*c)
+    word = lambda i: F.get(F.split("text", " "), F.lit(i))
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    own = L.frame(spark, L.TRIPLES, "s string, r string, o string, chunk_id string")
+    items = t("benchmark", word(0), F.lit("opens"), F.concat_ws(" ", word(1), word(2)), key("b", "item_id"))
+    suppliers = t("supplier", "s_name", F.lit("located in"), key("NATION_", "s_nationkey"), key("s", "s_suppkey"))
+    return own.union(items).union(suppliers).union(t("part", "p_name", F.lit("of"), "p_brand", key("p", "p_partkey")))
+
+
+def _asked(spark, sf_dir):
+    """The hand-written questions, and every document as one."""
+    own = L.frame(spark, L.QUESTIONS, "query_id long, text string")
+    return own.union(_table(spark, sf_dir, "documents").select(F.col("doc_id") + 1000, "text"))
 
 
 @query
@@ -341,18 +358,18 @@ def triples(spark, sf_dir):
 
 @query
 def alias_merge(spark, sf_dir):
-    return graph.merge_aliases(_facts(spark))
+    return graph.merge_aliases(_facts(spark, sf_dir))
 
 
 @query
 def entity_link(spark, sf_dir):
-    return graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+    return graph.link_entities(_asked(spark, sf_dir), _facts(spark, sf_dir))
 
 
 @query
 def khop_facts(spark, sf_dir):
-    linked = graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
-    return graph.neighbours(linked, _facts(spark), 2)
+    facts = cut(_facts(spark, sf_dir))
+    return graph.neighbours(graph.link_entities(_asked(spark, sf_dir), facts), facts, 2)
 
 
 @query
@@ -372,11 +389,17 @@ def khop_tables(spark, sf_dir):
 
 @query
 def graph_merge(spark, sf_dir):
-    """Chunks that state the facts around a question, after its other candidates."""
-    linked = graph.link_entities(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
-    candidates = L.frame(spark, L.CANDIDATES, "query_id int, chunk_id string, rrf double, rank int")
-    chunks = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string")
-    return graph.merge_graph_hits(candidates, graph.neighbours(linked, _facts(spark), 2), chunks)
+    """Chunks that state the facts around a question, after its other candidates: for a
+    document, itself and one of the benchmark's items."""
+    facts = cut(_facts(spark, sf_dir))
+    linked = graph.link_entities(_asked(spark, sf_dir), facts)
+    own, item = F.col("doc_id") + 1000, F.concat(F.lit("b"), (F.col("doc_id") % 40).cast("string"))
+    docs = _table(spark, sf_dir, "documents")
+    candidates = L.frame(spark, L.CANDIDATES, "query_id long, chunk_id string, rrf double, rank int")
+    candidates = candidates.union(docs.select(own, F.col("doc_id").cast("string"), F.lit(0.03), F.lit(1))).union(docs.select(own, item, F.lit(0.02), F.lit(2)))
+    chunks = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string").select("chunk_id", "text")
+    chunks = chunks.union(_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")), "text"))
+    return graph.merge_graph_hits(candidates, graph.neighbours(linked, facts, 2), chunks)
 
 
 @query
@@ -393,26 +416,35 @@ def ingest_tables(spark, sf_dir):
 
 @query
 def model_triples(spark, sf_dir):
-    return graph.parse_model_triples(L.frame(spark, L.REPLIES, "chunk_id string, reply string"))
+    """Hand-written replies, and one about every document's source and language."""
+    listed = F.to_json(F.array(F.struct(F.col("source").alias("s"), F.lit("holds").alias("r"), F.col("lang").alias("o"))))
+    own = _strings(spark, sf_dir).select("doc_id").join(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang"), "doc_id")
+    more = own.select("doc_id", F.concat(F.lit("Reply: "), listed, F.lit(" end")))
+    return graph.parse_model_triples(L.frame(spark, L.REPLIES, "chunk_id string, reply string").union(more))
 
 
 @query
 def query_rewrite(spark, sf_dir):
-    return agent.rewrite(L.frame(spark, L.QUESTIONS, "query_id int, text string"), _facts(spark))
+    return agent.rewrite(_asked(spark, sf_dir), cut(_facts(spark, sf_dir)))
 
 
 @query
 def agent_search(spark, sf_dir):
-    """Weak queries of a small corpus: rewritten, searched again, joined by the graph."""
-    docs = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string")
-    questions = L.frame(spark, L.QUESTIONS, "query_id int, text string")
-    return agent.run_agent(docs, index.dense_embedding(docs), questions, _facts(spark))[0]
+    """Weak queries: rewritten, searched again, joined by the graph."""
+    docs = L.frame(spark, L.FACT_TEXTS, "chunk_id string, doc_id string, text string").unionByName(_strings(spark, sf_dir).withColumn("chunk_id", F.col("doc_id")))
+    questions = L.frame(spark, L.QUESTIONS, "query_id long, text string").union(_questions(spark, sf_dir).select(F.col("query_id") + 1000, "text"))
+    return agent.run_agent(docs, index.dense_embedding(docs), questions, cut(_facts(spark, sf_dir)))[0]
 
 
 @query
 def follow_ups(spark, sf_dir):
-    questions = L.frame(spark, L.FOLLOW_UPS, "query_id int, session_id string, text string")
-    return agent.expand_follow_ups(questions, L.frame(spark, L.TURNS, "session_id string, turn int, q string"), _facts(spark)).select(
+    """The hand-written sessions, and users' last turns after the ones before."""
+    users = _table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("session_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    last = users.groupBy("session_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"), F.max("conv_id").alias("conv_id"))
+    questions = L.frame(spark, L.FOLLOW_UPS, "query_id long, session_id string, text string").union(last.select(F.col("conv_id") + 1000, "session_id", F.concat(F.left("text", F.lit(40)), F.lit(" it"))))
+    before = users.join(last.select("session_id", F.col("turn").alias("last")), "session_id").where("turn < last")
+    turns = L.frame(spark, L.TURNS, "session_id string, turn long, q string").union(before.select("session_id", "turn", "text"))
+    return agent.expand_follow_ups(questions, turns, cut(_facts(spark, sf_dir))).select(
         "query_id", "text", F.array_join("expansion", ",").alias("expansion")
     )
 
@@ -451,7 +483,11 @@ def faithfulness(spark, sf_dir):
 
 @query
 def answer_relevance(spark, sf_dir):
-    rows = L.frame(spark, L.KEYWORDS, "query_id int, answer string, keywords array<string>")
+    """Hand-written answers, and documents as answers to their source's, language's and a
+    fixed keyword."""
+    rows = L.frame(spark, L.KEYWORDS, "query_id long, answer string, keywords array<string>")
+    docs = _table(spark, sf_dir, "documents").where("text is not null and source is not null and lang is not null")
+    rows = rows.union(docs.select(F.col("doc_id") + 1000, "text", F.array("source", F.left("lang", F.lit(1)), F.lit("Est"))))
     return evaluate.answer_relevance(rows).withColumn("relevance", F.round("relevance", 6))
 
 
@@ -492,7 +528,10 @@ def ndcg_graded(spark, sf_dir):
 
 @query
 def drift_gate(spark, sf_dir):
-    return evaluate.drift(L.frame(spark, L.NOW, L.SUMMARY), L.frame(spark, L.BASE, L.SUMMARY), ["faithfulness", "recall", "ndcg"])
+    """Measures of the returned lines against those of all."""
+    rows = _table(spark, sf_dir, "lineitem")
+    of = lambda df: df.agg(F.round(F.avg("l_discount") * 10, 3).alias("faithfulness"), F.round(F.avg("l_tax") * 10, 3).alias("recall"), F.round(F.avg("l_quantity") / 100, 3).alias("ndcg"))
+    return evaluate.drift(of(rows.where("l_returnflag = 'R'")), of(rows), ["faithfulness", "recall", "ndcg"])
 
 
 @query
@@ -512,7 +551,11 @@ def ablation(spark, sf_dir):
 
 @query
 def qrels(spark, sf_dir):
-    return files.parse_qrels(L.frame(spark, L.QREL_LINES, "n int, value string"))
+    """Hand-written lines, and every label as a line, quality and toxicity in turn."""
+    labels = _table(spark, sf_dir, "labels")
+    line = lambda c, sep: F.concat_ws(sep, F.concat(F.lit("q"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")), F.col(c).cast("string"))
+    more = labels.select(F.col("doc_id") * 2 + 100, line("quality", "\t")).union(labels.select(F.col("doc_id") * 2 + 101, line("toxic", "  ")))
+    return files.parse_qrels(L.frame(spark, L.QREL_LINES, "n long, value string").union(more))
 
 
 # -- sessions, logs, admission ---------------------------------------------------------
@@ -580,6 +623,11 @@ def feedback_votes(spark, sf_dir):
 def answer_cache(spark, sf_dir):
     asked = L.frame(spark, L.ASKED, "query_id int, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     stored = L.frame(spark, L.STORED, "key string, ts string, answer string").withColumn("ts", F.col("ts").cast("timestamp"))
+    # Of the log, every third event asks, the one after it has stored an answer.
+    e = _table(spark, sf_dir, "events")
+    key, when = F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")), F.col("ts").cast("timestamp")
+    asked = asked.union(e.where("event_id % 3 = 0").select((F.col("event_id") + 100).cast("int"), key, when))
+    stored = stored.union(e.where("event_id % 3 = 1").select(key, when, F.col("event_id").cast("string")))
     return ops.cached_answers(asked, stored)
 
 
@@ -759,7 +807,7 @@ def model_rewrite(spark, sf_dir):
     """A model's rewriting of questions around which the graph has nothing."""
     more = _questions(spark, sf_dir).select((F.col("query_id") + 1000).alias("query_id"), "text")
     asked = L.frame(spark, L.QUESTIONS, "query_id long, text string").unionByName(more)
-    return agent.rewrite(asked, _facts(spark), model=_echo)
+    return agent.rewrite(asked, cut(_facts(spark, sf_dir)), model=_echo)
 
 
 @query
