@@ -6,12 +6,12 @@ last, get the weights in turn and share `budget` of all sizes; a target stops at
 until none is above. A source then gives whole epochs, each document once an
 epoch, and a fraction of one: documents draw exponential keys -ln(u) / w, with u
 in (0, 1) from a digest of seed and id and w the document's quality weight;
-within the source, by rising key, documents are taken while the prefix sum of
-sizes stays within the budget left.
+within the source, by rising key, documents are taken up to the budget left: the one in
+which it ends gives its first words, so that a source takes its target to the word.
 
-The prefix sum never sorts a source in one task. Keys are dealt into ranges of
-even chance, as many as the source's rows ask for; the sums of ranges tell which
-range the budget ends in, and only that range's rows are sorted.
+The prefix sum never sorts a source in one task. Rows are dealt into ranges of source and
+key by Spark's sampled ranges, whatever the weights; the sums of ranges tell which range a
+source's budget ends in, and only that range's rows of the source are sorted.
 
 Quality weight: a column of docs, or from 1/2 to 1 by the share of distinct words
 among words. Null weights count as 1, those of 0 or less as the least.
@@ -19,9 +19,8 @@ among words. Null weights count as 1, those of 0 or less as the least.
 Defined cases: a null or empty text has size 0 and takes nothing; a source of
 size 0 has target 0; a null source is a source of its own; null ids draw as the
 empty string; repeated rows are documents of their own, with equal keys; ties of keys
-go by id, then size; a very long text counts with all its words, and one longer than
-what is left of the budget is not taken by the fraction; other columns are ignored; an
-empty table gives no rows.
+go by id, then size; a very long text counts with all its words; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +32,7 @@ from .storage import numbered, write_table
 
 WEIGHTS = (5, 2, 1)
 ROWS_IN_RANGE = 2_000
+MOST_RANGES = 10_000
 LEAST_WEIGHT = 1e-6
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,40 +92,36 @@ def mix_sources(
         "u",
     )
     drawn = write_table(drawn.withColumn("draw", -F.log("u") / F.col("weight")), "draws")
-    sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("weight").alias("mean"))
+    sizes = write_table(drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sizes")
     target = targets(sizes.select("source", "source_size"), weights, percent, most_epochs)
-    plan = target.join(sizes.select("source", "rows", "mean").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    plan = plan.select(
+    plan = target.select(
         "source",
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-        F.ceil(F.col("rows") / rows_in_range).cast("long").alias("ranges"),
-        "mean",
-    ).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    )
+    # Whole words; what is a rounding error below one counts as one.
+    plan = plan.withColumn("left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 1e-6).cast("long"))
     plan = write_table(plan, "plan")
     same = F.col("source").eqNullSafe(F.col("s"))
-    # 1 - exp(-k) rises with the key and is near even over (0, 1), for keys by the mean weight.
-    place = F.floor((1 - F.exp(-F.col("mean") * F.col("draw"))) * F.col("ranges"))
-    ranged = drawn.join(plan.withColumnRenamed("source", "s"), same, "left").drop("s")
-    ranged = ranged.withColumn("range", F.least(place, F.col("ranges") - 1))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    rows = sizes.agg(F.sum("rows")).first()[0] or 0
+    ranges = min(max(1, -(-rows // rows_in_range)), MOST_RANGES)
+    order = ("draw", "doc_id", "size")
+    ranged = drawn.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id())
+    ranged = write_table(ranged, "ranges").join(plan.withColumnRenamed("source", "s"), same, "left").drop("s")
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.max("left").alias("left"))
     through = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
-    before = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_size", through.alias("before"))
+    before = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_size", "left", through.alias("before"))
     # The range in which the budget ends: below it all are taken, above it none.
-    last = before.join(plan.select(F.col("source").alias("p"), "left"), F.col("s").eqNullSafe(F.col("p"))).where(
-        "before <= left and before + range_size > left"
-    )
+    last = before.where("before <= left and before + range_size > left")
     last = last.groupBy("s").agg(F.max(F.struct("r", "before")).alias("x")).select("s", F.col("x.r").alias("last"), F.col("x.before").alias("before"))
     marked = ranged.join(last, same, "left").drop("s")
     at_end = (F.col("range") == F.col("last")) & (F.col("left") > 0)
-    inside = marked.where(at_end)
-    prefix = F.sum("size").over(
-        Window.partitionBy("source", "range").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    chosen = inside.withColumn("fraction", ((F.col("before") + prefix) <= F.col("left")).cast("long"))
+    upto = F.sum("size").over(Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = F.least(F.col("size"), F.greatest(F.col("left") - F.col("before") - (upto - F.col("size")), F.lit(0)))
+    chosen = marked.where(at_end).withColumn("fraction", own.cast("long"))
     # No `last`: nothing is left over to choose (the whole range of keys fits the budget).
-    whole = F.when(F.col("left") <= 0, 0).when(F.col("last").isNull() | (F.col("range") < F.col("last")), 1).otherwise(0)
+    whole = F.when(F.col("left") <= 0, 0).when(F.col("last").isNull() | (F.col("range") < F.col("last")), F.col("size")).otherwise(0)
     rest = marked.where(~F.coalesce(at_end, F.lit(False))).withColumn("fraction", whole.cast("long"))
     return chosen.unionByName(rest).select(
         "doc_id",
@@ -136,5 +132,5 @@ def mix_sources(
         "weight",
         "draw",
         "epochs",
-        (F.col("size") * (F.col("epochs") + F.col("fraction"))).alias("taken"),
+        (F.col("size") * F.col("epochs") + F.col("fraction")).alias("taken"),
     )

@@ -7,7 +7,7 @@ classifier) are tested by brute force or held-out accuracy.
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan
+from . import quality_rules, secret_scan, url_filters
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -165,10 +165,10 @@ b9 AS (SELECT *, (SELECT sum(size) FROM e9) * 1.5::DOUBLE AS budget,
 v9 AS (SELECT arg_min((budget - before) / after, lim / wt) FILTER ((budget - before) / after <= lim / wt) AS level FROM b9),
 t9 AS (SELECT source, source_size, least(wt * coalesce(level, 1e300), lim)::DOUBLE AS target FROM o9, v9),
 f9 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t9),
-x9 AS (SELECT doc_id, e9.source AS source, size, source_size, target, epochs, target - epochs * source_size AS rest,
+x9 AS (SELECT doc_id, e9.source AS source, size, source_size, target, epochs, floor(target - epochs * source_size + 1e-6)::BIGINT AS rest,
         sum(size) OVER (PARTITION BY e9.source ORDER BY -ln(u) / q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM e9 JOIN f9 ON e9.source IS NOT DISTINCT FROM f9.source),
-z9 AS (SELECT doc_id, source, size, source_size, round(target, 6) AS target, epochs, size * (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END) AS taken FROM x9)"""
+z9 AS (SELECT doc_id, source, size, source_size, round(target, 6) AS target, epochs, size * epochs + least(size, greatest(0, rest - (upto - size)))::BIGINT AS taken FROM x9)"""
 
 
 _OP9 = f"WITH {_op9_ctes('documents')} SELECT doc_id, size, source_size, target, taken FROM z9"
@@ -201,7 +201,7 @@ _ADDRESS = "'^[0-9]{1,3}(\\.[0-9]{1,3}){3}$|^\\['"
 _OP10 = f"""
 WITH c AS (SELECT page_id, nullif({_HOST}, '') AS host, DATE '2024-01-01' + (page_id % 366)::INT AS fetched FROM pages),
 h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),
-n AS (SELECT DISTINCT host AS asked, array_to_string(p[i:], '.') AS host FROM h, unnest(range(1, CASE WHEN regexp_matches(host, {_ADDRESS}) THEN 2 ELSE greatest(2, len(p)) END)) AS u(i)),
+n AS (SELECT DISTINCT host AS asked, array_to_string(p[i:], '.') AS host FROM h, unnest(range(1, CASE WHEN regexp_matches(host, {_ADDRESS}) THEN 2 ELSE greatest(2, len(p)) END)) AS u(i) WHERE len(p) - i < {url_filters.MOST_LABELS}),
 k AS (SELECT DISTINCT host, CASE WHEN {_hex("host", 4)} % 2 = 0 THEN 'ads' ELSE 'malware' END AS list, {_hex("host", 7)} % 200 AS d,
         {_hex("host", 10)} % 100 + 1 AS st, {_hex("host", 13)} % 4 AS kind FROM n WHERE {_hex("host", 1)} % 5 < 2),
 i AS (SELECT host, list, DATE '2024-01-01' + d AS since, CASE WHEN kind > 0 THEN DATE '2024-01-01' + (d + st) END AS until FROM k
