@@ -38,6 +38,7 @@ ABSTENTION = (
     r"(?i)(i don'?t have|no information|(do|does) not (contain|mention|state|have)|not (found|present|contained|mentioned)"
     r"|cannot answer|unable to answer|isn'?t (in|covered)|lack\w* (information|context))"
 )
+CITED_KINDS = ("md", "txt", "pdf", "docx", "html")
 CITATION = r"\[([^\]]+\.(?:md|txt|pdf|docx|html))\]"
 NEGATIONS = ("not", "never", "no", "n't", "without", "fails", "failed", "against", "none")
 EMBEDDING_SIZE = 384

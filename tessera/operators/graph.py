@@ -5,6 +5,12 @@ A triple table has s, r, o, chunk_id. Names are compared in lower case.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_, or_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +18,10 @@ from ..functions import text as T
 from .lineage import cut
 from .names import occurrences, outermost
 
-# Fixed values: (pattern, relation); a pattern's groups are subject and object.
-RELATIONS = (
-    (r"(?is)(Product\s+[A-Z])\b.*?uses\b.*?((?:Component\s+)?[A-Z]{1,3}-?\d+)", "uses"),
-    (r"(?is)((?:Component\s+)?XK-7)\b.*?supplied by\s+([A-Z][A-Za-z.\- ]+(?:GmbH|Inc|LLC|Electrics|Precision)?)", "supplied_by"),
-    (r"(?is)Supplies:\s*((?:Component\s+)?[A-Z]{1,3}-?\d+).*?([A-Z][A-Za-z.\- ]+(?:GmbH|Inc|LLC))", "supplies_rev"),
-)
+# What the parts of a relation look like, and companies' ends.
+_PRODUCT, _CODE = r"Product\s+[A-Z]", r"(?:Component\s+)?[A-Z]{1,3}-?\d+"
+_SUPPLIER = r"[A-Z][A-Za-z.\- ]+(?:GmbH|Inc|LLC|Electrics|Precision)?"
+COMPANY_ENDS = ("GmbH", "Inc", "LLC")
 SEED_TRIPLES = (
     ("Product X", "uses", "Component XK-7", "seed"),
     ("Component XK-7", "supplied_by", "Nordwerk Precision GmbH", "seed"),
@@ -26,21 +30,93 @@ VENDOR = "GmbH|Electrics"
 RELATION_HINT = r"(?i)\b(uses|use|supplies|supplied by|provides|provides?|vendor|manufactured by|approved for)\b"
 
 
-def extract_triples(chunks: DataFrame, relations=RELATIONS, seeds=SEED_TRIPLES, least_chars: int = 12) -> DataFrame:
+Finder = Callable[[str, int], tuple[int, int, str] | None]
+
+
+def finder(pattern: str) -> Finder:
+    """(start, end, first group) of the leftmost match from a place on."""
+    compiled = re.compile(pattern, re.IGNORECASE | re.DOTALL)
+
+    def find(text: str, at: int):
+        m = compiled.search(text, at)
+        return m and (m.start(), m.end(), m.group(1) if compiled.groups else m.group())
+
+    return find
+
+
+def company_finder(ends: tuple[str, ...] = COMPANY_ENDS) -> Finder:
+    """The leftmost longest name (letters, blanks, dots and dashes, from a letter on) with
+    one of the ends after two characters at least. A run is looked at once, from its first
+    letter: a later one has less before the same end."""
+    run = re.compile(r"[A-Za-z.\- ]+")
+    last = re.compile(".*(?:" + "|".join(ends) + ")", re.IGNORECASE | re.DOTALL)
+    letter = re.compile("[A-Za-z]")
+
+    def find(text: str, at: int):
+        for m in run.finditer(text, at):
+            first = letter.search(text, m.start(), m.end())
+            name = first and last.match(text, min(first.start() + 2, m.end()), m.end())
+            if name:
+                return first.start(), name.end(), text[first.start() : name.end()]
+        return None
+
+    return find
+
+
+class Chain:
+    """A transducer over a sentence: its steps are found one after another, each at the
+    first place after the one before; once the last is found, the first and last give a
+    pair, and it starts anew behind them. Places only move forward, and a step that isn't
+    found ends the sentence, as no later start has more before it: time is linear."""
+
+    def __init__(self, relation: str, words: tuple[str, ...], *steps: Finder):
+        """words: lower-case texts that a sentence must have for any match."""
+        self.relation, self.words, self.steps = relation, words, steps
+
+    def pairs(self, text: str) -> Iterator[tuple[str, str]]:
+        at = 0
+        while True:
+            found = []
+            for step in self.steps:
+                hit = step(text, at)
+                if hit is None:
+                    return
+                found.append(hit[2])
+                at = hit[1]
+            yield found[0], found[-1]
+
+
+RELATIONS = (
+    Chain("uses", ("product", "uses"), finder(rf"({_PRODUCT})\b"), finder(r"uses\b"), finder(rf"({_CODE})")),
+    Chain("supplied_by", ("xk-7", "supplied by"), finder(r"((?:Component\s+)?XK-7)\b"), finder(rf"supplied by\s+({_SUPPLIER})")),
+    Chain("supplies_rev", ("supplies:",), finder(rf"Supplies:\s*({_CODE})"), company_finder()),
+)
+
+
+def extract_triples(chunks: DataFrame, relations: tuple[Chain, ...] = RELATIONS, seeds=SEED_TRIPLES, least_chars: int = 12) -> DataFrame:
     """Triples of sentences, each with the first chunk (by id) that states it, and
-    the seeds that no chunk states."""
+    the seeds that no chunk states. Only sentences with a relation's words leave the JVM."""
+    kind = chunks.schema["chunk_id"].dataType
     sentences = chunks.select("chunk_id", F.explode(T.loose_sentences(F.coalesce("text", F.lit("")))).alias("sentence"))
-    sentences = sentences.where(F.length("sentence") >= least_chars)
-    # All patterns in one pass over the sentences.
-    found = []
-    for pattern, relation in relations:
-        pairs = F.arrays_zip(
-            F.regexp_extract_all("sentence", F.lit(pattern), F.lit(1)).alias("a"),
-            F.regexp_extract_all("sentence", F.lit(pattern), F.lit(2)).alias("b"),
-        )
-        found.append(_tagged(pairs, relation))
-    rows = sentences.select("chunk_id", F.explode(F.concat(*found)).alias("t"))
-    a, b, r = F.col("t.a"), F.col("t.b"), F.col("t.r")
+    low = F.lower("sentence")
+    worth = reduce(or_, (reduce(and_, (F.contains(low, F.lit(w)) for w in chain.words)) for chain in relations))
+    sentences = sentences.where((F.length("sentence") >= least_chars) & worth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, sentence in enumerate(batch.column(1).to_pylist()):
+                for chain in relations:
+                    for a, b in dict.fromkeys(chain.pairs(sentence)):
+                        rows.append(i)
+                        found.append((a, chain.relation, b))
+            a, r, b = zip(*found, strict=True) if found else ((), (), ())
+            texts = [pa.array(list(c), pa.string()) for c in (a, r, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *texts], ["chunk_id", "a", "r", "b"])
+
+    rows = sentences.mapInArrow(run, f"chunk_id {kind.simpleString()}, a string, r string, b string")
+    rows = rows.withColumns({"a": T.collapse(F.col("a")), "b": T.collapse(F.col("b"))})
+    a, b, r = F.col("a"), F.col("b"), F.col("r")
     vendor = (r == "supplies_rev") & b.rlike(VENDOR)
     triples = rows.select(
         F.when(vendor, b).otherwise(a).alias("s"),
@@ -55,12 +131,6 @@ def extract_triples(chunks: DataFrame, relations=RELATIONS, seeds=SEED_TRIPLES,
     return known.unionByName(seeded.join(known.select("s", "r", "o"), ["s", "r", "o"], "left_anti"))
 
 
-def _tagged(pairs, relation: str):
-    return F.transform(
-        pairs, lambda p: F.struct(T.collapse(p["a"]).alias("a"), T.collapse(p["b"]).alias("b"), F.lit(relation).alias("r"))
-    )
-
-
 def model_candidates(chunks: DataFrame, distractor: str = "scale_20news") -> DataFrame:
     """Chunks worth a model's reading: those that hint at a relation."""
     return chunks.where(F.col("text").rlike(RELATION_HINT) & ~F.startswith("doc_id", F.lit(distractor)))
