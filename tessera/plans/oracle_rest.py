@@ -304,6 +304,17 @@ r AS (SELECT event_id, user_id, k, true AS admitted, NULL::BIGINT AS a, t AS b F
   SELECT e.event_id, e.user_id, e.k, ok, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN t ELSE b END
   FROM (SELECT e.*, r.a, r.b, NOT coalesce(e.t - r.a <= 86400000000, false) AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) e)
 SELECT event_id, user_id, admitted FROM r"""
+SQL["rate_limit_stream"] = SQL["rate_limit_state"]
+SQL["session_stream"] = """
+WITH t AS (SELECT u.conv_id, u.turn, 'User: ' || substr(u.text, 1, 500) || chr(10) || 'Assistant: ' || substr(a.text, 1, 800) AS line
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT conv_id::VARCHAR AS session_id, turn, coalesce(lag(line) OVER (PARTITION BY conv_id ORDER BY turn) || chr(10), '') || line AS history FROM t"""
+SQL["answer_cache_stream"] = """
+WITH e AS (SELECT event_id, 'u' || user_id % 50 AS key, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 1 THEN event_id::VARCHAR END AS answer
+  FROM events WHERE event_id % 3 < 2 AND user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, last_value(answer IGNORE NULLS) OVER w AS held, last_value(CASE WHEN answer IS NOT NULL THEN t END IGNORE NULLS) OVER w AS since
+  FROM e WINDOW w AS (PARTITION BY key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id AS query_id, CASE WHEN t - since <= 86400000000 THEN held END AS answer, coalesce(t - since <= 86400000000, false) AS hit FROM p WHERE answer IS NULL"""
 SQL["admission_cap"] = """
 WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 h AS (SELECT user_id, max(ts) FILTER (before IS NULL OR ts - before > INTERVAL 86400 SECONDS) AS since, max(ts) AS last FROM e GROUP BY 1)

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, postings, search, vectors
 from ..operators.lineage import cut, new_folder
 from ..sources import files
-from ..streaming import ops
+from ..streaming import ops, state
 from . import literals as L
 from . import pipelines
 from .oracle import SQL
@@ -586,6 +586,40 @@ def rate_limit_state(spark, sf_dir):
     return ops.rate_limit_batch(_table(spark, sf_dir, "events"), limit=2, seconds=86400.0)
 
 
+def _streamed(spark, rows, transform):
+    """rows as a stream of files, through transform."""
+    folder = new_folder(spark, "stream")
+    rows.write.parquet(f"{folder}/in")
+    return state.drain(spark, f"{folder}/in", rows.schema, transform, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query
+def rate_limit_stream(spark, sf_dir):
+    """Admission of the log as a stream with capped state."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, rows, lambda s: state.admissions(s, limit=2, seconds=86400.0))
+
+
+@query
+def session_stream(spark, sf_dir):
+    """What is remembered of each conversation after every exchange."""
+    rows = _table(spark, sf_dir, "conversations")
+    users = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    turns = users.join(answers, ["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.timestamp_seconds("turn").alias("ts"), "q", "a")
+    return _streamed(spark, turns, lambda s: state.sessions(s, 2, most=1_000_000))
+
+
+@query
+def answer_cache_stream(spark, sf_dir):
+    """Of the log, every third event asks, the one after it stores; answers live a day."""
+    e = _table(spark, sf_dir, "events").where("event_id % 3 < 2")
+    key = F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))
+    answer = F.when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string"))
+    rows = e.select(F.col("event_id").alias("query_id"), key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), answer.alias("answer"))
+    return _streamed(spark, rows, lambda s: state.answers(s, 86400.0))
+
+
 @query
 def latency_pcts(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "ts", "event_id", F.col("value").alias("ms"))
