@@ -123,6 +123,7 @@ def _point(x: str) -> str:
 
 SQL["point_ids"] = f"SELECT doc_id::VARCHAR AS doc_id, {_point('doc_id')} AS point_id FROM documents"
 SQL["upsert_prune"] = f"WITH {_VERSIONS} SELECT doc_id AS chunk_id, {_point('doc_id')} AS point_id, length(text) AS n FROM w"
+SQL["upsert_buckets"] = SQL["upsert_prune"]
 SQL["parent_expand"] = f"""{_PARENTS},
 ca AS (SELECT * FROM {L.values(L.FAMILY, "chunk_id, doc_id, text, parent_id")}
   UNION ALL SELECT id || '#p' || seq, id, text, NULL FROM p UNION ALL SELECT d || '#p' || p || 'c' || n, d, text, d || '#p' || p FROM n),

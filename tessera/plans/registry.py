@@ -323,6 +323,19 @@ def upsert_prune(spark, sf_dir):
     return files.prune_points(files.upsert_points(new, stored), new).select("chunk_id", "point_id", F.length("text").alias("n"))
 
 
+@query
+def upsert_buckets(spark, sf_dir):
+    """The same in a stored table of which only touched buckets are rewritten."""
+    folder = new_folder(spark, "points")
+    old, new = (x.withColumnRenamed("doc_id", "chunk_id") for x in _versions(spark, sf_dir))
+    files.write_points(old, folder, 32)
+    hashed = [x.select(F.col("chunk_id").alias("doc_id"), T.content_hash(F.col("text")).alias("hash"), F.lit("plain").alias("strategy")) for x in (new, old)]
+    status = cut(index.incremental_diff(*hashed)).withColumnRenamed("doc_id", "chunk_id")
+    files.upsert_in_place(new.join(status.where("status in ('added', 'changed')"), "chunk_id", "left_semi"), folder, 32)
+    files.prune_in_place(status.where("status = 'removed'"), folder, 32)
+    return files.read_points(spark, folder).select("chunk_id", "point_id", F.length("text").alias("n"))
+
+
 @query
 def category_limit(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("category", F.col("source"))

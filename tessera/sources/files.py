@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.index import point_id
+from ..operators.lineage import cut
 
 
 def read_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +138,60 @@ def prune_points(stored: DataFrame, live: DataFrame) -> DataFrame:
     return stored.join(keep, "point_id", "left_semi")
 
 
+#: Buckets of a stored table of points; a bucket is what an update rewrites.
+BUCKETS = 64
+
+
+def _bucketed(points: DataFrame, buckets: int) -> DataFrame:
+    return points.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int"))
+
+
+def _overwrite(rows: DataFrame, touched: DataFrame, path: str) -> None:
+    """Replaces the touched buckets (column bucket) by rows. Each gets a row without an id
+    as well, so that one that has become empty is replaced, too."""
+    blank = touched.select("bucket", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "bucket"))
+    out = rows.unionByName(blank).repartition("bucket")
+    out.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The stored points, with their bucket."""
+    return spark.read.parquet(path).where("point_id is not null")
+
+
+def write_points(points: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Stores points (chunk_id, ...) by hash bucket of their point id; ids are distinct."""
+    rows = _bucketed(points.withColumn("point_id", point_id(F.col("chunk_id"))), buckets)
+    _overwrite(rows, points.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")), path)
+
+
+def _touched(spark: SparkSession, path: str, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets of changed (column bucket), and the stored rows of those alone: the scan
+    opens no other bucket's files."""
+    touched = cut(changed.select("bucket").distinct())
+    listed = [r[0] for r in touched.collect()]  # as many as there are buckets at most
+    return touched, read_points(spark, path).where(F.col("bucket").isin(listed))
+
+
+def upsert_in_place(points: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Points replace stored ones of equal id or are added: only the buckets that hold one of
+    them are read and rewritten, each at once by a staged overwrite of its folder."""
+    spark = points.sparkSession
+    new = cut(_bucketed(points.withColumn("point_id", point_id(F.col("chunk_id"))), buckets))
+    touched, stored = _touched(spark, path, new)
+    kept = stored.join(new.select("point_id"), "point_id", "left_anti")
+    _overwrite(kept.unionByName(new.select(kept.columns)), touched, path)
+
+
+def prune_in_place(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Removes the points of chunks (chunk_id): only the buckets that hold one are rewritten."""
+    spark = chunks.sparkSession
+    gone = cut(_bucketed(chunks.select(point_id(F.col("chunk_id")).alias("point_id")), buckets))
+    held = read_points(spark, path).select("point_id", "bucket").join(gone, ["point_id", "bucket"], "left_semi")
+    touched, stored = _touched(spark, path, held)
+    _overwrite(stored.join(gone.select("point_id"), "point_id", "left_anti"), touched, path)
+
+
 def limited_categories(docs: DataFrame, most: int = 500, least_chars: int = 200) -> DataFrame:
     """Up to so many documents of each category that are long enough, numbered."""
     long_enough = docs.where(F.length(T.strip(F.col("text"))) >= least_chars)
