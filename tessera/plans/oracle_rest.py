@@ -323,6 +323,10 @@ SELECT * FROM h WHERE (SELECT max(ts) FROM events) - last <= INTERVAL 86400 SECO
 
 # -- stored zones, files, models ----------------------------------------------------------------------
 
+SQL["rich_documents"] = """
+SELECT 'n' || c_nationkey || '/c' || c_custkey || ['.docx', '.pdf', '.txt'][c_custkey % 3 + 1] AS doc_id, 'Customer ' || c_name || ' (no. ' || c_custkey || ')' ||
+  CASE c_custkey % 3 WHEN 0 THEN chr(10) || '| field | value |' || chr(10) || '|---|---|' || chr(10) || '| Segment | ' || c_mktsegment || ' |'
+    WHEN 1 THEN chr(10) || chr(10) || 'Segment: ' || c_mktsegment ELSE chr(10) || 'Segment: ' || c_mktsegment END AS text FROM customer"""
 SQL["stored_index"] = FIRST["bm25_topk"]
 SQL["backend_fallback"] = FIRST["dense_topk"]
 SQL["zone_roundtrip"] = f"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, postings, search, vectors
 from ..operators.lineage import cut, new_folder
-from ..sources import files
+from ..sources import files, raw
 from ..streaming import ops, state
 from . import literals as L
 from . import pipelines
@@ -780,6 +781,26 @@ def raw_scan(spark, sf_dir):
     return docs.select(F.regexp_extract("doc_id", "name=([^/]+)/", 1).alias("name"), T.strip(F.col("text")).alias("text"))
 
 
+@query
+def rich_documents(spark, sf_dir):
+    """Customers' rows as DOCX, PDF and text files in folders by nation, read again."""
+    folder = new_folder(spark, "rich")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")
+
+    def documents(frames):
+        for frame in frames:
+            names, contents = [], []
+            for r in frame.itertuples(index=False):
+                kind = ("docx", "pdf", "txt")[r.c_custkey % 3]
+                lines = [f"Customer {r.c_name} (no. {r.c_custkey})", f"Segment: {r.c_mktsegment}"]
+                names.append(f"n{r.c_nationkey}/c{r.c_custkey}.{kind}")
+                contents.append({"docx": lambda: raw.docx_document(lines[:1], [["field", "value"], lines[1].split(": ")]), "pdf": lambda: raw.pdf_document([lines[:1], lines[1:]]), "txt": lambda: "\n".join(lines).encode()}[kind]())
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    raw.write_files(rows.mapInPandas(documents, "name string, content binary"), folder)
+    return raw.read_folder(spark, folder).select("doc_id", "text")
+
+
 @query
 def result_files(spark, sf_dir):
     """A run's summary as a result file, read again as the baseline of another run."""
