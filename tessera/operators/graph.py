@@ -179,23 +179,49 @@ def link_entities(queries: DataFrame, triples: DataFrame, least_chars: int = 3)
     return found.withColumnRenamed("name", "low").join(nodes, "low").select("query_id", "name")
 
 
-def neighbours(starts: DataFrame, triples: DataFrame, hops: int = 2, key: str = "query_id") -> DataFrame:
+#: Edges of a node that one task joins with its queries; a node with more is split.
+HUB = 100_000
+
+
+def adjacency(triples: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Every edge at both of its nodes (node, piece, s, r, o, chunk_id, other), and the hubs
+    (node, pieces): nodes of more than `hub` edges, whose edges are dealt to pieces."""
+    edges = triples.select("s", "r", "o", "chunk_id")
+    ends = F.explode(F.array(F.struct(F.lower("s").alias("node"), F.lower("o").alias("other")), F.struct(F.lower("o").alias("node"), F.lower("s").alias("other"))))
+    both = edges.select("s", "r", "o", "chunk_id", ends.alias("e")).select("e.node", "e.other", "s", "r", "o", "chunk_id").where("node is not null")
+    degree = both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > hub)
+    hubs = cut(degree.select("node", F.ceil(F.col("n") / hub).cast("int").alias("pieces")))
+    # Twice the edges by `hub` is the most hubs there can be.
+    held = both.join(F.broadcast(hubs), "node", "left") if not hubs.isEmpty() else both.withColumn("pieces", F.lit(None).cast("int"))
+    piece = F.pmod(F.xxhash64("s", "r", "o", "chunk_id"), F.coalesce("pieces", F.lit(1))).cast("int")
+    return held.select("node", piece.alias("piece"), "other", "s", "r", "o", "chunk_id"), hubs
+
+
+def neighbours(starts: DataFrame, triples: DataFrame, hops: int = 2, key: str = "query_id", hub: int = HUB) -> DataFrame:
     """key, s, r, o, chunk_id, hop: edges within so many hops of the key's names.
 
-    starts: key, name. Each hop is two equi-joins of the frontier with the edges;
-    an edge keeps the hop at which it was first met.
+    starts: key, name. Each hop is an equi-join of the frontier, the names that the hop
+    before met first, with their edges; what a hop has met is kept, so that later ones
+    don't compute it again. Edges of a hub are dealt to pieces, to each of which the
+    frontier's rows of the hub are sent. An edge keeps the hop at which it was first met.
     """
-    edges = triples.select("s", "r", "o", "chunk_id").withColumns({"ls": F.lower("s"), "lo": F.lower("o")})
-    frontier = starts.select(key, F.lower("name").alias("node")).distinct()
+    edges, hubs = adjacency(triples, hub)
+    split = not hubs.isEmpty()
+    edges = cut(edges) if hops > 1 else edges
+    frontier = cut(starts.select(key, F.lower("name").alias("node")).distinct())
     seen, out = frontier, None
     for hop in range(1, hops + 1):
-        met = edges.join(frontier, F.col("ls") == F.col("node")).union(edges.join(frontier, F.col("lo") == F.col("node")))
-        met = met.drop("node").withColumn("hop", F.lit(hop))
-        out = met if out is None else out.unionByName(met)
+        asked = frontier.join(F.broadcast(hubs), "node", "left") if split else frontier.withColumn("pieces", F.lit(1))
+        asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+        met = asked.join(edges, ["node", "piece"]).select(key, "s", "r", "o", "chunk_id", "other", F.lit(hop).alias("hop"))
         if hop < hops:
-            both = met.select(key, F.explode(F.array("ls", "lo")).alias("node")).distinct()
-            frontier = both.join(seen, [key, "node"], "left_anti")
+            met = cut(met)
+            new = met.select(key, F.col("other").alias("node")).where("node is not null").distinct()
+            frontier = cut(new.join(seen, [key, "node"], "left_anti"))
             seen = seen.union(frontier)
+        out = met if out is None else out.unionByName(met)
+        if hop < hops and frontier.isEmpty():
+            break
     return out.groupBy(key, "s", "r", "o").agg(F.min("chunk_id").alias("chunk_id"), F.min("hop").alias("hop"))
 
 

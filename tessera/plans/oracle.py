@@ -270,6 +270,17 @@ WITH c AS (SELECT 'n' || n_nationkey AS s, 'in' AS r, 'r' || n_regionkey AS o, n
   UNION ALL SELECT 'o' || o_orderkey, 'by', 'c' || o_custkey, n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT q AS query_id, s, r, o, hop FROM c WHERE q IN (SELECT r_regionkey FROM region)"""
 
+# A customer's nation, its region and rows, its region's other nations, and their rows.
+SQL["khop_deep"] = """
+WITH q AS (SELECT c_custkey AS query_id, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 100 = 0),
+e AS (SELECT c_nationkey AS n, 'c' || c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, 's' || s_suppkey FROM supplier),
+h AS (SELECT query_id, 1 AS hop, 'c' || query_id AS edge FROM q
+  UNION ALL SELECT query_id, 2, 'n' || n FROM q
+  UNION ALL SELECT query_id, 2, id FROM q JOIN e USING (n) WHERE id <> 'c' || query_id
+  UNION ALL SELECT query_id, 3, 'n' || n_nationkey FROM q JOIN nation ON n_regionkey = r WHERE n_nationkey <> n
+  UNION ALL SELECT query_id, 4, id FROM q JOIN nation ON n_regionkey = r AND n_nationkey <> q.n JOIN e ON e.n = n_nationkey)
+SELECT query_id, hop, count(*) AS edges FROM h GROUP BY ALL"""
+
 # -- measures ----------------------------------------------------------------------------
 
 _GOLD = """
@@ -344,6 +355,7 @@ SQL["exposition"] = """
 SELECT 'events_total{app="x",type="' || event_type || '\\"\\n"} ' || count(*) AS line FROM events GROUP BY event_type"""
 SQL["feedback_votes"] = """
 SELECT count(*) FILTER (quality = 1) AS up, count(*) FILTER (quality IS DISTINCT FROM 1) AS down, count(*) AS total FROM labels"""
+SQL["feedback_stream"] = SQL["feedback_votes"]
 SQL["answer_cache"] = f"""
 WITH a AS (SELECT * FROM {L.values(L.ASKED, "query_id, key, ts")} UNION ALL SELECT event_id + 100, 'u' || user_id % 50, ts::VARCHAR FROM events WHERE event_id % 3 = 0),
 s AS (SELECT * FROM {L.values(L.STORED, "key, ts, answer")} UNION ALL SELECT 'u' || user_id % 50, ts::VARCHAR, event_id::VARCHAR FROM events WHERE event_id % 3 = 1),

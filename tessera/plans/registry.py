@@ -667,6 +667,37 @@ def feedback_votes(spark, sf_dir):
     return ops.vote_counts(votes)
 
 
+@query
+def feedback_stream(spark, sf_dir):
+    """Feedback lines of which every third is sent twice, in two goes with a restart
+    between, as a log that holds each once."""
+    folder = new_folder(spark, "feedback")
+    rows = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 1800).alias("ts"), F.when(F.col("quality") == 1, "up").otherwise("down").alias("vote")
+    )
+    goes = [rows.where("id % 2 = 0").union(rows.where("id % 6 = 0")), rows.where("id % 2 = 1").union(rows.where("id % 3 = 0"))]
+    for go in goes:
+        go.write.mode("append").json(f"{folder}/in")
+        log = state.drain(spark, f"{folder}/in", rows.schema, ops.feedback_log, f"{folder}/log", f"{folder}/checkpoint", "json")
+    return ops.vote_counts(log)
+
+
+@query
+def khop_deep(spark, sf_dir):
+    """Six hops from every hundredth customer over nations and regions to customers and
+    suppliers; nations are hubs in pieces."""
+    t = lambda name: _table(spark, sf_dir, name)
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = (
+        t("nation").select(name("n", "n_nationkey").alias("s"), F.lit("in").alias("r"), name("r", "n_regionkey").alias("o"))
+        .union(t("customer").select(name("c", "c_custkey"), F.lit("of"), name("n", "c_nationkey")))
+        .union(t("supplier").select(name("s", "s_suppkey"), F.lit("of"), name("n", "s_nationkey")))
+        .withColumn("chunk_id", F.col("s"))
+    )
+    starts = t("customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), name("c", "c_custkey").alias("name"))
+    return graph.neighbours(starts, edges, 6, hub=50).groupBy("query_id", "hop").agg(F.count("*").alias("edges"))
+
+
 @query
 def answer_cache(spark, sf_dir):
     asked = L.frame(spark, L.ASKED, "query_id int, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -195,3 +195,11 @@ def tracked_keys(events: DataFrame, key: str = "user_id", seconds: float = 60.0,
 def vote_stream(feedback: DataFrame) -> DataFrame:
     """Running up, down and total of a stream of feedback, for complete output mode."""
     return vote_counts(feedback)
+
+
+def feedback_log(feedback: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of feedback (id, ts, vote, ...) with each line once: a line that was sent
+    again within `late` is left out, and the state of ids older than that is given up. Into
+    a file sink with a checkpoint, each line is written exactly once, restarts included."""
+    timed = feedback.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.where("id is not null").dropDuplicatesWithinWatermark(["id"])

@@ -181,10 +181,11 @@ def answers(requests: DataFrame, seconds: float = 600.0, kept: int = 128, shards
     return _sharded(rows, shards, _Answers(kept, int(seconds * 1e6)), "query_id long, answer string, hit boolean")
 
 
-def drain(spark: SparkSession, folder: str, schema, transform, to: str, checkpoint: str) -> DataFrame:
-    """All of a folder's Parquet rows, as a stream, through transform into Parquet rows at
-    `to`, which are read again. A later call goes on from the checkpoint with new files."""
-    stream = spark.readStream.schema(schema).parquet(folder)
+def drain(spark: SparkSession, folder: str, schema, transform, to: str, checkpoint: str, kind: str = "parquet") -> DataFrame:
+    """All of a folder's rows (Parquet or another kind), as a stream, through transform into
+    Parquet rows at `to`, which are read again. A later call goes on from the checkpoint
+    with new files."""
+    stream = spark.readStream.schema(schema).format(kind).load(folder)
     query = transform(stream).writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(to)
