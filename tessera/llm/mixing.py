@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .storage import numbered, write_table
 
 WEIGHTS = (5, 2, 1)
-ROWS_IN_RANGE = 2_000
-MOST_RANGES = 10_000
+#: Rows of a range, and the most ranges: Spark samples a hundred keys for each to the driver.
+ROWS_IN_RANGE = 10_000
+MOST_RANGES = 2_000
 LEAST_WEIGHT = 1e-6
 _WORD = r"[^\x20\x09-\x0D]+"
 
