@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import answer, graph
+from .lineage import cut
 
 # The instructions that go with each kind of prompt.
 ANSWERING = "Answer only from context, with citations."
@@ -76,13 +77,24 @@ def rewritten(queries: DataFrame, model: Loader) -> DataFrame:
     return queries.select("query_id", F.nullif(first, F.lit("")).alias("reply"))
 
 
-def extract_triples(chunks: DataFrame, model: Loader, most: int = MOST_TRIPLES) -> DataFrame:
+def extract_triples(chunks: DataFrame, model: Loader, most: int = MOST_TRIPLES, lot: int = 2 * MOST_TRIPLES) -> DataFrame:
     """Triples that a model reads from chunks that hint at a relation, in order of
-    chunk ids. A chunk is read while fewer than `most` triples came before it."""
-    hinting = graph.model_candidates(chunks)
-    # At least one triple a useful chunk: those beyond can be cut only afterwards.
-    read = hinting.select("chunk_id", replies(model, EXTRACTING, F.substring("text", 1, TRIPLE_CHARS)).alias("reply"))
-    return first_triples(graph.parse_model_triples(read), most)
+    chunk ids. A chunk is read while fewer than `most` triples came before it: the model
+    is asked for the first `lot` chunks, then for twice as many, and so on, until it has
+    given enough."""
+    hinting = graph.model_candidates(chunks).where("chunk_id is not null").select("chunk_id", F.substring("text", 1, TRIPLE_CHARS).alias("text"))
+    out, last, held = None, None, 0
+    while out is None or held < most:
+        rest = hinting if last is None else hinting.where(F.col("chunk_id") > F.lit(last))
+        asked = cut(rest.orderBy("chunk_id").limit(lot))
+        count, last = asked.agg(F.count("*"), F.max("chunk_id")).first()
+        got = cut(graph.parse_model_triples(asked.repartition("chunk_id").select("chunk_id", replies(model, EXTRACTING, F.col("text")).alias("reply"))))
+        held += got.count()
+        out = got if out is None else out.unionByName(got)
+        if count < lot:
+            break
+        lot *= 2
+    return first_triples(out, most)
 
 
 def first_triples(triples: DataFrame, most: int = MOST_TRIPLES) -> DataFrame:
