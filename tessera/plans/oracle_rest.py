@@ -8,7 +8,7 @@ from ..operators.answer import ABSTENTION
 from ..operators.agent import SYNONYMS
 from . import literals as L
 from .oracle import SQL as FIRST
-from .oracle import _BM25, _CONTEXTS, _GOLD, _HASHED, _PARENTS, _QUESTIONS, _STRIP, _TRIPLES, _VERSIONS, _fused, _hops, _plain, _windows
+from .oracle import _BM25, _CONTEXTS, _GOLD, _HASHED, _HYBRID, _PARENTS, _QUESTIONS, _RERANKED, _STRIP, _TRIPLES, _VERSIONS, _fused, _hops, _plain, _windows
 
 SQL: dict[str, str] = {}
 
@@ -227,6 +227,41 @@ la AS (SELECT query_id, max(rank) AS last FROM ca GROUP BY 1),
 nw AS (SELECT wn.*, last FROM wn LEFT JOIN la USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.query_id = wn.query_id AND ca.chunk_id = wn.chunk_id))
 SELECT query_id, chunk_id, rrf, rank, false AS via_graph FROM ca
 UNION ALL SELECT query_id, chunk_id, 0.01, coalesce(last, 0) + row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id), true FROM nw"""
+
+
+# -- the agent: three rounds of search over weak questions, then the graph's chunks and a reranking ----
+
+
+def _over(sql: str, docs: str, asked: str) -> str:
+    """Search SQL over other tables: docs (doc_id, text), asked (item_id, text)."""
+    return sql.replace("documents", docs).replace("benchmark", asked)
+
+
+def _round(n: int) -> str:
+    """CTEs from the hits h{n} of questions q{n} (item_id, text, tried): weak ones rewritten as
+    q{n + 1}, and their hits."""
+    text = _strip("r.text")
+    return f"""
+w{n} AS (SELECT q.* FROM q{n} q LEFT JOIN (SELECT query_id, sum(rrf) FILTER (rank <= 5) AS mass FROM h{n} GROUP BY 1) m ON m.query_id = q.item_id WHERE coalesce(mass, 0) < 0.02),
+r{n} AS ({_rewritten(f"SELECT item_id AS query_id, text FROM w{n}", "NULL::VARCHAR")}),
+q{n + 1} AS (SELECT item_id, r.text AS text, list_append(tried, lower({text})) AS tried FROM r{n} r JOIN w{n} w ON w.item_id = r.query_id WHERE NOT list_contains(tried, lower({text}))),
+h{n + 1} AS (WITH {_over(_HYBRID, "dcs", f"q{n + 1}")} SELECT * FROM hy)"""
+
+
+SQL["agent_search"] = f"""
+WITH RECURSIVE dcs AS (SELECT chunk_id AS doc_id, text FROM {L.values(L.FACT_TEXTS, 'chunk_id, doc_id, text')} UNION ALL SELECT doc_id::VARCHAR, text FROM documents),
+q1 AS (SELECT query_id AS item_id, text, [lower({_strip('text')})] AS tried
+  FROM (SELECT * FROM {L.values(L.QUESTIONS, 'query_id, text')} UNION ALL SELECT item_id + 1000, text FROM benchmark)),
+h1 AS (WITH {_over(_HYBRID, "dcs", "q1")} SELECT * FROM hy), {_round(1)}, {_round(2)},
+hits AS (SELECT * FROM h1 WHERE query_id NOT IN (SELECT item_id FROM q2) UNION ALL SELECT * FROM h2 WHERE query_id NOT IN (SELECT item_id FROM q3) UNION ALL SELECT * FROM h3),
+{_named("SELECT item_id AS query_id, text FROM q1")}, {_hops("t", "lk", 2)},
+wn AS (SELECT query_id, chunk_id, min(hop) AS hop FROM (SELECT query_id, s, r, o, min(chunk_id) AS chunk_id, min(hop) AS hop FROM mt GROUP BY query_id, s, r, o)
+  WHERE chunk_id IN (SELECT doc_id FROM dcs) GROUP BY ALL),
+la AS (SELECT query_id, max(rank) AS last FROM hits GROUP BY 1),
+nw AS (SELECT wn.*, last FROM wn LEFT JOIN la USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.query_id = wn.query_id AND hits.chunk_id = wn.chunk_id)),
+mg AS (SELECT query_id, chunk_id, rank FROM hits
+  UNION ALL SELECT query_id, chunk_id, coalesce(last, 0) + row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id) FROM nw), {_over(_RERANKED.format("mg"), "dcs", "q1")}
+SELECT query_id, chunk_id, prior, rerank_score, rank FROM rk WHERE rank <= 5"""
 SQL["model_facts"] = """
 WITH c AS (SELECT doc_id::VARCHAR AS chunk_id, length(substr(text || ' vendor', 1, 1500)) AS n FROM documents WHERE NOT starts_with(doc_id::VARCHAR, 'scale_20news') AND text IS NOT NULL),
 r AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS k FROM c)
