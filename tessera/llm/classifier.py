@@ -13,7 +13,8 @@ whatever the input's size, and is broadcast.
 
 Defined cases: null and empty texts have no grams and get the score of the bias
 alone; without training rows of both classes the score is the share of label 1
-(or 0.5); labels other than 0 and 1 are left out; repeated rows are scored each, alike;
+(or 0.5); labels other than 0 and 1 are left out; repeated rows are scored each, alike,
+and of rows of one id the least text by code point is learned from;
 ids may have any type and be null, and ids with equal hashes are taken by id, then
 label; a very long text takes memory in proportion to itself; other columns are ignored;
 an empty table gives no rows.
@@ -193,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_train_rows)
     )
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label")
+    # Of rows of one id the least text, so that copies of an id are no more rows than labels.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
