@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import first_rows
 
 
 def searchable(chunks: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def point_id(chunk_id: Column) -> Column:
 
 def limit_by_priority(chunks: DataFrame, n: int, distractor: str = "scale_") -> DataFrame:
     """The first n chunks, those of distractor documents last."""
-    return chunks.orderBy(F.startswith("doc_id", F.lit(distractor)), "chunk_id").limit(n)
+    return first_rows(chunks, n, F.startswith("doc_id", F.lit(distractor)), F.col("chunk_id"))
 
 
 def ingest_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -36,3 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which the first of a table are gathered in one task.
+FIRST_ROWS = 100_000
+
+
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows by an order that tells all rows apart. Up to FIRST_ROWS of them meet
+    in one task; more are dealt by ranges of the order, of which only the one that the n
+    end in is sorted."""
+    if n <= FIRST_ROWS:
+        return df.orderBy(*order).limit(n)
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # A row for each range.
+    sizes = sorted(ranged.groupBy("_range").count().collect())
+    before, last = 0, None
+    for number, size in sizes:
+        if before + size > n:
+            last = number
+            break
+        before += size
+    if last is None:
+        return ranged.drop("_range")
+    whole = ranged.where(F.col("_range") < last).drop("_range")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    part = ranged.where(F.col("_range") == last).withColumn("_place", place).where(F.col("_place") <= n - before)
+    return whole.unionByName(part.drop("_range", "_place"))

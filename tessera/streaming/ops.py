@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import first_rows
+
 
 def last_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last n rows of each key, with `recency` 1 for the latest."""
@@ -22,7 +24,7 @@ def session_memory(turns: DataFrame, turns_kept: int = 6, sessions_kept: int | N
     known = turns.where("session_id is not null and session_id != ''")
     if sessions_kept is not None:
         created = known.groupBy("session_id").agg(F.min("ts").alias("created"))
-        newest = created.orderBy(F.col("created").desc(), "session_id").limit(sessions_kept).select("session_id")
+        newest = first_rows(created, sessions_kept, F.col("created").desc(), F.col("session_id")).select("session_id")
         known = known.join(newest, "session_id", "left_semi")
     kept = last_per_key(known, "session_id", "turn", turns_kept)
     return kept.withColumns({"q": F.substring("q", 1, 500), "a": F.substring("a", 1, 800)})
@@ -170,7 +172,7 @@ def cached_answers(asked: DataFrame, answers: DataFrame, seconds: float = 600.0,
     """asked: query_id, key, ts; answers: key, ts, answer. The latest answer of the
     key that is young enough, among the `kept` stored last."""
     stored = answers.groupBy("key").agg(F.max(F.struct("ts", "answer")).alias("x")).select("key", F.col("x.ts").alias("stored"), "x.answer")
-    stored = stored.orderBy(F.col("stored").desc(), "key").limit(kept)
+    stored = first_rows(stored, kept, F.col("stored").desc(), F.col("key"))
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("stored").cast("timestamp"))
     joined = asked.join(stored, "key", "left")
     fresh = (age >= 0) & (age < seconds * 1e6)
@@ -188,7 +190,7 @@ def tracked_keys(events: DataFrame, key: str = "user_id", seconds: float = 60.0,
     begun = rows.withColumn("begin", F.when(F.coalesce(gap > int(seconds * 1e6), F.lit(True)), F.col("t")))
     held = begun.groupBy(key).agg(F.max("begin").alias("since"), F.max("t").alias("last"))
     alive = held.crossJoin(F.broadcast(rows.agg(F.max("t").alias("now")))).where(F.col("now") - F.col("last") <= int(seconds * 1e6))
-    kept = alive.orderBy(F.col("since").desc(), key).limit(most_keys)
+    kept = first_rows(alive, most_keys, F.col("since").desc(), F.col(key))
     return kept.select(key, F.timestamp_micros("since").alias("since"), F.timestamp_micros("last").alias("last"))
 
 
