@@ -9,17 +9,14 @@ from ..functions import text as T
 from ..operators import agent, answer, chunk, clean, evaluate, graph, index, models, search
 
 
-def ingest(docs: DataFrame, strategy: str = "parent_child", size: int = 512, overlap: int = 80) -> dict[str, DataFrame]:
-    """Tables of an index: cleaned documents with hashes, chunks, vectors, triples."""
+def ingest(docs: DataFrame, strategy: str = "parent_child", size: int = 512, overlap: int = 80, facts: bool = True) -> dict[str, DataFrame]:
+    """Tables of an index: cleaned documents with hashes, chunks, vectors and, with `facts`,
+    triples, whose names are gathered and merged at once; the others are computed as used."""
     cleaned = clean.clean_documents(docs).withColumns({"hash": T.content_hash(F.col("text")), "strategy": F.lit(strategy)})
     chunks = clean.annotate(chunk.chunk_documents(cleaned, strategy, size, overlap))
     own = index.searchable(chunks)
-    return {
-        "documents": cleaned,
-        "chunks": chunks,
-        "vectors": index.dense_embedding(own),
-        "triples": graph.merge_aliases(graph.extract_triples(own)),
-    }
+    tables = {"documents": cleaned, "chunks": chunks, "vectors": index.dense_embedding(own)}
+    return tables | ({"triples": graph.merge_aliases(graph.extract_triples(own))} if facts else {})
 
 
 def ask(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 20, top_n: int = 5, use_agent: bool = True, expand: bool = True, model: models.Loader | None = None) -> dict[str, DataFrame]:
