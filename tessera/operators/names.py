@@ -57,7 +57,9 @@ def occurrences(texts: DataFrame, names: DataFrame, keys: list[str] | tuple[str,
     keys, spark = list(keys), texts.sparkSession
     known = names.select("name").where("name is not null and name != ''").distinct()
     chars = known.agg(F.sum(F.length("name"))).first()[0] or 0
-    lots = max(1, -(-chars // NAME_CHARS))
+    if not chars:
+        return texts.select(*keys, F.lit(None).cast("string").alias("name")).where("false")
+    lots = -(-chars // NAME_CHARS)
     types = [texts.schema[k].dataType for k in keys]
     schema = ", ".join([*(f"{k} {t.simpleString()}" for k, t in zip(keys, types, strict=True)), "name string"])
     rows, out = texts.select(*keys, "text").where("text is not null"), None
