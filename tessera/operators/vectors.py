@@ -60,10 +60,14 @@ def fit(vectors: DataFrame, cells: int = 64, parts: int = 8, codes: int = 256, r
     """The centres of cells and the centroids of each slice, from SAMPLE rows at most;
     None without vectors. The width is that of most vectors."""
     usable = vectors.where("vector is not null and size(vector) > 0")
-    width = usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    width = usable.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     if width is None:
         return None
-    chosen = usable.where(F.size("vector") == width["n"]).select(F.col("vector").cast("array<double>").alias("v")).orderBy(F.xxhash64(id_col), "v").limit(SAMPLE)
+    # Some twice the sample pass by their hash; the first of those are taken.
+    drawn = usable.where(F.size("vector") == width["n"]).withColumn("h", F.xxhash64(id_col))
+    if width["rows"] > 2 * SAMPLE:
+        drawn = drawn.where(F.pmod(F.xxhash64("h"), F.lit(width["rows"])) < 2 * SAMPLE)
+    chosen = drawn.select("h", F.col("vector").cast("array<double>").alias("v")).orderBy("h", "v").limit(SAMPLE).select("v")
     rows = _unit(np.array([r["v"] for r in chosen.collect()]))
     draw = np.random.default_rng(7)
     centres = _means(rows, cells, rounds, draw)

@@ -60,6 +60,16 @@ def test_every_usable_row_is_indexed(spark, built):
     assert spark.read.parquet(f"{folder}/cells").selectExpr("sum(n)").first()[0] == stored.count()
 
 
+def test_the_fit_takes_a_sample(spark, built, monkeypatch):
+    table, queries, _, _ = built
+    monkeypatch.setattr(vectors, "SAMPLE", 200)
+    folder = new_folder(spark, "test-vectors")
+    model = vectors.build(table, folder, cells=20)
+    usable = queries.where("size(vector) = 16")
+    assert spark.read.parquet(f"{folder}/rows").count() == 2251 and len(model["centres"]) <= 20
+    assert rows(vectors.search(spark, folder, model, usable, 5, probes=2, exact=True)) == rows(search.dense_topk(table, usable, 5))
+
+
 def test_no_vectors(spark):
     assert vectors.build(spark.createDataFrame([(1, None)], "chunk_id long, vector array<double>"), new_folder(spark, "test-vectors")) is None
 
