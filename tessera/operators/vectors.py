@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .lineage import cut
 from .search import SCORES, _unit, ranked
-from .topk import rounded
+from .topk import Best, rounded
 
 SAMPLE = 20_000
 PIECE = 50_000
@@ -126,29 +126,65 @@ def _tables(model: dict, queries: np.ndarray, centre: np.ndarray) -> list[np.nda
     return out
 
 
-def _probe(shared, k: int, exact: bool, id_col: str, names: pa.Schema):
+def _codes(codes: pa.Table) -> np.ndarray:
+    """A row of code numbers for each row; codes are equally long."""
+    width = len(codes["code"][0].as_py())
+    return np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(codes), width)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), float).reshape(rows, -1)
+
+
+def _probe(shared, k: int, id_col: str, names: pa.Schema):
     """The candidates of a piece of a cell for each of its queries, by distance of codes."""
 
     def run(key: tuple[pa.Scalar, ...], codes: pa.Table, asked: pa.Table) -> pa.Table:
         model, cell = shared.value, key[0].as_py()
         if not len(codes) or not len(asked):
             return names.empty_table()
-        code = np.array([np.frombuffer(c.as_py(), np.uint8) for c in codes["code"]])
-        error = codes["error"].to_numpy()
-        queries = np.array(asked["q"].combine_chunks().flatten(), float).reshape(len(asked), -1)
+        code = _codes(codes)
+        queries = _matrix(asked["q"], len(asked))
         tables, found = _tables(model, queries, model["centres"][cell]), []
         for i in range(len(asked)):
             far = np.sqrt(sum(t[i][code[:, j]] for j, t in enumerate(tables)))
-            if exact:
-                rows = np.flatnonzero(far - error <= asked["far"][i].as_py())
-            else:
-                rows = np.lexsort((np.arange(len(far)), far))[: CANDIDATES * k]
+            rows = np.lexsort((np.arange(len(far)), far))[: CANDIDATES * k]
             found.append(pa.Table.from_arrays([asked["query_id"].take(pa.array(np.full(len(rows), i))), codes[id_col].take(pa.array(rows)), pa.array(np.full(len(rows), cell, np.int32)), pa.array(far[rows])], names.names))
         return pa.concat_tables(found).cast(names)
 
     return run
 
 
+def _best_of_piece(shared, k: int, id_col: str, names: pa.Schema):
+    """The k best rows of a piece of a cell for each of its queries, scored exactly where
+    the code's error leaves a way. Queries come in blocks of SCORES pairs with the piece's
+    rows, so that what is held doesn't depend on how many rows the codes let through."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, asked: pa.Table) -> pa.Table:
+        model, cell = shared.value, key[0].as_py()
+        if not len(rows) or not len(asked):
+            return names.empty_table()
+        code, error = _codes(rows), rows["error"].to_numpy()
+        ids, unit = rows[id_col].combine_chunks(), _unit(_matrix(rows["vector"], len(rows)))
+        step, found = max(1, SCORES // len(rows)), []
+        for at in range(0, len(asked), step):
+            block = asked.slice(at, step)
+            queries, bound = _matrix(block["q"], len(block)), block["far"].to_numpy()
+            tables = _tables(model, queries, model["centres"][cell])
+            valid = np.empty((len(rows), len(block)), bool)
+            for i in range(len(block)):
+                far = np.sqrt(sum(t[i][code[:, j]] for j, t in enumerate(tables)))
+                valid[:, i] = far - error <= bound[i]
+            scored = np.flatnonzero(valid.any(1))
+            if len(scored):
+                best = Best(len(block), k, ids.type)
+                best.add(ids.take(pa.array(scored)), rounded(unit[scored] @ _unit(queries).T), valid[scored])
+                found.append(pa.Table.from_batches([best.batch(block["query_id"].combine_chunks(), id_col)]).cast(names))
+        return pa.concat_tables(found) if found else names.empty_table()
+
+    return run
+
+
 def search(spark: SparkSession, path: str, model: dict, queries: DataFrame, k: int = 20, probes: int = 8, exact: bool = False, id_col: str = "chunk_id") -> DataFrame:
     """query_id, id_col, score, rank of queries (query_id, vector), as dense_topk: of the
     `probes` nearest cells, or of all rows with `exact`."""
@@ -186,15 +222,20 @@ def _score(spark: SparkSession, path: str, model: dict, shared, pairs: DataFrame
     rows = spark.read.parquet(f"{path}/rows").where(F.col("part").isin(probed))
     pieces = F.broadcast(pairs.select(F.col("cell").alias("c"), F.col("pieces").alias("m")).distinct())  # a row for each cell
     piece = F.pmod(F.xxhash64(id_col), F.col("m")).cast("int").alias("piece")
-    codes = rows.join(pieces, F.col("cell") == F.col("c")).select(id_col, "cell", "code", "error", piece)
+    held = [id_col, "cell", "code", "error", "vector"] if exact else [id_col, "cell", "code"]
+    codes = rows.join(pieces, F.col("cell") == F.col("c")).select(*held, piece)
     sent = pairs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     q_kind, id_kind = pairs.schema["query_id"].dataType, rows.schema[id_col].dataType
-    names = pa.schema([("query_id", to_arrow_type(q_kind)), (id_col, to_arrow_type(id_kind)), ("cell", pa.int32()), ("apart", pa.float64())])
-    schema = f"query_id {q_kind.simpleString()}, {id_col} {id_kind.simpleString()}, cell int, apart double"
-    found = codes.groupBy("cell", "piece").cogroup(sent.groupBy("cell", "piece")).applyInArrow(_probe(shared, k, exact, id_col, names), schema)
-    if not exact:
-        order = Window.partitionBy("query_id").orderBy("apart", id_col)
-        found = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= CANDIDATES * k)
+    keys = [("query_id", to_arrow_type(q_kind)), (id_col, to_arrow_type(id_kind))]
+    schema = f"query_id {q_kind.simpleString()}, {id_col} {id_kind.simpleString()}"
+    met = codes.groupBy("cell", "piece").cogroup(sent.groupBy("cell", "piece"))
+    if exact:
+        names = pa.schema([*keys, ("score", pa.float64())])
+        return ranked(met.applyInArrow(_best_of_piece(shared, k, id_col, names), f"{schema}, score double"), k, id_col)
+    names = pa.schema([*keys, ("cell", pa.int32()), ("apart", pa.float64())])
+    found = met.applyInArrow(_probe(shared, k, id_col, names), f"{schema}, cell int, apart double")
+    order = Window.partitionBy("query_id").orderBy("apart", id_col)
+    found = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= CANDIDATES * k)
     found = found.select("query_id", id_col, "cell")
     vectors = rows.select(id_col, "cell", "vector").join(found, ["cell", id_col]).join(pairs.select("query_id", "q").dropDuplicates(["query_id"]), "query_id")
 

@@ -78,3 +78,14 @@ def test_ragged_vectors_in_the_whole_search(spark, built):
     table, queries, _, _ = built
     found = search.dense_topk(table, queries, 5)
     assert {r["query_id"] for r in found.collect()} == {*range(30), 100, 101}
+
+
+def test_a_piece_sends_on_k_rows_a_query(spark, built, monkeypatch):
+    """Whatever codes let through: a third of the rows are equally near to a query."""
+    table, queries, folder, model = built
+    sent, whole = [], vectors.ranked
+    monkeypatch.setattr(vectors, "SCORES", 5_000)
+    monkeypatch.setattr(vectors, "ranked", lambda hits, *rest: sent.append(hits.groupBy("query_id").count().agg({"count": "max"}).first()[0]) or whole(hits, *rest))
+    hot = queries.where("query_id = 100")
+    got = rows(vectors.search(spark, folder, model, hot, 3, probes=20, exact=True))
+    assert got == rows(search.dense_topk(table, hot, 3)) and sent[-1] <= 3 * 20
