@@ -4,7 +4,8 @@ Keys are dealt to shards, and a shard holds at most a number of keys, as each re
 service does; one shard caps all keys together. State lies in Spark's state store (a map of
 entries, a queue of the keys by arrival, a counter), so that a restart from the checkpoint
 goes on where it stopped, and what a task holds in memory is a shard's rows of one
-micro-batch, which come in by time. Only the entries of keys that come up are read.
+micro-batch, which come in by time. Only the entries of keys that come up are read, and each
+is read and written once a micro-batch.
 
 The store must be RocksDB's; `rocksdb()` names it where nothing is set.
 """
@@ -45,11 +46,16 @@ class Fifo(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _entry(self, key: str) -> tuple | None:
+        if key not in self.near:
+            self.near[key] = tuple(self.entries.getValue((key,))) if self.entries.containsKey((key,)) else None
+        return self.near[key]
+
     def get(self, key: str, now: int) -> tuple | None:
         """The entry's fields."""
-        if not self.entries.containsKey((key,)):
+        row = self._entry(key)
+        if row is None:
             return None
-        row = tuple(self.entries.getValue((key,)))
         if now - row[-1] > self.idle:
             self._remove(key, row[-2])
             return None
@@ -59,36 +65,64 @@ class Fifo(StatefulProcessor):
         """old: what get() gave."""
         if old is None:
             seq, self.tail, self.size = self.tail, self.tail + 1, self.size + 1
-            self.queue.updateValue((seq,), (key,))
+            self.line[seq] = key
         else:
             seq = old[-2]
-        self.entries.updateValue((key,), (*fields, seq, now))
+        self.near[key] = (*fields, seq, now)
+        self.changed.add(key)
         self.least = min(self.least, now)
         if self.size > self.most:
             self._shrink(now)
 
     def _remove(self, key: str, seq: int) -> None:
-        self.entries.removeKey((key,))
-        self.queue.removeKey((seq,))
+        self.near[key], self.line[seq] = None, None
+        self.changed.add(key)
         self.size -= 1
 
+    def _first(self) -> str | None:
+        """The key at the head of the queue; none where it is gone."""
+        if self.head in self.line:
+            return self.line[self.head]
+        return self.queue.getValue((self.head,))[0] if self.queue.containsKey((self.head,)) else None
+
+    def _store(self) -> None:
+        """Writes what changed since the last time: an entry once, however often it was used."""
+        for key in self.changed:
+            row = self.near[key]
+            if row is not None:
+                self.entries.updateValue((key,), row)
+            elif self.entries.containsKey((key,)):
+                self.entries.removeKey((key,))
+        for seq, key in self.line.items():
+            if key is not None:
+                self.queue.updateValue((seq,), (key,))
+            elif self.queue.containsKey((seq,)):
+                self.queue.removeKey((seq,))
+        self.line, self.changed = {}, set()
+
     def _shrink(self, now: int) -> None:
         # No entry was seen before `least`: without idle ones among them there is nothing to look for.
         if now - self.least > self.idle:
+            self._store()
             rows = [(k[0], v[-2], v[-1]) for k, v in self.entries.iterator()]
             for key, seq, seen in rows:
                 if now - seen > self.idle:
                     self._remove(key, seq)
             self.least = min((seen for _, _, seen in rows if now - seen <= self.idle), default=now)
         while self.size > self.most:
-            if self.queue.containsKey((self.head,)):
-                self._remove(self.queue.getValue((self.head,))[0], self.head)
+            key = self._first()
+            if key is not None:
+                self._remove(key, self.head)
             self.head += 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         self.head, self.tail, self.size, self.least = self.ends.get() if self.ends.exists() else (0, 0, 0, 1 << 62)
+        # Entries by key, as read or as they will be written; keys by place in the queue; changed keys.
+        self.near, self.line, self.changed = {}, {}, set()
         batch = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
         out = [made for row in batch.itertuples(index=False) if (made := self.step(row)) is not None]
+        self._store()
+        self.near = {}
         self.ends.update((int(self.head), int(self.tail), int(self.size), int(self.least)))
         if out:
             yield pd.DataFrame(out)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from tessera.streaming import state
@@ -86,3 +87,37 @@ def test_answers(spark, tmp_path, kept):
     got = run(spark, tmp_path, rows, "query_id long, key string, s long, answer string", lambda s: state.answers(s.selectExpr("*", "timestamp_seconds(s) as ts"), 600, kept, 1))
     assert {r["query_id"]: r["answer"] for r in got} == want
     assert all(r["hit"] == (r["answer"] is not None) for r in got)
+
+
+class _Calls(dict):
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def __getattr__(self, name):
+        verbs = {"containsKey": lambda k: k in self, "getValue": lambda k: self[k], "updateValue": self.__setitem__, "removeKey": self.__delitem__, "iterator": lambda: iter(list(self.items()))}
+
+        def call(*args):
+            self.calls += 1
+            return verbs[name](*args)
+
+        return call
+
+
+def test_an_entry_is_read_and_written_once_a_batch():
+    class Ends:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    processor = state._Admission(2, 60_000_000, 1000)
+    processor.entries, processor.queue, processor.ends = _Calls(), _Calls(), Ends()
+    rows = pd.DataFrame({"id": range(5000), "key": [f"k{i % 10}" for i in range(5000)], "t": [i * 1_000_000 for i in range(5000)]})
+    assert sum(len(x) for x in processor.handleInputRows((0,), iter([rows]), None)) == 5000
+    # Ten keys: asked for, read, written, and in the queue.
+    assert len(processor.entries) == 10 and processor.entries.calls + processor.queue.calls <= 40
