@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .lineage import cut
-from .search import SCORES, _unit, ranked
+from .search import _unit, ranked
 from .topk import Best, rounded
 
+#: Distances or scores worked out at once.
+SCORES = 4_000_000
 SAMPLE = 20_000
 PIECE = 50_000
 #: Codes of a piece that are scored exactly, times k.
