@@ -99,3 +99,36 @@ def test_an_empty_segment(spark):
     assert rows(postings.search(spark, folder, questions, 10)) == []
     postings.add_segment(spark.createDataFrame([(1, "w0 w1")], "chunk_id long, text string"), folder)
     assert len(rows(postings.search(spark, folder, questions, 10))) == 1
+
+
+def _shuffled(spark, work):
+    """Bytes that the stages of work() write to shuffles."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def test_postings_are_sent_once_however_many_queries(spark, stored):
+    _, folder = stored
+    text = " ".join(f"w{i}" for i in range(30))
+    ask = lambda n: _shuffled(spark, lambda: rows(postings.search(spark, folder, spark.createDataFrame([(i, text) for i in range(n)], "query_id int, text string"), 10)))
+    assert ask(20) < 2.5 * ask(2)
+
+
+def test_copies_that_tie_at_the_last_place_and_dead_ones(spark):
+    docs = spark.createDataFrame([(i, "w0 w1 w2") for i in range(300)] + [(1000 + i, "w0 w3") for i in range(50)], "chunk_id long, text string").repartition(3)
+    folder = new_folder(spark, "test-postings")
+    postings.add_segment(docs, folder, buckets=2, chunk_tokens=200)
+    gone = docs.where("chunk_id % 3 = 0 and chunk_id < 1000").select(F.col("chunk_id").alias("doc_id"), F.lit("removed").alias("status"))
+    postings.update(docs.where("chunk_id % 3 != 0 or chunk_id >= 1000"), gone, folder)
+    questions = spark.createDataFrame([(1, "w0 w2"), (2, "w3 w0"), (3, "w1")], "query_id int, text string")
+    kept = docs.where("chunk_id % 3 != 0 or chunk_id >= 1000")
+    assert rows(postings.search(spark, folder, questions, 7)) == rows(search.bm25_topk(kept, questions, 7))
