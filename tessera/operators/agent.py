@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 from . import graph, models, search
 from .lineage import cut
 
@@ -51,12 +52,19 @@ def rewrite(queries: DataFrame, triples: DataFrame, most: int = 4, hops: int = 2
     listed = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("hop", "name"))).alias("names"))
     rows = queries.select("query_id", "text").join(listed, "query_id", "left")
 
-    def step(acc: Column, x: Column) -> Column:
-        low = F.lower(x["name"])
-        known = F.contains(F.lower("text"), low) | F.exists(acc, lambda a: F.contains(F.lower(a), low))
-        return F.when(known, acc).otherwise(F.array_append(acc, x["name"]))
+    # What is taken is asked for up to `most` names; whether there is any, by the first.
+    enough, nothing = max(most, 1), F.array().cast("array<string>")
 
-    extras = F.aggregate(F.coalesce("names", F.array().cast("array<struct<hop:int,name:string>>")), F.array().cast("array<string>"), step)
+    def taken(text: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            low = F.lower(x["name"])
+            known = F.contains(text, low) | F.exists(acc, lambda a: F.contains(F.lower(a), low))
+            return F.when((F.size(acc) >= enough) | known, acc).otherwise(F.array_append(acc, x["name"]))
+
+        return F.aggregate(F.coalesce("names", F.array().cast("array<struct<hop:int,name:string>>")), nothing, step)
+
+    # The text is lowered once, not for each name.
+    extras = let(F.lower("text"), taken)
     rows = rows.withColumn("extras", extras)
     if model is None:
         rows = rows.withColumn("reply", F.lit(None).cast("string"))
