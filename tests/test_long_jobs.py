@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera.operators import agent
+from tessera.operators import agent, evaluate, names
 
 
 def test_names_around_a_hub_are_taken_in_linear_time(spark):
@@ -18,3 +18,22 @@ def test_names_around_a_hub_are_taken_in_linear_time(spark):
     assert got[2] == ("Part 000000 Part 000001 Part 000002 Part 000003", "graph-expansion")
     # Without room for names the graph still counts.
     assert agent.rewrite(asked, facts, most=0).where("method = 'graph-expansion'").count() == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_sought_by_one_pass_or_by_keys_alike(spark, monkeypatch):
+    texts = ["one two three four five six seven", "xone two three four five six sevenx", "two three", "", None, "a \U0001f600 b", "one two three four five  six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(1, "one two three four five six seven"), (2, "two three"), (3, ""), (4, None), (5, "\U0001f600"), (6, "two three"), (7, "three four five six seven eight")]
+    items = spark.createDataFrame(items, "query_id int, text string")
+    found = evaluate.containing(docs, items)
+    assert "xxhash64" not in _plan(found)
+    want = sorted((d, q) for q, i in items.where("text != ''").collect() for d, t in enumerate(texts) if t and i in t)
+    assert sorted(map(tuple, found.select("doc_id", "query_id").collect())) == want
+    monkeypatch.setattr(names, "NAME_CHARS", 60)
+    keyed = evaluate.containing(docs, items)
+    assert "xxhash64" in _plan(keyed)
+    assert sorted(map(tuple, keyed.select("doc_id", "query_id").collect())) == want
