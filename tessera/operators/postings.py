@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .index import idf
-from .lineage import cut, new_folder
+from .lineage import cut, new_folder, written
 from .search import ranked
 
 BLOCK, BUCKETS, SPREAD = 128, 64, 4
@@ -178,10 +178,7 @@ def update(docs: DataFrame, changes: DataFrame, path: str) -> int:
     ones are marked dead, and their terms are taken off the counts. Nothing else is
     rewritten."""
     spark = docs.sparkSession
-    # Written, so that its size is known and few changes are joined by broadcast.
-    changed = new_folder(spark, "changes")
-    changes.select(F.col("doc_id").alias("chunk_id"), "status").where("status != 'same'").write.parquet(changed)
-    status = spark.read.parquet(changed)
+    status = written(changes.select(F.col("doc_id").alias("chunk_id"), "status").where("status != 'same'"))
     gone = status.where("status in ('changed', 'removed')").select("chunk_id")
     alive = _alive(spark, path, spark.read.parquet(f"{path}/docs"))
     dead = cut(alive.join(gone, "chunk_id", "left_semi").select("cell", "doc", "dl", "terms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -146,12 +146,20 @@ def _bucketed(points: DataFrame, buckets: int) -> DataFrame:
     return points.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int"))
 
 
-def _overwrite(rows: DataFrame, touched: DataFrame, path: str) -> None:
-    """Replaces the touched buckets (column bucket) by rows. Each gets a row without an id
-    as well, so that one that has become empty is replaced, too."""
+def _overwrite(rows: DataFrame, touched: DataFrame, path: str, only: Column | None = None) -> None:
+    """Replaces the touched buckets (column bucket) by rows, or by those of them for which
+    `only`, a condition over the rows of a bucket, is true. Each gets a row without an id as well, so that one
+    that has become empty is replaced, too. Rows are sent once, to their bucket."""
     blank = touched.select("bucket", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "bucket"))
     out = rows.unionByName(blank).repartition("bucket")
-    out.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+    if only is not None:
+        out = out.withColumn("_only", only).where("point_id is null or _only").drop("_only", "_mark")
+    out.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _highest() -> Column:
+    """The highest mark of a point's rows, which all lie in its bucket."""
+    return F.max("_mark").over(Window.partitionBy("bucket", "point_id"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -179,8 +187,8 @@ def upsert_in_place(points: DataFrame, path: str, buckets: int = BUCKETS) -> Non
     spark = points.sparkSession
     new = cut(_bucketed(points.withColumn("point_id", point_id(F.col("chunk_id"))), buckets))
     touched, stored = _touched(spark, path, new)
-    kept = stored.join(new.select("point_id"), "point_id", "left_anti")
-    _overwrite(kept.unionByName(new.select(kept.columns)), touched, path)
+    marked = stored.withColumn("_mark", F.lit(0)).unionByName(new.select(stored.columns).withColumn("_mark", F.lit(1)))
+    _overwrite(marked, touched, path, F.col("_mark") == _highest())
 
 
 def prune_in_place(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -189,7 +197,9 @@ def prune_in_place(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None
     gone = cut(_bucketed(chunks.select(point_id(F.col("chunk_id")).alias("point_id")), buckets))
     held = read_points(spark, path).select("point_id", "bucket").join(gone, ["point_id", "bucket"], "left_semi")
     touched, stored = _touched(spark, path, held)
-    _overwrite(stored.join(gone.select("point_id"), "point_id", "left_anti"), touched, path)
+    marks = gone.join(F.broadcast(touched), "bucket", "left_semi").withColumn("_mark", F.lit(1))
+    marked = stored.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    _overwrite(marked, touched, path, _highest() == 0)
 
 
 def limited_categories(docs: DataFrame, most: int = 500, least_chars: int = 200) -> DataFrame:

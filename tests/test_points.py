@@ -44,3 +44,35 @@ def test_pruning_even_empties_buckets(spark, folder):
     assert held(spark, folder) == {}
     files.upsert_in_place(spark.createDataFrame([("x", "y")], "chunk_id string, text string"), folder, 16)
     assert held(spark, folder) == {"x": "y"}
+
+
+def _shuffled(spark, work):
+    """Bytes that the stages of work() write to shuffles."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def test_an_update_sends_a_text_once(spark, tmp_path, monkeypatch):
+    # Texts that don't shrink; no table is so small that it is joined by broadcast.
+    text = F.concat(*(F.sha2(F.concat_ws(",", F.lit(str(i)), "id"), 256) for i in range(32)))
+    points = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), text.alias("text"))
+    files.write_points(points, f"{tmp_path}/points", 4)
+    size = 2000 * 32 * 64
+    ids = points.where("substring(chunk_id, -1, 1) = '3'")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert _shuffled(spark, lambda: files.upsert_in_place(ids.withColumn("text", F.lit("new")), f"{tmp_path}/points", 4)) < 1.5 * size
+        assert _shuffled(spark, lambda: files.prune_in_place(ids.select("chunk_id"), f"{tmp_path}/points", 4)) < 1.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert files.read_points(spark, f"{tmp_path}/points").join(points, ["chunk_id", "text"]).count() == 1800 == files.read_points(spark, f"{tmp_path}/points").count()
