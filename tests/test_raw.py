@@ -4,6 +4,8 @@ import io
 import time
 import zipfile
 
+from pyspark.sql import functions as F
+
 from tessera.sources import raw
 
 
@@ -44,3 +46,14 @@ def test_folder(spark, tmp_path):
     assert got == {**{f"d{i % 3}/f{i}.txt": f"text {i}" for i in range(40)}, "a.docx": "doc", "b.PDF": "page", "bad.txt": "abc"}
     assert 10 <= df.rdd.getNumPartitions() <= 25
     assert raw.read_folder(spark, f"file://{tmp_path}/in").rdd.getNumPartitions() == 1
+
+
+def test_customers_of_one_partition_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tessera.plans import registry
+
+    kept = raw.write_files
+    seen = []
+    monkeypatch.setattr(raw, "write_files", lambda rows, folder: seen.append(rows.groupBy(F.spark_partition_id()).count().count()) or kept(rows, folder))
+    spark.range(1, 301).selectExpr("id as c_custkey", "id % 5 as c_nationkey", "'x' as c_name", "'y' as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert registry.queries()["rich_documents"](spark, str(tmp_path)).count() == 300
+    assert seen[0] >= 4
