@@ -119,14 +119,19 @@ def _counts(docs: DataFrame, languages: dict) -> DataFrame:
         *(F.when(F.col("lang") == code, h) for code, h in histograms.items()),
         histograms[next(iter(languages))],
     )
-    chars = [F.regexp_count("text", F.lit(p)) for _, p in CLASSES]
+    # A class' characters are what taking out its runs leaves away. The lower letters go
+    # first: the other classes, which share none with them, are counted in the rest.
+    without = lambda x, p: F.regexp_replace(x, p + "+", "")
+    counted = counted.withColumn("rest", without(F.col("text"), CLASSES[0][1]))
+    in_rest = lambda p: F.length("rest") - F.length(without(F.col("rest"), p))
+    chars = [F.length(F.make_valid_utf8("text")) - F.length("rest"), *(in_rest(p) for _, p in CLASSES[1:])]
     return counted.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length("text").cast("long").alias("n_chars"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        in_rest(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0).cast("long"))
         .otherwise(_covered(F.col("grams")))

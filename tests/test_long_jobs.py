@@ -37,3 +37,19 @@ def test_items_are_sought_by_one_pass_or_by_keys_alike(spark, monkeypatch):
     keyed = evaluate.containing(docs, items)
     assert "xxhash64" in _plan(keyed)
     assert sorted(map(tuple, keyed.select("doc_id", "query_id").collect())) == want
+
+
+def test_characters_are_counted_without_an_array_of_them(spark):
+    import re
+
+    from tessera.llm import quality_rules as Q
+
+    texts = ["", None, "abC 1.#\n\x0b", "é\U0001f600 Z|z~\\ \"x\"", "a" * 5000]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counted = Q._counts(docs, Q.COMMON)
+    assert "[a-z], 0)" not in _plan(counted)
+    patterns = [p for _, p in Q.CLASSES[:-1]] + [r"[!-~](?<![a-zA-Z0-9.,;:!?'\"()-])"]
+    for r in counted.collect():
+        text = texts[r["doc_id"]] or ""
+        want = [len(re.findall(p, text)) for p in patterns]
+        assert r["chars"] == want and r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text))
