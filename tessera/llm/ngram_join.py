@@ -24,7 +24,8 @@ order, that of the hash values. Two sets link when
    is left is tied anew. A family still above is dealt into blocks,
    each a tree of its own. The blocks' components are joined through one
    set of each; where a family then still has several components, the
-   sets outside its largest component seek links in every block. Blocks and
+   sets outside its largest component seek links in the blocks where other
+   components hold enough of their first members. Blocks and
    lots of seekers are bounded, so no task holds an unbounded group.
 
 The result has each row's component (the least id reachable by links). Copies
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,9 @@ BLOCK_MEMBERS = 30_000
 SHARD_BYTES = 64 << 20
 SMALL_SHARD_BYTES = 2 << 20
 TIE_BUFFER = 1_000_000
+#: Rows up to which a table of ids goes to every task, so that the texts it is joined with
+#: stay where they are; beyond, both are dealt by id.
+FEW_IDS = 1_000_000
 #: One of so many members is looked for beyond the first that sets without a link may lack.
 SPARE = 10
 _STEP = 1.5
@@ -303,9 +307,14 @@ def _tie(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[first], nodes[first], np.unique(np.stack([nodes[other], least[other]], 1), axis=0)
 
 
-def _shards(texts: DataFrame) -> int:
+def _shards(texts: DataFrame, most: int = SHARD_BYTES) -> int:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(size / SHARD_BYTES), min(64, math.ceil(size / SMALL_SHARD_BYTES)))
+    return max(1, math.ceil(size / most), min(64, math.ceil(size / SMALL_SHARD_BYTES)))
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked to go to every task where it has FEW_IDS rows at most."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
 def spare(n: int, num: int, den: int) -> int:
@@ -334,15 +343,15 @@ def _held_twice(hashes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, nodes, twice
 
 
-def _candidates(texts: DataFrame, classes: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """doc_id of the classes' representatives that may have a link, by the filter.
+def _shared(rows: DataFrame, sets, shards: int) -> DataFrame:
+    """one, shared: by node, how many of its members another node has, or more.
+    `sets` gives the members and the node of each row of a batch.
 
     Members go by shard, as 32 bits beside the shard's own: a collision lets more
-    through. A member that several sets of a task's buffer hold is counted there,
+    through. A member that several nodes of a task's buffer hold is counted there,
     and sent once without their names. What copies in several buffers count twice
     lets more through, too.
     """
-    shards = _shards(texts)
     low = np.uint64((1 << 32) - 1)
 
     def send(held: list) -> pa.RecordBatch:
@@ -366,10 +375,9 @@ def _candidates(texts: DataFrame, classes: DataFrame, num: int, den: int, width:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for members in _sets_of(batch.column(0), width):
-                if len(members):
-                    own = prefix_of(members, num, den)
-                    held.append((own, np.full(len(own), _signatures(members)[0])))
+            for own, node in sets(batch):
+                if len(own):
+                    held.append((own, np.full(len(own), node)))
                     n += len(own)
                 if n >= TIE_BUFFER:
                     yield send(held)
@@ -397,13 +405,26 @@ def _candidates(texts: DataFrame, classes: DataFrame, num: int, den: int, width:
             }
         )
 
-    packed = texts.where("doc_id is not null").select("text")
-    packed = packed.mapInArrow(emit, "shard int, hashes binary, nodes binary, several binary, counts binary")
+    packed = rows.mapInArrow(emit, "shard int, hashes binary, nodes binary, several binary, counts binary")
     found = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(count, "one long, met long, own long")
-    found = found.groupBy("one").agg((F.sum("met") + F.max("own")).alias("shared"))
+    return found.groupBy("one").agg((F.sum("met") + F.max("own")).alias("shared"))
+
+
+def _candidates(texts: DataFrame, classes: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """doc_id of the classes' representatives that may have a link, by the filter."""
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.uint64]]:
+        for members in _sets_of(batch.column(0), width):
+            yield prefix_of(members, num, den), _signatures(members)[0]
+
+    found = _shared(texts.where("doc_id is not null").select("text"), sets, _shards(texts))
+    return classes.join(found, "one").where(F.col("shared") >= _need(num, den)).select(F.col("rep").alias("doc_id")).distinct()
+
+
+def _need(num: int, den: int) -> Column:
+    """Members that the prefix of a set of n_shingles has in common with any linked one's."""
     lesser = F.ceil(F.col("n_shingles") * num / den)  # the smallest partner's size
-    need = F.least(F.greatest(F.lit(1), F.floor(lesser / SPARE)), F.ceil(lesser * num / den))
-    return classes.join(found, "one").where(F.col("shared") >= need).select(F.col("rep").alias("doc_id")).distinct()
+    return F.least(F.greatest(F.lit(1), F.floor(lesser / SPARE)), F.ceil(lesser * num / den))
 
 
 def _ties(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
@@ -486,23 +507,41 @@ def _able(large: DataFrame, texts: DataFrame, num: int, den: int, width: int) ->
     members that any other set of its family holds must reach the threshold. So
     sets that only have a passage in common leave."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            family = batch.column(0).to_numpy().astype(np.uint64)
-            at = 0
-            for own in _sets_of(batch.column(2), width):
-                keys = kernel.mix(own + kernel.mix(family[at : at + 1]))
-                doc = pa.array(np.full(len(own), batch.column(1)[at].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(keys.view(np.int64))], ["doc_id", "member"])
-                at += 1
-
-    held = large.select("family", "doc_id").join(texts, "doc_id").select("family", "doc_id", "text")
-    rows = write_table(held.mapInArrow(members, "doc_id long, member long"), "members")
-    shared = rows.groupBy("member").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("member")
-    found = rows.join(shared, "member").groupBy("doc_id").agg(F.count("*").alias("n"))
-    # An id in several rows may count a member twice, which lets more through.
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.uint64]]:
+        family, node = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+        for i, members in enumerate(_sets_of(batch.column(2), width)):
+            yield kernel.mix(members + kernel.mix(family[i : i + 1])), node[i]
+
+    held = texts.join(_sent(large.select("family", "doc_id")), "doc_id").select("family", "doc_id", "text")
+    # Sets go whole: three times as many members as the filter's.
+    found = _shared(held, sets, _shards(texts, SHARD_BYTES // 3)).withColumnRenamed("one", "doc_id")
+    # An id in several rows counts all its texts' members, which lets more through.
     sizes = large.select("doc_id", "n_shingles")
-    return found.join(sizes, "doc_id").where(F.col("n") * den >= F.col("n_shingles") * num).select("doc_id")
+    return found.join(sizes, "doc_id").where(F.col("shared") * den >= F.col("n_shingles") * num).select("doc_id").distinct()
+
+
+def _sought(seekers: DataFrame, known: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """family, doc_id, component, n_shingles, block: seekers (family, doc_id, component,
+    n_shingles) with the blocks of known sets (family, doc_id, component, block) where
+    they may have a link, by the filter: sets of other components there hold enough of a
+    seeker's prefix. A member is counted once a block, however many sets have it."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [prefix_of(members, num, den) for members in _sets_of(batch.column(4), width)]
+            at = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+            members = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array(members)], ["family", "doc_id", "component", "block", "member"])
+
+    rows = texts.join(_sent(known), "doc_id").select("family", "doc_id", "component", "block", "text")
+    rows = write_table(rows.mapInArrow(prefixes, "family long, doc_id long, component long, block int, member long"), "prefixes")
+    stored = rows.groupBy("family", "member", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    # An id in several rows has all their members, which lets more through.
+    own = seekers.groupBy("family", "doc_id", "component").agg(F.min("n_shingles").alias("n_shingles"))
+    asked = rows.join(_sent(own.select("family", "doc_id")), ["family", "doc_id"], "left_semi").select("family", "member", "doc_id", "component")
+    met = asked.join(stored, ["family", "member"]).where("least != component or most != component")
+    met = met.groupBy("family", "doc_id", "block").agg(F.count("*").alias("met"))
+    return met.join(own, ["family", "doc_id"]).where(F.col("met") >= _need(num, den)).drop("met")
 
 
 def _components(docs: DataFrame, num: int, den: int, width: int, block_members: int) -> tuple[DataFrame, DataFrame]:
@@ -525,16 +564,17 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = write_table(classes, "classes")
-    texts = write_table(texts.join(_candidates(texts, classes, num, den, width), "doc_id", "left_semi"), "candidates")
+    able = cut(_candidates(texts, classes, num, den, width))
+    texts = write_table(texts.join(_sent(able), "doc_id", "left_semi"), "candidates")
     families = cut(_families(_ties(texts, num, den, width), classes, block_members))
     large = families.where("blocks > 1")
     if not large.isEmpty():
         able = cut(_able(large, texts, num, den, width))
-        again = _ties(texts.join(able, "doc_id", "left_semi"), num, den, width)
+        again = _ties(texts.join(_sent(able), "doc_id", "left_semi"), num, den, width)
         families = cut(families.where("blocks = 1").unionByName(_families(again, classes, block_members)))
     weights = families.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     # Ids that stand in several rows bring all their texts.
-    held = families.join(texts, "doc_id").select("family", "block", "blocks", "doc_id", "text")
+    held = texts.join(_sent(families), "doc_id").select("family", "block", "blocks", "doc_id", "text")
     schema = "family long, doc_id long, component long"
     found = held.groupBy("family", "block").applyInArrow(_group_links(num, den, width), schema)
     found = write_table(found.distinct(), "links")
@@ -551,7 +591,7 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     lots = heads.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("lots"))
     heads = _family_join(heads, lots).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int"))
     met = (
-        heads.join(texts, "doc_id")
+        texts.join(_sent(heads), "doc_id")
         .select("family", "block", "doc_id", "text")
         .groupBy("family", "block")
         .applyInArrow(_group_links(num, den, width), schema)
@@ -559,22 +599,20 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block_members:
     links.append(met.select(F.col("doc_id").alias("u"), F.col("component").alias("v")))
     edges = cut(links[0].union(links[1]).where("u != v"))
     now = cut(_labels(inner.select("doc_id", "family"), edges))
-    # Sets outside their family's largest component seek links in all of its blocks.
+    # Sets outside their family's largest component seek links in its blocks.
     sizes = now.groupBy("family", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("x")).select("family", F.col("x.component").alias("main"))
-    seekers = _family_join(now, largest).where("component != main").join(families.select("doc_id", "blocks", "n_shingles"), "doc_id")
-    seekers = cut(seekers.select("family", "doc_id", "component", "blocks", "n_shingles"))
+    seekers = _family_join(now, largest).where("component != main").join(families.select("doc_id", "n_shingles"), "doc_id")
+    seekers = cut(seekers.select("family", "doc_id", "component", "n_shingles"))
     if not seekers.isEmpty():
-        lots = seekers.groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("lots"))
-        seekers = _family_join(seekers, lots).withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")).cast("int"))
-        seek_rows = seekers.join(texts, "doc_id").select(
-            "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "lot", "doc_id", "component", "text"
-        )
-        stored = (
-            _family_join(now, lots)
-            .join(families.select("doc_id", "block"), "doc_id")
-            .join(texts, "doc_id")
-            .select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", "component", "text")
+        known = cut(now.join(families.where("blocks > 1").select("family", "doc_id", "block").distinct(), ["family", "doc_id"]))
+        sought = cut(_sought(seekers, known, texts, num, den, width))
+        lots = sought.groupBy("family", "block").agg(F.ceil(F.sum("n_shingles") / F.lit(block_members)).cast("int").alias("lots"))
+        lots = _sent(cut(lots))
+        sought = sought.join(lots, ["family", "block"]).withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")).cast("int"))
+        seek_rows = texts.join(_sent(sought), "doc_id").select("family", "block", "lot", "doc_id", "component", "text")
+        stored = texts.join(_sent(known.join(lots, ["family", "block"])), "doc_id").select(
+            "family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", "component", "text"
         )
         # New names for the columns: both sides come from the same tables.
         stored, seek_rows = (x.select(*(F.col(c).alias(c) for c in _SEEK)) for x in (stored, seek_rows))
@@ -631,5 +669,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     without words, and those with a null id, stay."""
     gone = jaccard_components(docs, **options).where("doc_id != component_id").select("doc_id").distinct()
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
-    gone = cut(gone.select(F.col("doc_id").alias("gone")))
+    gone = _sent(cut(gone.select(F.col("doc_id").alias("gone"))))
     return keyed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
